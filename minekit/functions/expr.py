@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def ratio(numerator, denominator) -> Column:
@@ -43,6 +43,12 @@ def first_match_case(rules, default=None) -> Column:
     return out if default is None else out.otherwise(F.lit(default))
 
 
+def literal_frame(spark: SparkSession, rows, names) -> DataFrame:
+    """A short frame of constants, written into the plan."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 

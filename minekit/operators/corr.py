@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, functions as F
 
-from minekit.functions.expr import quoted, ratio
+from minekit.functions.expr import literal_frame, quoted, ratio
 from minekit.functions.special import t_p_value
 from minekit.operators.clean import drop_incomplete
 
@@ -90,7 +90,7 @@ def correlation_matrix(df: DataFrame, cols, full: bool = True) -> DataFrame:
         matrix = correlation_dense(df, cols)
         rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
         # p(p-1)/2 rows, fixed by the column list
-        upper = df.sparkSession.createDataFrame(rows, "var_i string, var_j string, r double")
+        upper = literal_frame(df.sparkSession, rows, ["var_i", "var_j", "r"])
     else:
         total = df.agg(F.count(F.lit(1))).scalar()
         pairs = correlation_pairs(df, cols)
@@ -108,7 +108,7 @@ def mirror(upper: DataFrame, cols) -> DataFrame:
 
 
 def df_of_names(like: DataFrame, cols) -> DataFrame:
-    return like.sparkSession.createDataFrame([(i, c) for i, c in enumerate(cols)], "position int, name string")
+    return literal_frame(like.sparkSession, list(enumerate(cols)), ["position", "name"])
 
 
 def correlation_complete(df: DataFrame, cols) -> DataFrame:

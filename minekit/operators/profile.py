@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from minekit.functions.expr import is_missing, numeric_columns, quoted, ratio
+from minekit.functions.expr import is_missing, literal_frame, numeric_columns, quoted, ratio
 from minekit.functions.special import t_quantile_975
 
 # quantile sketch: rank error at most 1 / accuracy
@@ -134,6 +134,7 @@ def _moments(df: DataFrame, cols, by=()) -> DataFrame:
         (F.count(F.lit(1)) - F.count(v)).alias("n_missing"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("sd"),
+        F.var_samp(v).alias("variance"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
@@ -142,7 +143,7 @@ def _moments(df: DataFrame, cols, by=()) -> DataFrame:
 def summary_numeric(df: DataFrame, cols=None, by=()) -> DataFrame:
     """Minimum, quartiles, mean, maximum and missing count, long form."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    base = _moments(df, cols, by).drop("sd")
+    base = _moments(df, cols, by)
     middle = quantiles_wide(df, cols, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by)
     keys = [*by, "column"]
     return base.join(middle, keys, "left").select(
@@ -160,7 +161,7 @@ def summary_categorical(df: DataFrame, cols) -> DataFrame:
 
 def summary_table(df: DataFrame, numeric, categorical) -> DataFrame:
     """N, mean, sd, minimum, quartiles, maximum per numeric column; N and percent per level."""
-    numbers = _moments(df, numeric).drop("n_missing").join(
+    numbers = _moments(df, numeric).join(
         quantiles_wide(df, numeric, {"pctl25": 0.25, "pctl75": 0.75}), "column"
     )
     left = numbers.select(
@@ -182,7 +183,7 @@ def descriptive_stats(df: DataFrame, cols) -> DataFrame:
         .withColumn("se_mean", ratio("sd", F.sqrt("n")))
         .withColumn("ci_mean", F.col("se_mean") * t_quantile_975((F.col("n") - 1).cast("double")))
         .select(
-            "column", "median", "mean", "se_mean", "ci_mean", (F.col("sd") * F.col("sd")).alias("variance"), "sd",
+            "column", "median", "mean", "se_mean", "ci_mean", "variance", "sd",
             ratio("sd", "mean").alias("coef_var"),
         )
     )
@@ -239,12 +240,8 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def contingency_table(df: DataFrame, left: str, right: str, levels) -> DataFrame:
     """Counts over the whole grid of given levels, zero cells included."""
     counts = df.groupBy(left, right).agg(F.count(F.lit(1)).alias("n"))
-    levels = list(levels)
-    kind_l, kind_r = df.schema[left].dataType, df.schema[right].dataType
-    # the grid has |levels|^2 rows and comes from the level list, not from data
-    grid = df.sparkSession.createDataFrame([(a, b) for a in levels for b in levels], [left, right]).select(
-        F.col(left).cast(kind_l), F.col(right).cast(kind_r)
-    )
+    # the grid comes from the level list, not from data
+    grid = literal_frame(df.sparkSession, [(a, b) for a in levels for b in levels], [left, right])
     return grid.join(counts, [left, right], "left").na.fill(0, ["n"])
 
 

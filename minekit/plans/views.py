@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from minekit.functions.expr import bands, rounded
+from minekit.functions.expr import bands, ratio, rounded
 from minekit.operators.classify import risk_class
 from minekit.operators.corr import standardise
 from minekit.sources.scan import scan_table
@@ -12,8 +12,8 @@ from minekit.sources.scan import scan_table
 VIEW_SQL = {
     "line_by_order": """line_by_order AS (
         SELECT l_orderkey, count(*) AS n_lines, count(*) FILTER (WHERE l_returnflag = 'R') AS n_returned,
-               sum(l_quantity) AS quantity, sum(l_extendedprice) AS price,
-               sum(l_discount) AS discount, sum(l_tax) AS tax
+               sum(l_quantity) AS quantity, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS price_cents,
+               sum(CAST(round(l_discount * 100) AS BIGINT)) AS discount_pct, sum(CAST(round(l_tax * 100) AS BIGINT)) AS tax_pct
         FROM lineitem GROUP BY l_orderkey)""",
     "entity": """entity AS (
         SELECT c_custkey AS entity_key, c_name AS name, n_name AS state, c_mktsegment AS segment,
@@ -21,11 +21,11 @@ VIEW_SQL = {
                CAST(coalesce(sum(n_returned), 0) AS BIGINT) AS deaths,
                sum(quantity) AS population, c_acctbal AS balance,
                CAST(count(o_orderkey) AS BIGINT) AS n_orders,
-               round(sum(price) / nullif(sum(n_lines), 0), 4) AS avg_price,
-               round(sum(price), 2) AS sum_price,
-               round(sum(discount) / nullif(sum(n_lines), 0), 6) AS avg_discount,
-               round(sum(tax) / nullif(sum(n_lines), 0), 6) AS avg_tax,
-               round(avg(o_totalprice), 4) AS avg_order_total
+               CAST(sum(price_cents) AS DOUBLE) / nullif(CAST(sum(n_lines) AS DOUBLE) * 100, 0) AS avg_price,
+               CAST(sum(price_cents) AS DOUBLE) / 100 AS sum_price,
+               CAST(sum(discount_pct) AS DOUBLE) / nullif(CAST(sum(n_lines) AS DOUBLE) * 100, 0) AS avg_discount,
+               CAST(sum(tax_pct) AS DOUBLE) / nullif(CAST(sum(n_lines) AS DOUBLE) * 100, 0) AS avg_tax,
+               CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / nullif(count(o_orderkey) * 100.0::DOUBLE, 0) AS avg_order_total
         FROM customer JOIN nation ON c_nationkey = n_nationkey
              LEFT JOIN orders ON o_custkey = c_custkey
              LEFT JOIN line_by_order ON l_orderkey = o_orderkey
@@ -33,20 +33,20 @@ VIEW_SQL = {
     "sparse": """sparse AS (
         SELECT o_orderkey AS order_key, o_orderstatus AS status, o_orderpriority AS priority,
                CAST(n_lines AS BIGINT) AS lines, CAST(n_returned AS BIGINT) AS returned,
-               quantity AS qty, round(price, 2) AS price, CAST(NULL AS DOUBLE) AS unused,
+               quantity AS qty, CAST(price_cents AS DOUBLE) / 100 AS price, CAST(NULL AS DOUBLE) AS unused,
                o_totalprice AS total
         FROM orders LEFT JOIN line_by_order ON l_orderkey = o_orderkey)""",
     "daily": """daily AS (
         SELECT user_id, CAST(ts AS DATE) AS day, CAST(count(*) AS BIGINT) AS n_events,
-               round(sum(value), 4) AS total_value
+               CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / 100 AS total_value
         FROM events GROUP BY user_id, CAST(ts AS DATE))""",
     "mobility": """mobility AS (
         SELECT user_id, CAST(ts AS DATE) AS day,
-               round(avg(value) FILTER (WHERE event_type = 'click'), 6) AS click,
-               round(avg(value) FILTER (WHERE event_type = 'error'), 6) AS error,
-               round(avg(value) FILTER (WHERE event_type = 'purchase'), 6) AS purchase,
-               round(avg(value) FILTER (WHERE event_type = 'signup'), 6) AS signup,
-               round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS view
+               CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'click') AS DOUBLE) / (nullif(count(*) FILTER (WHERE event_type = 'click'), 0) * 100.0::DOUBLE) AS click,
+               CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'error') AS DOUBLE) / (nullif(count(*) FILTER (WHERE event_type = 'error'), 0) * 100.0::DOUBLE) AS error,
+               CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'purchase') AS DOUBLE) / (nullif(count(*) FILTER (WHERE event_type = 'purchase'), 0) * 100.0::DOUBLE) AS purchase,
+               CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'signup') AS DOUBLE) / (nullif(count(*) FILTER (WHERE event_type = 'signup'), 0) * 100.0::DOUBLE) AS signup,
+               CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'view') AS DOUBLE) / (nullif(count(*) FILTER (WHERE event_type = 'view'), 0) * 100.0::DOUBLE) AS view
         FROM events GROUP BY user_id, CAST(ts AS DATE))""",
     "raw_points": """raw_points AS (
         SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
@@ -97,15 +97,20 @@ def with_views(names: str, body: str) -> str:
     return f"WITH {definitions}\n{body}"
 
 
+def hundredths(column: str):
+    """Two-decimal amounts as whole numbers, whose sums do not depend on the order of rows."""
+    return F.round(F.col(column) * 100).cast("long")
+
+
 def line_by_order(spark: SparkSession, folder: str) -> DataFrame:
     """Lines pre-aggregated per order, so joins above never see line rows."""
     return scan_table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
         F.sum("l_quantity").alias("quantity"),
-        F.sum("l_extendedprice").alias("price"),
-        F.sum("l_discount").alias("discount"),
-        F.sum("l_tax").alias("tax"),
+        F.sum(hundredths("l_extendedprice")).alias("price_cents"),
+        F.sum(hundredths("l_discount")).alias("discount_pct"),
+        F.sum(hundredths("l_tax")).alias("tax_pct"),
     )
 
 
@@ -119,10 +124,10 @@ def entity(spark: SparkSession, folder: str) -> DataFrame:
             F.sum("n_returned").alias("n_returned"),
             F.sum("quantity").alias("population"),
             F.count("o_orderkey").alias("n_orders"),
-            F.sum("price").alias("price"),
-            F.sum("discount").alias("discount"),
-            F.sum("tax").alias("tax"),
-            F.avg("o_totalprice").alias("avg_order_total"),
+            F.sum("price_cents").alias("price_cents"),
+            F.sum("discount_pct").alias("discount_pct"),
+            F.sum("tax_pct").alias("tax_pct"),
+            F.sum(hundredths("o_totalprice")).alias("order_cents"),
         )
     )
     customer = scan_table(spark, folder, "customer")
@@ -140,11 +145,11 @@ def entity(spark: SparkSession, folder: str) -> DataFrame:
             F.col("population"),
             F.col("c_acctbal").alias("balance"),
             F.coalesce("n_orders", F.lit(0)).cast("long").alias("n_orders"),
-            F.round(F.try_divide("price", "n_lines"), 4).alias("avg_price"),
-            F.round("price", 2).alias("sum_price"),
-            F.round(F.try_divide("discount", "n_lines"), 6).alias("avg_discount"),
-            F.round(F.try_divide("tax", "n_lines"), 6).alias("avg_tax"),
-            F.round("avg_order_total", 4).alias("avg_order_total"),
+            ratio("price_cents", F.col("n_lines") * 100).alias("avg_price"),
+            (F.col("price_cents").cast("double") / 100).alias("sum_price"),
+            ratio("discount_pct", F.col("n_lines") * 100).alias("avg_discount"),
+            ratio("tax_pct", F.col("n_lines") * 100).alias("avg_tax"),
+            ratio("order_cents", F.col("n_orders") * 100).alias("avg_order_total"),
         )
     )
 
@@ -166,7 +171,7 @@ def sparse(spark: SparkSession, folder: str) -> DataFrame:
             F.col("n_lines").alias("lines"),
             F.col("n_returned").alias("returned"),
             F.col("quantity").alias("qty"),
-            F.round("price", 2).alias("price"),
+            (F.col("price_cents").cast("double") / 100).alias("price"),
             F.lit(None).cast("double").alias("unused"),
             F.col("o_totalprice").alias("total"),
         )
@@ -177,7 +182,7 @@ def daily(spark: SparkSession, folder: str) -> DataFrame:
     return (
         scan_table(spark, folder, "events")
         .groupBy("user_id", F.to_date("ts").alias("day"))
-        .agg(F.count(F.lit(1)).alias("n_events"), F.round(F.sum("value"), 4).alias("total_value"))
+        .agg(F.count(F.lit(1)).alias("n_events"), (F.sum(hundredths("value")).cast("double") / 100).alias("total_value"))
     )
 
 
@@ -190,7 +195,10 @@ def mobility(spark: SparkSession, folder: str) -> DataFrame:
         .groupBy("user_id", F.to_date("ts").alias("day"))
         .agg(
             *[
-                F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 6).alias(kind)
+                ratio(
+                    F.sum(F.when(F.col("event_type") == kind, hundredths("value"))),
+                    F.count_if(F.col("event_type") == kind) * 100,
+                ).alias(kind)
                 for kind in EVENT_TYPES
             ]
         )
