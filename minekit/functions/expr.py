@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
@@ -45,6 +46,10 @@ def first_match_case(rules, default=None) -> Column:
 
 def literal_frame(spark: SparkSession, rows, names) -> DataFrame:
     """A short frame of constants, written into the plan."""
+    rows = list(rows)
+    if len(rows) > 32:
+        table = pa.table({n: [row[i] for row in rows] for i, n in enumerate(names)})
+        return spark.createDataFrame(table)
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
 

@@ -20,6 +20,7 @@ from minekit.operators.joins import first_rows
 LEAF_POINTS = 1024
 VISITORS_PER_TASK = 8192
 SAMPLE_POINTS = 100_000
+SMALL_GRAPH = 200_000
 
 
 class Leaves:
@@ -157,8 +158,10 @@ def meet(visitors: DataFrame, residents: DataFrame, work, schema: str, spread_by
     )
     chunk = F.pmod(F.xxhash64(spread_by), F.col("chunks")).cast("int")
     left = visitors.join(sizes, "leaf").withColumn("chunk", chunk).drop("chunks")
+    # fresh column ids, as visitors and residents may be the same frame
+    fresh = residents.select(*[F.col(c).alias(c) for c in residents.columns])
     right = (
-        residents.join(sizes, "leaf")
+        fresh.join(sizes, "leaf")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .drop("chunks")
     )
@@ -223,7 +226,13 @@ def knn_join(queries: DataFrame, base: DataFrame, key: str, cols, k: int, leaf_p
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, label)``: the least node of each component, by label spreading with pointer jumps."""
+    """``(node, label)``: the least node of each component.
+
+    A graph checked to be small is joined in one task; a larger one by label spreading with pointer jumps.
+    """
+    nodes, edges = cut(nodes.select("node")), cut(edges.select("a", "b").distinct())
+    if max(nodes.count(), edges.count()) <= SMALL_GRAPH:
+        return _components_in_one_task(nodes, edges)
     both = cut(
         edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
         .unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
@@ -250,6 +259,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _components_in_one_task(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    def work(members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+        ids = np.sort(members["node"].to_numpy())
+        a, b = (np.searchsorted(ids, links[c].to_numpy()) for c in ("a", "b"))
+        return pd.DataFrame({"node": ids, "label": ids[union_labels(len(ids), a, b)]})
+
+    together = F.lit(0).alias("g")
+    return (
+        nodes.groupBy(together).cogroup(edges.groupBy(together)).applyInPandas(work, "node bigint, label bigint")
+    )
+
+
 def leaf_components(points: DataFrame, edges: DataFrame) -> DataFrame:
     """Components of a graph on placed points: joined inside each leaf first, then across leaves.
 

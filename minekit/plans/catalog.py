@@ -1,6 +1,6 @@
 """All registered queries, collected by importing the modules that define them."""
 
-from minekit.plans import profile_queries, relation_queries, table_queries
+from minekit.plans import cluster_queries, profile_queries, relation_queries, table_queries
 from minekit.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "profile_queries", "relation_queries", "table_queries"]
+__all__ = ["ORACLES", "QUERIES", "cluster_queries", "profile_queries", "relation_queries", "table_queries"]

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F, types as T
 
 from minekit.functions import names
 from minekit.functions.expr import first_match_case, ratio, rounded
-from minekit.lineage import ensure_checkpoint_dir
+from minekit.lineage import scratch_path
 from minekit.operators import clean, joins, profile, rank
 from minekit.plans import views
 from minekit.plans.registry import query
@@ -17,13 +15,8 @@ from minekit.sources.scan import scan_csv, scan_csv_override, scan_table
 from minekit.sources.sink import format_table
 
 
-def _scratch(spark) -> str:
-    """A fresh path in the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/minekit-{uuid.uuid4().hex}"
-
-
 def _as_csv(spark, df) -> str:
-    path = _scratch(spark)
+    path = scratch_path(spark)
     df.write.option("header", True).option("nullValue", "NA").csv(path)
     return path
 

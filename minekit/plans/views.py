@@ -92,8 +92,9 @@ def with_views(names: str, body: str) -> str:
         add(name)
     body = body.strip()
     definitions = ",\n".join(VIEW_SQL[n] for n in ordered)
+    # RECURSIVE only permits a definition to name itself; the others are unaffected
     if body[:5].upper() == "WITH ":
-        return f"WITH {definitions},\n{body[5:]}"
+        return f"WITH RECURSIVE {definitions},\n{body[5:]}"
     return f"WITH {definitions}\n{body}"
 
 
