@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -38,6 +39,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROWS_PER_PARTITION = 50_000
+
+
+def steady_layout(df: DataFrame, key: str) -> DataFrame:
+    """A layout that depends on the rows alone, so an iterative fit does not vary with the input's files."""
+    rows = cut(df)
+    partitions = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
+    return rows.repartition(partitions, key).sortWithinPartitions(key)
+
+
 def number_rows(df: DataFrame, order_by, partition_by=(), name: str = "position") -> DataFrame:
     """Add a 0-based position inside each ``partition_by`` group, in ``order_by`` order.
 

@@ -2,10 +2,484 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import (
+    DecisionTreeClassifier,
+    MultilayerPerceptronClassifier,
+    NaiveBayes,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import QuantileDiscretizer, StandardScaler, VectorAssembler
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from minekit.functions import special
+from minekit.functions.expr import literal_frame, ratio
+from minekit.lineage import cut, number_rows, steady_layout
+from minekit.operators import space
+from minekit.operators.clean import drop_incomplete, filter_not_in
+from minekit.operators.profile import contingency_table, quantiles_wide
+
+FITS_AT_ONCE = 8
+
+
+# ---------------------------------------------------------------- labels and splits
 
 
 def risk_class(column, high: float = 0.016, medium: float = 0.011) -> Column:
     """Above ``high``, above ``medium``, else low; a NULL falls to low."""
     c = F.col(column) if isinstance(column, str) else column
     return F.when(c > high, "high").when(c > medium, "medium").otherwise("low")
+
+
+def class_balance(df: DataFrame, label: str, part: str) -> DataFrame:
+    """Class counts overall and within each part, from one aggregate."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label, part).agg(F.count(F.lit(1)).alias("n"))
+    overall = counts.groupBy(label).agg(F.sum("n").alias("n")).withColumn(part, F.lit("all"))
+    return counts.unionByName(overall)
+
+
+def group_holdout(df: DataFrame, group: str, held_out) -> tuple[DataFrame, DataFrame]:
+    """Whole groups to (train, test); a row without a group trains."""
+    return filter_not_in(df, group, held_out), df.filter(F.col(group).isin(*held_out))
+
+
+def _class_position(df: DataFrame, key: str, label: str, seed: int | None) -> DataFrame:
+    """Position of a row inside its class, in hash order of the key (or key order without a seed)."""
+    order = F.col(key) if seed is None else F.xxhash64(F.lit(seed), F.col(key))
+    return number_rows(df.withColumn("_order", order), ["_order", key], [label], "_position").drop("_order")
+
+
+def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int | None = None) -> DataFrame:
+    """Add ``fold``: classes dealt out evenly, each row in exactly one fold."""
+    placed = _class_position(df, key, label, seed)
+    return placed.withColumn("fold", F.pmod("_position", F.lit(k)).cast("int")).drop("_position")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, seed: int | None = None) -> DataFrame:
+    """Add ``part``: the first ``ceil(share * n)`` rows of each class train, the rest test."""
+    placed = _class_position(df, key, label, seed)
+    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count(F.lit(1)) * share).alias("_train"))
+    joined = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
+    part = F.when(F.col("_position") < F.col("_train"), "train").otherwise("test")
+    return joined.withColumn("part", part).drop("_position", "_label", "_train")
+
+
+# ---------------------------------------------------------------- feature ranking
+
+
+def cramers_v(df: DataFrame, label: str, cols) -> DataFrame:
+    """Cramer's V of the label with each binned column: ``(feature, n_bins, chi2, v)``."""
+    long = df.select(F.col(label).alias("class"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        ["class"], list(cols), "feature", "bin"
+    )
+    counts = long.filter(F.col("bin").isNotNull() & F.col("class").isNotNull()).groupBy("feature", "bin", "class").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return v_from_counts(counts)
+
+
+def v_from_counts(counts: DataFrame) -> DataFrame:
+    """chi-squared is n (sum n_ij^2 / (n_i n_j) - 1), so empty cells need no rows."""
+    bins = counts.groupBy("feature", "bin").agg(F.sum("n").alias("n_bin"))
+    classes = counts.groupBy("feature", "class").agg(F.sum("n").alias("n_class"))
+    n = F.sum("n")
+    cells = counts.join(bins, ["feature", "bin"]).join(classes, ["feature", "class"])
+    square = F.col("n").cast("double") * F.col("n")
+    per = cells.groupBy("feature").agg(
+        n.alias("n"),
+        F.count_distinct("bin").alias("n_bins"),
+        F.count_distinct("class").alias("n_classes"),
+        F.sum(ratio(square, F.col("n_bin").cast("double") * F.col("n_class"))).alias("fit"),
+    )
+    chi2 = F.greatest(F.col("n") * (F.col("fit") - 1), F.lit(0.0))
+    smaller = F.least(F.col("n_bins"), F.col("n_classes")) - 1
+    v = F.when(smaller > 0, F.sqrt(ratio(chi2, F.col("n") * smaller))).otherwise(0.0)
+    return per.select("feature", "n_bins", chi2.alias("chi2"), v.alias("v"))
+
+
+def binned_counts(df: DataFrame, label: str, cols, bins: int = 256):
+    """Class counts per quantile bin of each feature, with the bin borders: (frame, borders)."""
+    cols = list(cols)
+    rows = drop_incomplete(df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]))
+    outputs = [f"{c}__bin" for c in cols]
+    model = QuantileDiscretizer(
+        numBucketsArray=[bins] * len(cols), inputCols=cols, outputCols=outputs, relativeError=1e-4
+    ).fit(rows)
+    borders = dict(zip(cols, model.getSplitsArray()))
+    placed = model.transform(rows).select(
+        F.col(label).alias("class"), *[F.col(o).cast("int").alias(c) for c, o in zip(cols, outputs)]
+    )
+    counts = placed.unpivot(["class"], cols, "feature", "bin").groupBy("feature", "bin", "class").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return counts, borders
+
+
+def _entropy(counts: np.ndarray) -> float:
+    p = counts[counts > 0] / counts.sum()
+    return float(-(p * np.log2(p)).sum())
+
+
+def _description_length_cuts(table: np.ndarray) -> list[int]:
+    """Bins after which to cut: split by least class entropy while the gain pays for its description."""
+
+    def split(low: int, high: int) -> list[int]:
+        part = table[low:high]
+        total = part.sum(axis=0)
+        n = total.sum()
+        if high - low < 2 or n == 0:
+            return []
+        whole = _entropy(total)
+        left = np.cumsum(part, axis=0)[:-1]
+        best = None
+        for i in range(len(left)):
+            a, b = left[i], total - left[i]
+            if a.sum() == 0 or b.sum() == 0:
+                continue
+            e = (a.sum() * _entropy(a) + b.sum() * _entropy(b)) / n
+            if best is None or e < best[0]:
+                best = (e, i, a, b)
+        if best is None:
+            return []
+        e, i, a, b = best
+        k, k1, k2 = (int((v > 0).sum()) for v in (total, a, b))
+        delta = math.log2(3**k - 2) - (k * whole - k1 * _entropy(a) - k2 * _entropy(b))
+        if whole - e <= (math.log2(n - 1) + delta) / n:
+            return []
+        at = low + i + 1
+        return split(low, at) + [at] + split(at, high)
+
+    return split(0, len(table))
+
+
+def mdl_discretise(df: DataFrame, label: str, cols, bins: int = 256):
+    """Supervised cuts per feature: ``{feature: [cut, ...]}`` and the counts they are judged on.
+
+    Spark counts classes per quantile bin; the recursion sees only features x bins x classes numbers.
+    """
+    counts, borders = binned_counts(df, label, cols, bins)
+    counts = cut(counts)
+    classes = [r[0] for r in counts.select("class").distinct().orderBy("class").collect()]
+    tables = {c: np.zeros((len(borders[c]) - 1, len(classes))) for c in cols}
+    for r in counts.collect():
+        tables[r["feature"]][r["bin"], classes.index(r["class"])] = r["n"]
+    after = {c: _description_length_cuts(tables[c]) for c in cols}
+    return {c: [float(borders[c][i]) for i in after[c]] for c in cols}, counts, after
+
+
+def mdl_cuts(df: DataFrame, label: str, cols, bins: int = 256) -> DataFrame:
+    cuts, _, _ = mdl_discretise(df, label, cols, bins)
+    rows = [(c, i + 1, v) for c in cols for i, v in enumerate(cuts[c])]
+    if not rows:
+        return literal_frame(df.sparkSession, [("", 0, 0.0)], ["feature", "position", "cut"]).limit(0)
+    return literal_frame(df.sparkSession, rows, ["feature", "position", "cut"])
+
+
+def rank_features(df: DataFrame, label: str, cols, bins: int = 256) -> DataFrame:
+    """Cramer's V of each feature after supervised discretisation; a feature without a cut scores 0."""
+    _, counts, after = mdl_discretise(df, label, cols, bins)
+    merged = None
+    for c in cols:
+        # position of the bin among the accepted cuts
+        group = sum((F.when(F.col("bin") >= at, 1).otherwise(0) for at in after[c]), F.lit(0))
+        merged = F.when(F.col("feature") == c, group) if merged is None else merged.when(F.col("feature") == c, group)
+    regrouped = counts.groupBy("feature", merged.cast("string").alias("bin"), "class").agg(F.sum("n").alias("n"))
+    return v_from_counts(regrouped).orderBy(F.desc("v"), "feature")
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def scaled_like(train: DataFrame, test: DataFrame, cols):
+    """Both frames divided by the deviations of the training rows."""
+    deviations = train.agg(F.struct(*[F.stddev_samp(c).alias(c) for c in cols]).alias("s"))
+
+    def scale(df: DataFrame) -> DataFrame:
+        wide = df.withColumn("_s", deviations.scalar())
+        return wide.withColumns({c: ratio(F.col(c), F.col(f"_s.{c}")) for c in cols}).drop("_s")
+
+    return scale(train), scale(test)
+
+
+def knn_classify(
+    train: DataFrame, test: DataFrame, key: str, cols, label: str, ks, scaled: bool = True,
+    leaf_points: int = space.LEAF_POINTS,
+) -> DataFrame:
+    """Majority vote of the k nearest training rows for every k at once: ``(key, k, predicted)``.
+
+    One neighbour search to rank max(ks) serves all k. Distance ties go to the lower key, vote ties to
+    the first class in alphabetical order.
+    """
+    cols, ks = list(cols), sorted(set(ks))
+    train = drop_incomplete(train.select(key, label, *cols))
+    test = drop_incomplete(test.select(key, *cols))
+    if scaled:
+        train, test = scaled_like(train, test, cols)
+    train, test = cut(train), cut(test)
+    places = space.distinct_points(test, key, cols).select(F.col("pid").alias("qid"), *cols)
+    found = space.knn_join(places, train, key, cols, ks[-1], leaf_points)
+    ranked = found.select("qid", F.posexplode("found").alias("pos", "f")).select(
+        "qid", (F.col("pos") + 1).alias("rank"), F.col("f.key").alias(key)
+    )
+    votes = (
+        ranked.join(train.select(key, label), key)
+        .withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+        .filter(F.col("rank") <= F.col("k"))
+        .groupBy("qid", "k", label)
+        .agg(F.count(F.lit(1)).alias("votes"))
+    )
+    winner = votes.groupBy("qid", "k").agg(
+        F.min(F.struct((-F.col("votes")).alias("v"), F.col(label).alias("predicted"))).alias("w")
+    )
+    per_place = places.join(winner, "qid").select(*cols, "k", F.col("w.predicted").alias("predicted"))
+    return test.join(per_place, cols).select(key, "k", "predicted")
+
+
+def knn_cv(df: DataFrame, key: str, cols, label: str, fold: str, ks) -> DataFrame:
+    """Fold metrics of the neighbour vote: ``(model, fold, metric, value)`` on a shared fold column."""
+    rows = cut(drop_incomplete(df.select(key, label, fold, *cols)))
+
+    def run(f):
+        held = rows.filter(F.col(fold) == f)
+        votes = knn_classify(rows.filter(F.col(fold) != f), held, key, cols, label, ks)
+        guesses = votes.join(held.select(key, F.col(label).alias("actual")), key)
+        named = guesses.withColumn("model", F.format_string("knn k=%d", "k")).withColumn("fold", F.lit(f))
+        return confusion_cells(named).collect()
+
+    return metrics_from_cells(_cell_frame(df, _at_once(df, run, _levels(rows, fold))))
+
+
+def _levels(df: DataFrame, column: str) -> list:
+    return [r[0] for r in df.select(column).distinct().orderBy(column).collect()]
+
+
+def _at_once(df: DataFrame, run, tasks) -> list:
+    """Run independent fits on a few driver threads and chain their short row lists."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(run), tasks))
+    return [row for rows in found for row in rows]
+
+
+def _cell_frame(df: DataFrame, rows) -> DataFrame:
+    # models x folds x classes^2 counts
+    names = ["model", "fold", "actual", "predicted", "n"]
+    return literal_frame(df.sparkSession, [tuple(r[n] for n in names) for r in rows], names)
+
+
+# ---------------------------------------------------------------- fitted classifiers
+
+
+def class_codes(df: DataFrame, label: str) -> list[str]:
+    """The classes in alphabetical order; their position is the numeric label."""
+    return [r[0] for r in df.select(label).filter(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
+
+
+def _with_code(df: DataFrame, label: str, classes) -> DataFrame:
+    code = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1
+    return df.withColumn("label", code.cast("double"))
+
+
+def classifier_stages(kind: str, cols, classes, **settings):
+    """Assembler, scaler where it matters, and the estimator of a kind."""
+    assemble = VectorAssembler(inputCols=list(cols), outputCol="raw_features")
+    scale = StandardScaler(inputCol="raw_features", outputCol="features", withMean=kind == "mlp")
+    if kind == "forest":
+        settings = {"numTrees": 50, "maxDepth": 8, "seed": 1000, **settings}
+        return [assemble, RandomForestClassifier(featuresCol="raw_features", **settings)]
+    if kind == "tree":
+        return [assemble, DecisionTreeClassifier(featuresCol="raw_features", **{"maxDepth": 8, "seed": 1000, **settings})]
+    if kind == "bayes":
+        return [assemble, NaiveBayes(featuresCol="raw_features", modelType="gaussian", **settings)]
+    if kind == "mlp":
+        hidden = settings.pop("hidden", 5)
+        layers = [len(cols), hidden, len(classes)]
+        return [assemble, scale, MultilayerPerceptronClassifier(layers=layers, **{"maxIter": 60, "seed": 1000, **settings})]
+    raise ValueError(f"unknown classifier {kind}")
+
+
+def fit_classifier(train: DataFrame, cols, label: str, kind: str, classes=None, **settings):
+    """Fit on complete rows; returns the fitted stages and the class list."""
+    classes = class_codes(train, label) if classes is None else classes
+    rows = _with_code(drop_incomplete(train.select(label, *cols)), label, classes)
+    return Pipeline(stages=classifier_stages(kind, cols, classes, **settings)).fit(rows), classes
+
+
+def predict(model, classes, test: DataFrame, key: str, cols, name: str = "predicted") -> DataFrame:
+    """``(key, <name>)`` for the rows with complete features."""
+    scored = model.transform(drop_incomplete(test.select(key, *cols)))
+    return scored.select(key, _class_name(classes).alias(name))
+
+
+def _class_name(classes) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1)
+
+
+def predict_all(train: DataFrame, test: DataFrame, key: str, cols, label: str, k: int = 5) -> DataFrame:
+    """Predictions of three models side by side, joined by key."""
+    out = test.select(key, F.col(label).alias("actual"))
+    for kind in ("forest", "mlp"):
+        model, classes = fit_classifier(train, cols, label, kind)
+        out = out.join(predict(model, classes, test, key, cols, f"predicted_{kind}"), key)
+    votes = knn_classify(train, test, key, cols, label, [k])
+    return out.join(votes.select(key, F.col("predicted").alias("predicted_knn")), key)
+
+
+def forest_importance(train: DataFrame, cols, label: str) -> DataFrame:
+    """Impurity importances scaled so that the least is 0 and the greatest 100."""
+    model, _ = fit_classifier(train, cols, label, "forest")
+    raw = model.stages[-1].featureImportances.toArray()
+    low, high = float(raw.min()), float(raw.max())
+    rows = [(c, float((v - low) / (high - low) * 100) if high > low else 0.0) for c, v in zip(cols, raw)]
+    return literal_frame(train.sparkSession, rows, ["feature", "importance"]).orderBy(F.desc("importance"), "feature")
+
+
+def tune_grid(df: DataFrame, key: str, cols, label: str, fold: str, grid: dict[str, tuple[str, dict]]) -> DataFrame:
+    """Cross-validate every candidate on the shared folds: ``(model, fold, metric, value)``.
+
+    ``grid`` maps a candidate name to (kind, settings). Fits overlap, and each gives back only its
+    confusion counts.
+    """
+    rows = steady_layout(drop_incomplete(df.select(key, label, fold, *cols)), key).persist()
+    classes = class_codes(rows, label)
+
+    def run(task):
+        name, (kind, settings), f = task
+        model, _ = fit_classifier(rows.filter(F.col(fold) != f), cols, label, kind, classes, **settings)
+        held = rows.filter(F.col(fold) == f)
+        scored = model.transform(held).select(
+            F.lit(name).alias("model"), F.lit(f).alias("fold"), F.col(label).alias("actual"),
+            _class_name(classes).alias("predicted"),
+        )
+        return confusion_cells(scored).collect()
+
+    tasks = [(name, spec, f) for name, spec in grid.items() for f in _levels(rows, fold)]
+    cells = _cell_frame(df, _at_once(df, run, tasks))
+    rows.unpersist()
+    return metrics_from_cells(cells)
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+def confusion_matrix(df: DataFrame, predicted: str, actual: str, classes) -> DataFrame:
+    """Counts over the full grid of classes."""
+    return contingency_table(df, predicted, actual, classes)
+
+
+def confusion_cells(guesses: DataFrame) -> DataFrame:
+    """Counts of (actual, predicted) per model and fold."""
+    return guesses.groupBy("model", "fold", "actual", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fold_metrics(guesses: DataFrame) -> DataFrame:
+    """Accuracy and kappa per (model, fold): ``(model, fold, metric, value)``."""
+    return metrics_from_cells(confusion_cells(guesses))
+
+
+def metrics_from_cells(cells: DataFrame) -> DataFrame:
+    group = ["model", "fold"]
+    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
+    margins = cells.unpivot([*group, "n"], ["actual", "predicted"], "side", "class")
+    sides = margins.groupBy(*group, "class").agg(
+        F.sum(F.when(F.col("side") == "actual", F.col("n")).otherwise(0)).alias("n_actual"),
+        F.sum(F.when(F.col("side") == "predicted", F.col("n")).otherwise(0)).alias("n_predicted"),
+    )
+    chance = sides.groupBy(*group).agg(F.sum(F.col("n_actual").cast("double") * F.col("n_predicted")).alias("by_chance"))
+    per = cells.groupBy(*group).agg(F.sum("n").alias("n"), right.alias("right")).join(chance, group)
+    accuracy = ratio("right", "n")
+    expected = ratio("by_chance", F.col("n").cast("double") * F.col("n"))
+    return per.select(
+        *group, accuracy.alias("accuracy"), ratio(accuracy - expected, 1 - expected).alias("kappa")
+    ).unpivot(group, ["accuracy", "kappa"], "metric", "value")
+
+
+def compare_models(metrics: DataFrame) -> DataFrame:
+    """Six-number summary of every metric per model over the folds."""
+    by = ["model", "metric"]
+    middle = quantiles_wide(metrics, ["value"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, by).drop("column")
+    ends = metrics.groupBy(*by).agg(
+        F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max")
+    )
+    return ends.join(middle, by).select(*by, "min", "q1", "median", "mean", "q3", "max")
+
+
+def _margins(cells: DataFrame) -> DataFrame:
+    everything = Window.partitionBy(F.lit(1))
+    # the grid has one row per pair of classes
+    return cells.select(
+        "predicted", "actual", "n",
+        F.sum("n").over(Window.partitionBy("predicted")).alias("n_predicted"),
+        F.sum("n").over(Window.partitionBy("actual")).alias("n_actual"),
+        F.sum("n").over(everything).alias("total"),
+    )
+
+
+def confusion_overall(df: DataFrame, predicted: str, actual: str, classes) -> DataFrame:
+    """One row: counts, accuracy, no-information rate, kappa and McNemar's statistic."""
+    renamed = df.select(F.col(predicted).alias("predicted"), F.col(actual).alias("actual"))
+    grid = confusion_matrix(renamed, "predicted", "actual", classes)
+    cells = _margins(grid)
+    diagonal = F.col("predicted") == F.col("actual")
+    base = cells.agg(
+        F.max("total").alias("n"),
+        F.sum(F.when(diagonal, F.col("n"))).alias("right"),
+        F.max("n_actual").alias("largest"),
+        F.sum(F.when(diagonal, F.col("n_actual").cast("double") * F.col("n_predicted"))).alias("by_chance"),
+    )
+    swapped = grid.select(F.col("predicted").alias("actual"), F.col("actual").alias("predicted"), F.col("n").alias("m"))
+    pairs = grid.join(swapped, ["predicted", "actual"]).filter(F.col("predicted") < F.col("actual"))
+    difference = F.col("n").cast("double") - F.col("m")
+    # with two classes the statistic carries the continuity correction
+    step = F.greatest(F.abs(difference) - 1, F.lit(0.0)) if len(list(classes)) == 2 else difference
+    mcnemar = pairs.agg(F.sum(ratio(step * step, F.col("n") + F.col("m"))).alias("m")).scalar()
+    accuracy = ratio("right", "n")
+    expected = ratio("by_chance", F.col("n").cast("double") * F.col("n"))
+    return base.select(
+        "n", "right", accuracy.alias("accuracy"), ratio("largest", "n").alias("no_information_rate"),
+        ratio(accuracy - expected, 1 - expected).alias("kappa"), mcnemar.alias("mcnemar"),
+    )
+
+
+def confusion_tests(df: DataFrame, predicted: str, actual: str, classes) -> DataFrame:
+    """Exact interval of the accuracy, its test against the no-information rate, McNemar p: one row."""
+    classes = list(classes)
+    row = confusion_overall(df, predicted, actual, classes).first()
+    low, high = special.binomial_interval(row["right"], row["n"])
+    better = special.binomial_upper_tail(row["right"], row["n"], row["no_information_rate"])
+    freedom = len(classes) * (len(classes) - 1) / 2
+    unequal = None if row["mcnemar"] is None else float(special.chi_squared_tail(row["mcnemar"], freedom))
+    names = ["accuracy", "accuracy_low", "accuracy_high", "p_above_no_information", "p_mcnemar"]
+    return literal_frame(
+        df.sparkSession, [(row["accuracy"], float(low), float(high), float(better), unequal)], names
+    )
+
+
+def confusion_by_class(df: DataFrame, predicted: str, actual: str, classes) -> DataFrame:
+    """Per class: sensitivity, specificity, predictive values, prevalence, detection rates, balanced accuracy."""
+    renamed = df.select(F.col(predicted).alias("predicted"), F.col(actual).alias("actual"))
+    cells = _margins(confusion_matrix(renamed, "predicted", "actual", classes))
+    own = cells.filter(F.col("predicted") == F.col("actual"))
+    tp, n = F.col("n"), F.col("total")
+    fp, fn = F.col("n_predicted") - tp, F.col("n_actual") - tp
+    tn = n - tp - fp - fn
+    sensitivity, specificity = ratio(tp, tp + fn), ratio(tn, tn + fp)
+    prevalence = ratio("n_actual", n)
+    return own.select(
+        F.col("actual").alias("class"),
+        sensitivity.alias("sensitivity"),
+        specificity.alias("specificity"),
+        ratio(sensitivity * prevalence, sensitivity * prevalence + (1 - specificity) * (1 - prevalence)).alias("ppv"),
+        ratio(specificity * (1 - prevalence), (1 - sensitivity) * prevalence + specificity * (1 - prevalence)).alias("npv"),
+        prevalence.alias("prevalence"),
+        ratio(tp, n).alias("detection_rate"),
+        ratio("n_predicted", n).alias("detection_prevalence"),
+        ((sensitivity + specificity) / 2).alias("balanced_accuracy"),
+    )
+
+

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -13,12 +12,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
 from minekit.functions.expr import literal_frame
-from minekit.lineage import cut, number_rows
+from minekit.lineage import cut, number_rows, steady_layout
 from minekit.operators import space
 from minekit.operators.clean import unpivot_measures
 from minekit.operators.reduce import pca_fit
 
-ROWS_PER_PARTITION = 50_000
 FITS_AT_ONCE = 8
 MICRO_CLUSTERS = 512
 
@@ -27,10 +25,8 @@ MICRO_CLUSTERS = 512
 
 
 def fit_rows(df: DataFrame, key: str, cols) -> DataFrame:
-    """Key and feature vector in a layout that depends on the rows alone, not on the input's partitioning."""
-    rows = space.double_columns(df.select(key, *cols), cols)
-    partitions = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
-    ordered = rows.repartition(partitions, key).sortWithinPartitions(key)
+    """Key and feature vector, in a layout that does not depend on the input's partitioning."""
+    ordered = steady_layout(space.double_columns(df.select(key, *cols), cols), key)
     return VectorAssembler(inputCols=list(cols), outputCol="features").transform(ordered).select(key, "features", *cols)
 
 

@@ -281,7 +281,7 @@ def _mean_width() -> Column:
 def _longest_edge(cols):
     names = list(cols)
 
-    def work(key, members: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
         x = members[names].to_numpy(float)
         edges = clusterers.dense_tree(x) if len(x) > 1 else []
         return pd.DataFrame({"cluster": [key[0]], "widest_gap": [max((e[2] for e in edges), default=None)]})
