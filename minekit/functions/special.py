@@ -8,7 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _log_gamma(values):
+    flat = np.ravel(values)
+    return np.array([math.lgamma(v) for v in flat]).reshape(np.shape(values))
 
 
 def beta_cdf(a, b, x):

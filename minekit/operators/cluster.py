@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
@@ -17,7 +14,6 @@ from minekit.operators import space
 from minekit.operators.clean import unpivot_measures
 from minekit.operators.reduce import pca_fit
 
-FITS_AT_ONCE = 8
 MICRO_CLUSTERS = 512
 
 
@@ -34,16 +30,77 @@ def fit_kmeans(rows: DataFrame, k: int, seed: int):
     return KMeans(k=k, seed=seed, initMode="k-means||", maxIter=50, tol=1e-6).fit(rows)
 
 
-def fit_many(rows: DataFrame, tasks):
-    """Fit several ``(k, seed)`` models at once on the same persisted rows; small jobs overlap."""
-    fit = inheritable_thread_target(rows.sparkSession)(lambda task: (task, fit_kmeans(rows, *task)))
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        return list(pool.map(fit, tasks))
+def random_starts(rows: DataFrame, key: str, cols, size: int, seed: int) -> list[tuple]:
+    """``size`` random distinct places, drawn by a hash of the key so that partitioning has no say."""
+    places = rows.groupBy(*cols).agg(F.min(key).alias("pid"))
+    drawn = places.orderBy(F.xxhash64(F.lit(seed), "pid"), "pid").limit(size)
+    return [tuple(r[c] for c in cols) for r in drawn.collect()]
+
 
+def _centre_sums(cols, members: str, models):
+    """Per task: count, coordinate sums and cost of every cluster of every model."""
+    names = list(cols)
 
-def ordered_centres(model) -> np.ndarray:
+    def run(batches):
+        totals: dict = {}
+        for batch in batches:
+            x_all, belongs = batch[names].to_numpy(float), batch[members].to_numpy()
+            for part in np.unique(belongs):
+                x = x_all[belongs == part]
+                for model, (owner, centres) in models.items():
+                    if owner != part:
+                        continue
+                    square = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+                    at = square.argmin(axis=1)
+                    table = totals.setdefault(model, np.zeros((len(centres), len(names) + 2)))
+                    table[:, 0] += np.bincount(at, minlength=len(centres))
+                    table[:, 1] += np.bincount(at, weights=square[np.arange(len(x)), at], minlength=len(centres))
+                    for j in range(len(names)):
+                        table[:, 2 + j] += np.bincount(at, weights=x[:, j], minlength=len(centres))
+        out = [(m, c, list(map(float, row))) for m, table in totals.items() for c, row in enumerate(table)]
+        yield pd.DataFrame(out, columns=["model", "cluster", "sums"])
+
+    return run
+
+
+def kmeans_together(rows: DataFrame, cols, members: str, starts: dict, max_iter: int = 50, tol: float = 1e-6) -> dict:
+    """Fit many k-means models in the same passes: ``{model: (centres, cost)}``.
+
+    ``starts`` maps a model number to (value of ``members`` it is fitted on, first centres). Fitting
+    them one by one would read the data once per model and iteration; here an iteration reads it once
+    for all, and a task gives back a few sums per cluster. Models that have settled drop out.
+    """
+    active = {m: (part, np.array(c, dtype=float)) for m, (part, c) in starts.items()}
+    settled: dict = {}
+    for step in range(max_iter + 1):
+        if not active:
+            break
+        partial = rows.mapInPandas(_centre_sums(cols, members, active), "model int, cluster int, sums array<double>")
+        summed = (
+            partial.select("model", "cluster", F.posexplode("sums"))
+            .groupBy("model", "cluster", "pos")
+            .agg(F.sum("col").alias("value"))
+            .collect()
+        )
+        tables = {m: np.zeros((len(c), len(cols) + 2)) for m, (_, c) in active.items()}
+        for r in summed:
+            tables[r["model"]][r["cluster"], r["pos"]] = r["value"]
+        moved = {}
+        for m, (part, centres) in active.items():
+            n, cost = tables[m][:, :1], float(tables[m][:, 1].sum())
+            # an empty cluster keeps its centre
+            new = np.where(n > 0, tables[m][:, 2:] / np.maximum(n, 1), centres)
+            if step == max_iter or np.abs(new - centres).max() <= tol:
+                settled[m] = (centres, cost)
+            else:
+                moved[m] = (part, new)
+        active = moved
+    return settled
+
+
+def ordered_centres(centres) -> np.ndarray:
     """Centres in lexicographic order, so that cluster ids do not depend on the draw."""
-    centres = np.array([c for c in model.clusterCenters()])
+    centres = np.array(list(centres))
     return centres[np.lexsort(centres.T[::-1])]
 
 
@@ -66,30 +123,33 @@ def nearest_centre(df: DataFrame, cols, centres: np.ndarray, name: str = "cluste
 def kmeans_assign(df: DataFrame, key: str, cols, k: int, seed: int = 1234) -> DataFrame:
     rows = fit_rows(df, key, cols).persist()
     model = fit_kmeans(rows, k, seed)
-    labelled = nearest_centre(rows.select(key, *cols), list(cols), ordered_centres(model))
+    labelled = nearest_centre(rows.select(key, *cols), list(cols), ordered_centres(model.clusterCenters()))
     return labelled.select(key, "cluster")
 
 
 def kmeans_best_of(df: DataFrame, key: str, cols, k: int, starts: int = 5, seed: int = 1234) -> DataFrame:
-    """The start with the least total within-cluster sum of squares."""
-    rows = fit_rows(df, key, cols).persist()
-    fits = fit_many(rows, [(k, seed + s) for s in range(starts)])
-    _, best = min(fits, key=lambda f: (f[1].summary.trainingCost, f[0]))
-    return nearest_centre(rows.select(key, *cols), list(cols), ordered_centres(best)).select(key, "cluster")
+    """The random start with the least total within-cluster sum of squares."""
+    labelled, _ = kmeans_sweep(df, key, cols, [k], starts, seed)
+    return labelled.select(key, F.col(f"k{k}").alias("cluster"))
 
 
 def kmeans_sweep(df: DataFrame, key: str, cols, ks, starts: int = 5, seed: int = 1234):
-    """Best-of-``starts`` fit for each k: a frame of labels ``(key, cols..., k<k>)`` and the costs.
+    """Best of ``starts`` random starts for each k: labels ``(key, cols..., k<k>)`` and the costs.
 
-    Every criterion reads these labels, so no criterion refits.
+    All fits share their passes, and every criterion reads these labels, so no criterion refits.
     """
-    rows = fit_rows(df, key, cols).persist()
-    fits = fit_many(rows, [(k, seed + s) for k in ks for s in range(starts)])
+    cols, ks = list(cols), list(ks)
+    rows = steady_layout(space.double_columns(df.select(key, *cols), cols), key).withColumn("part", F.lit(0)).persist()
+    draws = [random_starts(rows, key, cols, max(ks), seed + s) for s in range(starts)]
+    if len(draws[0]) < max(ks):
+        raise ValueError("more clusters than distinct points")
+    tasks = [(k, s) for k in ks for s in range(starts)]
+    fits = kmeans_together(rows, cols, "part", {i: (0, draws[s][:k]) for i, (k, s) in enumerate(tasks)})
     labelled, costs = rows.select(key, *cols), {}
     for k in ks:
-        task, model = min((f for f in fits if f[0][0] == k), key=lambda f: (f[1].summary.trainingCost, f[0]))
-        costs[k] = model.summary.trainingCost
-        labelled = nearest_centre(labelled, list(cols), ordered_centres(model), f"k{k}")
+        best = min((i for i, task in enumerate(tasks) if task[0] == k), key=lambda i: (fits[i][1], i))
+        costs[k] = fits[best][1]
+        labelled = nearest_centre(labelled, cols, ordered_centres(fits[best][0]), f"k{k}")
     return labelled, costs
 
 

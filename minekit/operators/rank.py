@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from minekit.lineage import cut
+
 
 def sort_desc(df: DataFrame, column: str, key: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(column), F.asc(key))
@@ -21,11 +23,15 @@ def top_n(df: DataFrame, column: str, key: str, n: int) -> DataFrame:
 
 
 def best_worst(df: DataFrame, key: str, metrics: list[str], n: int) -> DataFrame:
-    """For each metric, the ``n`` highest (worst) and ``n`` lowest (best) entities."""
+    """For each metric, the ``n`` highest (worst) and ``n`` lowest (best) entities.
+
+    The key and the metrics are written once; each ranking then keeps ``n`` rows per partition.
+    """
     parts = []
+    narrow = cut(df.select(key, *metrics))
     for metric in metrics:
         value = F.col(metric).cast("double").alias("value")
-        base = df.select(F.lit(metric).alias("metric"), F.col(key), value).filter(F.col("value").isNotNull())
+        base = narrow.select(F.lit(metric).alias("metric"), F.col(key), value).filter(F.col("value").isNotNull())
         parts.append(base.orderBy(F.desc("value"), F.asc(key)).limit(n).withColumn("side", F.lit("worst")))
         parts.append(base.orderBy(F.asc("value"), F.asc(key)).limit(n).withColumn("side", F.lit("best")))
     return reduce(DataFrame.unionByName, parts)

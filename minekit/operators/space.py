@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from minekit.lineage import cut
 from minekit.operators.joins import first_rows
 
-LEAF_POINTS = 1024
+LEAF_POINTS = 4096
 VISITORS_PER_TASK = 8192
 SAMPLE_POINTS = 100_000
 SMALL_GRAPH = 200_000
@@ -184,9 +184,12 @@ def _nearest(cols, k: int, base_key: str):
         a, limit = visitors[names].to_numpy(float), visitors["radius"].to_numpy(float)
         for start in range(0, len(a), 512):
             d = distances(a[start : start + 512], b)
-            # residents are in key order, so a stable sort breaks ties by key
-            first = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for i, order in enumerate(first):
+            last = min(k, len(b)) - 1
+            bound = np.partition(d, last, axis=1)[:, last]
+            for i in range(len(d)):
+                order = np.nonzero(d[i] <= bound[i])[0]
+                # residents are in key order, so a stable sort breaks ties by key
+                order = order[np.argsort(d[i, order], kind="stable")][:k]
                 near = d[i, order]
                 kept = near <= limit[start + i]
                 out["qid"].append(visitors["qid"].iloc[start + i])

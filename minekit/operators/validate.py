@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from minekit.functions.expr import bands, literal_frame, ratio
-from minekit.lineage import cut
+from minekit.lineage import cut, steady_layout
 from minekit.operators import cluster as clusterers
 from minekit.operators import space
 from minekit.operators.clean import drop_incomplete
 from minekit.operators.corr import standardise
+from minekit.operators.joins import first_rows
 from minekit.operators.profile import contingency_table
 
 BLOCK = 4096
@@ -349,6 +350,11 @@ def sweep(df: DataFrame, key: str, cols, ks=range(2, 11), starts: int = 5, seed:
     return reduce(DataFrame.unionByName, parts)
 
 
+def hash_uniform(seed: int, key: str) -> Column:
+    """A draw from [0, 1) that depends on the seed and the key alone, whatever the partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2**53)).cast("double") / F.lit(float(2**53))
+
+
 def gap_statistic(df: DataFrame, key: str, cols, ks=range(1, 11), b: int = 10, seed: int = 1234) -> DataFrame:
     """Gap of log within-dispersion against uniform reference sets drawn in the rotated bounding box.
 
@@ -370,27 +376,34 @@ def gap_statistic(df: DataFrame, key: str, cols, ks=range(1, 11), b: int = 10, s
     high = [box[f"hi{a}"] for a in range(len(cols))]
 
     def reference(i: int) -> DataFrame:
-        uniform = [F.lit(lo) + F.rand(seed + 101 * i + a) * F.lit(hi - lo) for a, (lo, hi) in enumerate(zip(low, high))]
+        uniform = [
+            F.lit(lo) + hash_uniform(seed + 101 * i + a, key) * F.lit(hi - lo) for a, (lo, hi) in enumerate(zip(low, high))
+        ]
         made = rows.select(key, *[u.alias(f"u{a}") for a, u in enumerate(uniform)])
         axes = [F.col(f"u{a}") for a in range(len(cols))]
         back = [(_dot(axes, vectors[j, :]) + F.lit(float(mean[j]))).alias(c) for j, c in enumerate(cols)]
-        return cut(made.select(key, *back))
-
-    def log_w(frame: DataFrame) -> dict[int, float]:
-        fitted = clusterers.fit_rows(frame, key, cols).persist()
-        out = {k: m.summary.trainingCost for (k, _), m in clusterers.fit_many(fitted, [(k, seed) for k in ks if k > 1])}
-        if 1 in ks:
-            spread = reduce(lambda x, y: x + y, [F.var_pop(c) for c in cols])
-            out[1] = fitted.agg((F.count(F.lit(1)) * spread).alias("w")).first()["w"]
-        fitted.unpersist()
-        return {k: math.log(v) for k, v in out.items()}
-
-    mine = log_w(rows)
-    others = [log_w(reference(i)) for i in range(b)]
+        return made.select(key, *back)
+
+    # set 0 is the data, sets 1..b the references
+    sets = [rows.withColumn("part", F.lit(0))] + [reference(i).withColumn("part", F.lit(i)) for i in range(1, b + 1)]
+    together = steady_layout(reduce(DataFrame.unionByName, sets), key).persist()
+    order = F.xxhash64(F.lit(seed), F.col(key))
+    drawn = first_rows(together, ["part"], [order, F.col(key)], max(ks))
+    spots: dict[int, list] = {}
+    for r in drawn.orderBy("part", "rank").collect():
+        spots.setdefault(r["part"], []).append(tuple(r[c] for c in cols))
+    tasks = [(p, k) for p in range(b + 1) for k in ks if k > 1]
+    fits = clusterers.kmeans_together(together, cols, "part", {i: (p, spots[p][:k]) for i, (p, k) in enumerate(tasks)})
+    spread = reduce(lambda x, y: x + y, [F.var_pop(c) for c in cols])
+    whole = together.groupBy("part").agg((F.count(F.lit(1)) * spread).alias("w")).collect()
+    log_w = {(r["part"], 1): math.log(r["w"]) for r in whole}
+    log_w.update({task: math.log(fits[i][1]) for i, task in enumerate(tasks)})
+    together.unpersist()
     table = []
     for k in ks:
-        draws = np.array([o[k] for o in others])
-        table.append((k, mine[k], float(draws.mean()), float(draws.mean() - mine[k]), float(draws.std() * math.sqrt(1 + 1 / b))))
+        draws = np.array([log_w[(p, k)] for p in range(1, b + 1)])
+        mine = log_w[(0, k)]
+        table.append((k, mine, float(draws.mean()), float(draws.mean() - mine), float(draws.std() * math.sqrt(1 + 1 / b))))
     return literal_frame(df.sparkSession, table, ["k", "log_w", "e_log_w", "gap", "se"])
 
 
