@@ -39,13 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ROWS_PER_PARTITION = 50_000
+SMALL_PARTITION, LARGE_PARTITION, MANY_PARTITIONS = 50_000, 5_000_000, 4_000
 
 
 def steady_layout(df: DataFrame, key: str) -> DataFrame:
     """A layout that depends on the rows alone, so an iterative fit does not vary with the input's files."""
     rows = cut(df)
-    partitions = max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
+    n = rows.count()
+    partitions = min(math.ceil(n / SMALL_PARTITION), max(MANY_PARTITIONS, math.ceil(n / LARGE_PARTITION)))
+    partitions = max(partitions, 1)
     return rows.repartition(partitions, key).sortWithinPartitions(key)
 
 

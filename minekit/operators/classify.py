@@ -31,7 +31,11 @@ FITS_AT_ONCE = 8
 # ---------------------------------------------------------------- labels and splits
 
 
-def risk_class(column, high: float = 0.016, medium: float = 0.011) -> Column:
+# Class cuts on deaths per case
+HIGH_RISK, MEDIUM_RISK = 0.016, 0.011
+
+
+def risk_class(column, high: float = HIGH_RISK, medium: float = MEDIUM_RISK) -> Column:
     """Above ``high``, above ``medium``, else low; a NULL falls to low."""
     c = F.col(column) if isinstance(column, str) else column
     return F.when(c > high, "high").when(c > medium, "medium").otherwise("low")
@@ -106,7 +110,7 @@ def v_from_counts(counts: DataFrame) -> DataFrame:
 def binned_counts(df: DataFrame, label: str, cols, bins: int = 256):
     """Class counts per quantile bin of each feature, with the bin borders: (frame, borders)."""
     cols = list(cols)
-    rows = drop_incomplete(df.select(label, *[F.col(c).cast("double").alias(c) for c in cols]))
+    rows = cut(drop_incomplete(df.select(label, *[F.col(c).cast("double").alias(c) for c in cols])))
     outputs = [f"{c}__bin" for c in cols]
     model = QuantileDiscretizer(
         numBucketsArray=[bins] * len(cols), inputCols=cols, outputCols=outputs, relativeError=1e-4
@@ -305,8 +309,11 @@ def classifier_stages(kind: str, cols, classes, **settings):
 
 def fit_classifier(train: DataFrame, cols, label: str, kind: str, classes=None, **settings):
     """Fit on complete rows; returns the fitted stages and the class list."""
-    classes = class_codes(train, label) if classes is None else classes
-    rows = _with_code(drop_incomplete(train.select(label, *cols)), label, classes)
+    rows = drop_incomplete(train.select(label, *cols))
+    if classes is None:
+        rows = cut(rows)
+        classes = class_codes(rows, label)
+    rows = _with_code(rows, label, classes)
     return Pipeline(stages=classifier_stages(kind, cols, classes, **settings)).fit(rows), classes
 
 

@@ -236,7 +236,7 @@ def _count_within(cols, eps: float):
         b, weight = residents[names].to_numpy(float), residents["weight"].to_numpy()
         a = visitors[names].to_numpy(float)
         near = np.concatenate(
-            [(space.distances(a[s : s + 512], b) <= eps) @ weight for s in range(0, len(a), 512)]
+            [(space.distances(a[part], b) <= eps) @ weight for part in space.strips(len(a), len(b))]
         )
         return pd.DataFrame({"pid": visitors["pid"].to_numpy(), "near": near})
 
@@ -249,12 +249,12 @@ def _core_components(cols, eps: float):
     def work(core: pd.DataFrame) -> pd.DataFrame:
         core = core.sort_values("pid")
         x, ids = core[names].to_numpy(float), core["pid"].to_numpy()
-        a, b = [], []
-        for start in range(0, len(x), 512):
-            i, j = np.nonzero(space.distances(x[start : start + 512], x) <= eps)
-            a.append(i + start)
-            b.append(j)
-        label = space.union_labels(len(x), np.concatenate(a), np.concatenate(b))
+        label = np.arange(len(x))
+        for part in space.strips(len(x), len(x)):
+            i, j = np.nonzero(space.distances(x[part], x) <= eps)
+            # links found so far are carried as labels, so they are never all held at once
+            a = np.concatenate([i + part.start, np.arange(len(x))])
+            label = space.union_labels(len(x), a, np.concatenate([j, label]))
         return core.assign(local=ids[label])
 
     return work
@@ -269,9 +269,10 @@ def _touched(cols, eps: float):
         b, label = residents[names].to_numpy(float), residents["local"].to_numpy()
         a, own = visitors[names].to_numpy(float), visitors["local"].to_numpy()
         pairs = set()
-        for start in range(0, len(a), 512):
-            i, j = np.nonzero(space.distances(a[start : start + 512], b) <= eps)
-            pairs |= set(zip(own[i + start].tolist(), label[j].tolist()))
+        for part in space.strips(len(a), len(b)):
+            i, j = np.nonzero(space.distances(a[part], b) <= eps)
+            met = np.unique(np.column_stack([own[i + part.start], label[j]]), axis=0)
+            pairs |= set(map(tuple, met.tolist()))
         return pd.DataFrame(sorted(pairs), columns=["a", "b"])
 
     return work
@@ -286,11 +287,11 @@ def _least_label(cols, eps: float):
         residents = residents.sort_values("label")
         b, label = residents[names].to_numpy(float), residents["label"].to_numpy()
         a, ids, out = visitors[names].to_numpy(float), visitors["pid"].to_numpy(), []
-        for start in range(0, len(a), 512):
-            near = space.distances(a[start : start + 512], b) <= eps
+        for part in space.strips(len(a), len(b)):
+            near = space.distances(a[part], b) <= eps
             hit = near.any(axis=1)
             first = near.argmax(axis=1)
-            out.append(pd.DataFrame({"pid": ids[start : start + 512][hit], "label": label[first[hit]]}))
+            out.append(pd.DataFrame({"pid": ids[part][hit], "label": label[first[hit]]}))
         return pd.concat(out)
 
     return work
@@ -408,13 +409,13 @@ def _nearest_foreign(cols):
         b, b_id, b_comp = (residents[names].to_numpy(float), residents["pid"].to_numpy(), residents["comp"].to_numpy())
         a, a_id, a_comp = (visitors[names].to_numpy(float), visitors["pid"].to_numpy(), visitors["comp"].to_numpy())
         parts = []
-        for start in range(0, len(a), 512):
-            own = a_comp[start : start + 512]
-            d = space.distances(a[start : start + 512], b)
+        for part in space.strips(len(a), len(b)):
+            own = a_comp[part]
+            d = space.distances(a[part], b)
             d[own[:, None] == b_comp[None, :]] = np.inf
             least = d.min(axis=1)
             rows, at = np.nonzero((d == least[:, None]) & np.isfinite(d))
-            mine, theirs = a_id[start + rows], b_id[at]
+            mine, theirs = a_id[part.start + rows], b_id[at]
             parts.append(
                 pd.DataFrame(
                     {

@@ -12,6 +12,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from minekit.functions.expr import literal_frame
+from minekit.lineage import cut
 from minekit.operators.clean import drop_incomplete
 from minekit.operators.corr import correlation_dense, scale_only, standardise
 
@@ -41,7 +42,7 @@ def independent_columns(df: DataFrame, cols, tolerance: float = 1e-9) -> list[st
 
 def linear_model(df: DataFrame, cols, target: str) -> DataFrame:
     """Least squares on all independent features: ``(term, coefficient, std_error, t)``; aliased terms are NULL."""
-    rows = drop_incomplete(df.select(*[F.col(c).cast("double").alias(c) for c in [*cols, target]]))
+    rows = cut(drop_incomplete(df.select(*[F.col(c).cast("double").alias(c) for c in [*cols, target]])))
     used = independent_columns(rows, cols)
     assembled = VectorAssembler(inputCols=used, outputCol="features").transform(rows)
     model = LinearRegression(labelCol=target, solver="normal", standardization=True).fit(assembled)
@@ -112,8 +113,8 @@ def repeated_cv(df: DataFrame, key: str, cols, target: str, folds: int = 10, rep
     cols = list(cols)
     width = len(cols) + 1
     numbers = [F.col(c).cast("double").alias(c) for c in [*cols, target]]
-    rows = drop_incomplete(df.select(key, *numbers))
-    rows = standardise(rows, cols)
+    rows = standardise(cut(drop_incomplete(df.select(key, *numbers))), cols)
+    rows = cut(rows)
     used = independent_columns(rows, cols)
     keep = [0] + [1 + cols.index(c) for c in used]
     with_folds = rows.select(
@@ -208,7 +209,7 @@ class PcaResult:
 
 def pca_fit(df: DataFrame, cols) -> PcaResult:
     """Principal components of the standardised columns."""
-    rows = drop_incomplete(standardise(df, cols).select(*cols))
+    rows = cut(drop_incomplete(standardise(df, cols).select(*cols)))
     vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(rows)
     model = PCA(k=len(cols), inputCol="v", outputCol="s").fit(vectors)
     share = model.explainedVariance.toArray()

@@ -19,7 +19,11 @@ from minekit.operators.joins import first_rows
 
 LEAF_POINTS = 4096
 VISITORS_PER_TASK = 8192
-SAMPLE_POINTS = 100_000
+# the sample grows with the number of leaves up to a bound on what the driver holds; beyond that bound
+# leaves grow instead
+SAMPLE_PER_LEAF = 32
+LEAST_SAMPLE, MOST_SAMPLE = 100_000, 4_000_000
+DISTANCES_AT_ONCE = 4_000_000
 SMALL_GRAPH = 200_000
 
 
@@ -91,6 +95,12 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def strips(n_rows: int, n_against: int):
+    """Row ranges whose distance tables stay within a fixed size."""
+    step = max(1, DISTANCES_AT_ONCE // max(n_against, 1))
+    return [slice(start, min(start + step, n_rows)) for start in range(0, n_rows, step)]
+
+
 def double_columns(df: DataFrame, cols) -> DataFrame:
     """Coordinates as doubles; rows with a missing coordinate have no place and are dropped."""
     keep = [c for c in df.columns if c not in cols]
@@ -110,14 +120,15 @@ def distinct_points(df: DataFrame, key: str, cols) -> DataFrame:
 def plant(points: DataFrame, cols, leaf_points: int = LEAF_POINTS) -> Leaves:
     """Cutting planes for a materialised table of points."""
     n = points.count()
-    depth = max(0, math.ceil(math.log2(max(n, 1) / leaf_points)))
+    most_leaves = max(2, MOST_SAMPLE // SAMPLE_PER_LEAF)
+    depth = max(0, math.ceil(math.log2(min(max(n, 1) / leaf_points, most_leaves))))
     if depth == 0:
         return Leaves(np.zeros(0, dtype=int), np.zeros(0), 0, len(cols))
-    share = min(1.0, SAMPLE_POINTS / n)
+    wanted = min(max(LEAST_SAMPLE, SAMPLE_PER_LEAF * 2**depth), MOST_SAMPLE)
     sample = points.select(*cols)
-    if share < 1.0:
-        sample = sample.sample(share, seed=7)
-    # at most about SAMPLE_POINTS rows, whatever the table holds
+    if wanted < n:
+        sample = sample.sample(wanted / n, seed=7)
+    # about MOST_SAMPLE rows at most, whatever the table holds
     return Leaves.build(sample.toPandas().to_numpy(float), depth, len(cols))
 
 
@@ -182,8 +193,8 @@ def _nearest(cols, k: int, base_key: str):
         block = residents.sort_values(base_key)
         b, keys = block[names].to_numpy(float), block[base_key].to_numpy()
         a, limit = visitors[names].to_numpy(float), visitors["radius"].to_numpy(float)
-        for start in range(0, len(a), 512):
-            d = distances(a[start : start + 512], b)
+        for part in strips(len(a), len(b)):
+            d = distances(a[part], b)
             last = min(k, len(b)) - 1
             bound = np.partition(d, last, axis=1)[:, last]
             for i in range(len(d)):
@@ -191,8 +202,8 @@ def _nearest(cols, k: int, base_key: str):
                 # residents are in key order, so a stable sort breaks ties by key
                 order = order[np.argsort(d[i, order], kind="stable")][:k]
                 near = d[i, order]
-                kept = near <= limit[start + i]
-                out["qid"].append(visitors["qid"].iloc[start + i])
+                kept = near <= limit[part.start + i]
+                out["qid"].append(visitors["qid"].iloc[part.start + i])
                 out["found"].append([{"d": float(v), "key": int(n)} for v, n in zip(near[kept], keys[order][kept])])
         return pd.DataFrame(out)
 

@@ -43,9 +43,9 @@ def _block_sums(cols, labels):
         parts = []
         if len(mine) and len(block):
             a, b, w = mine[names].to_numpy(float), block[names].to_numpy(float), block["weight"].to_numpy(float)
-            for start in range(0, len(a), 512):
-                rows = mine.iloc[start : start + 512]
-                d = space.distances(a[start : start + 512], b)
+            for part in space.strips(len(a), len(b)):
+                rows = mine.iloc[part]
+                d = space.distances(a[part], b)
                 weighted = d * w
                 for name in labels:
                     codes = block[name].to_numpy()
@@ -414,6 +414,11 @@ def _dot(columns, weights):
 # ---------------------------------------------------------------- against given classes
 
 
+# Cuts on a standardised outcome and the classes of the bands they make, lowest band first
+FIVE_BANDS = ([-0.66, -0.3, 0.2, 0.45], [5, 4, 3, 2, 1])
+THREE_BANDS = ([-0.3, 1.20], [3, 1, 2])
+
+
 def truth_bands(df: DataFrame, column: str, cuts, labels):
     """Class per row from bands of a standardised column."""
     return standardise(df, [column]).withColumn("truth", bands(column, cuts, labels))

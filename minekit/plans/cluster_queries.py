@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minekit.functions.expr import ratio, rounded
+from minekit.functions.expr import bands, ratio, rounded
 from minekit.operators import cluster, joins, profile, validate
 from minekit.plans import views
 from minekit.plans.registry import query
@@ -235,12 +235,13 @@ def q_gap_statistic(spark, sf):
 
 
 @query("truth_bands", with_views("entity", """
-    SELECT entity_key, CASE WHEN r < -0.66 THEN 5 WHEN r < -0.3 THEN 4 WHEN r < 0.2 THEN 3 WHEN r < 0.45 THEN 2 WHEN r >= 0.45 THEN 1 END AS truth
+    SELECT entity_key, CASE WHEN r < -0.66 THEN 5 WHEN r < -0.3 THEN 4 WHEN r < 0.2 THEN 3 WHEN r < 0.45 THEN 2 WHEN r >= 0.45 THEN 1 END AS truth,
+           CASE WHEN r < -0.3 THEN 3 WHEN r < 1.20 THEN 1 WHEN r >= 1.20 THEN 2 END AS truth_three
     FROM (SELECT entity_key, (deaths / cases - (SELECT avg(deaths / cases) FROM entity)) / (SELECT stddev_samp(deaths / cases) FROM entity) AS r FROM entity)"""))
 def q_truth_bands(spark, sf):
     df = views.entity(spark, sf).select("entity_key", ratio("deaths", "cases").alias("death_per_case"))
-    banded = validate.truth_bands(df, "death_per_case", [-0.66, -0.3, 0.2, 0.45], [5, 4, 3, 2, 1])
-    return banded.select("entity_key", "truth")
+    banded = validate.truth_bands(df, "death_per_case", *validate.FIVE_BANDS)
+    return banded.select("entity_key", "truth", bands("death_per_case", *validate.THREE_BANDS).alias("truth_three"))
 
 
 LEVELS = 10
