@@ -85,14 +85,42 @@ def q_hier_complete_k(spark, sf):
     return cluster.complete_linkage(views.points(spark, sf), "vec_id", AXES, 4)
 
 
-@query("hier_single_k")
+def _tree_sql(part: str) -> str:
+    """Spanning trees grown one point per step: take the nearest outside point, then relax the others."""
+    return f"""seed AS (SELECT {part} AS part, min(vec_id) AS s FROM points GROUP BY 1),
+    grow(step, id, part, x, y, z, done, best, src) AS (
+        SELECT 0, b.vec_id, seed.part, b.x, b.y, b.z, b.vec_id = s, {DISTANCE}, CASE WHEN b.vec_id <> s THEN s END
+        FROM points b JOIN seed ON b.{part} = seed.part JOIN points a ON a.vec_id = s
+        UNION ALL
+        SELECT step + 1, id, part, x, y, z, done OR id = c_id,
+               CASE WHEN NOT done AND id <> c_id AND d < best THEN d ELSE best END,
+               CASE WHEN NOT done AND id <> c_id AND d < best THEN c_id ELSE src END
+        FROM (SELECT *, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)) AS d
+              FROM (SELECT *, first_value(id) OVER w AS c_id, first_value(x) OVER w AS cx, first_value(y) OVER w AS cy,
+                           first_value(z) OVER w AS cz, bool_and(done) OVER (PARTITION BY part) AS finished
+                    FROM grow WINDOW w AS (PARTITION BY part ORDER BY done, best, id)))
+        WHERE NOT finished),
+    tree AS (SELECT part, least(id, src) AS a, greatest(id, src) AS b, best AS height
+             FROM grow JOIN (SELECT part, max(step) AS step FROM grow GROUP BY part) USING (part, step) WHERE src IS NOT NULL)"""
+
+
+ONE_TREE = "WITH marked AS (SELECT *, 1 AS all_rows FROM points), " + _tree_sql("all_rows").replace("points", "marked")
+
+
+@query("hier_single_k", with_views("points", f"""{ONE_TREE},
+    kept AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (ORDER BY height DESC, a DESC, b DESC) AS r FROM tree) WHERE r > 3),
+    link AS (SELECT a AS i, b AS j FROM kept UNION ALL SELECT b, a FROM kept),
+    reach(i, label) AS (SELECT vec_id, vec_id FROM points UNION SELECT l.j, r.label FROM reach r JOIN link l ON r.i = l.i),
+    tops AS (SELECT i AS vec_id, min(label) AS label FROM reach GROUP BY i)
+    SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS cluster FROM tops"""))
 def q_hier_single_k(spark, sf):
     return cluster.single_linkage(views.points(spark, sf), "vec_id", AXES, 4)
 
 
-@query("merge_heights")
+@query("merge_heights", with_views("points", f"""{ONE_TREE}
+    SELECT CAST(row_number() OVER (ORDER BY height, a, b) - 1 AS BIGINT) AS step, a, b, round(height, 6) AS height FROM tree"""))
 def q_merge_heights(spark, sf):
-    return cluster.merge_heights(views.points(spark, sf), "vec_id", AXES)
+    return rounded(cluster.merge_heights(views.points(spark, sf), "vec_id", AXES))
 
 
 EPS, MIN_POINTS = 0.6, 5
@@ -185,9 +213,10 @@ def q_cluster_stats(spark, sf):
     return rounded(validate.cluster_stats(views.points(spark, sf), "vec_id", AXES))
 
 
-@query("widest_gap")
+@query("widest_gap", with_views("points", f"""WITH {_tree_sql("cluster")}
+    SELECT CAST(part AS BIGINT) AS cluster, round(max(height), 6) AS widest_gap FROM tree GROUP BY part"""))
 def q_widest_gap(spark, sf):
-    return validate.widest_gap(views.points(spark, sf), "vec_id", AXES)
+    return rounded(validate.widest_gap(views.points(spark, sf), "vec_id", AXES))
 
 
 

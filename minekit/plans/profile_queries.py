@@ -197,7 +197,21 @@ def q_box_stats_grouped(spark, sf):
     return rounded(profile.box_stats(views.entity(spark, sf), ["cases", "avg_price"], ["segment"]), 4)
 
 
-@query("box_stats_hinges")
+def _hinge_sql(cols) -> str:
+    """Hinges from the ordered values: the mean of the two values around a half-integer depth."""
+    def at(depth):
+        return f"(l[CAST(floor({depth}) AS INTEGER)] + l[CAST(ceil({depth}) AS INTEGER)]) / 2"
+
+    lists = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", list(CAST({c} AS DOUBLE) ORDER BY {c}) AS l, count({c}) AS n FROM entity""" for c in cols
+    )
+    return f"""WITH v AS ({lists}), d AS (SELECT *, floor((n + 3) / 2) / 2 AS depth FROM v),
+        f AS (SELECT "column", l, {at("depth")} AS q1, {at("(n + 1) / 2")} AS median, {at("n + 1 - depth")} AS q3 FROM d),
+        j AS (SELECT "column", q1, median, q3, unnest(l) AS value FROM f),
+        k AS (SELECT *, value BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS kept FROM j)"""
+
+
+@query("box_stats_hinges", with_views("entity", f"""{_hinge_sql(BOX_COLS)} SELECT "column", {BOX_SELECT} FROM k GROUP BY "column" """))
 def q_box_stats_hinges(spark, sf):
     return rounded(profile.box_stats(views.entity(spark, sf), BOX_COLS, hinges=True), 4)
 

@@ -152,10 +152,23 @@ def q_linear_band(spark, sf):
     return trend.linear_band(views.entity(spark, sf), "cases", "deaths")
 
 
-@query("local_trend")
+@query("local_trend", with_views("daily", """
+    WITH v AS (SELECT CAST(date_diff('day', DATE '1970-01-01', day) AS DOUBLE) AS x, CAST(n_events AS DOUBLE) AS y FROM daily),
+    e AS (SELECT min(x) AS lo, max(x) AS hi FROM v),
+    g AS (SELECT CAST(i AS INTEGER) AS g, lo + (hi - lo) * (i / 79.0) AS px FROM e, (SELECT unnest(range(80)) AS i)),
+    h AS (SELECT g, px, quantile_disc(abs(x - px), 0.75) AS h FROM g, v GROUP BY g, px),
+    u AS (SELECT g, px, x, y, (x - px) / nullif(h, 0) AS u FROM h, v),
+    w AS (SELECT *, pow(1 - pow(abs(u), 3), 3) AS w FROM u WHERE abs(u) < 1),
+    s AS (SELECT g, px, count(DISTINCT x) AS n_x, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * pow(u, 3)) AS s3, sum(w * pow(u, 4)) AS s4,
+                 sum(w * y) AS t0, sum(w * y * u) AS t1, sum(w * y * u * u) AS t2, sum(w * y * y) AS q FROM w GROUP BY g, px),
+    c AS (SELECT *, s2 * s4 - s3 * s3 AS a, s2 * s3 - s1 * s4 AS b, s1 * s3 - s2 * s2 AS d, s0 * s4 - s2 * s2 AS e, s1 * s2 - s0 * s3 AS f, s0 * s2 - s1 * s1 AS k FROM s),
+    m AS (SELECT *, s0 * a + s1 * b + s2 * d AS det FROM c),
+    r AS (SELECT *, (a * t0 + b * t1 + d * t2) / det AS b0, (b * t0 + e * t1 + f * t2) / det AS b1, (d * t0 + f * t1 + k * t2) / det AS b2 FROM m)
+    SELECT g, round(px, 6) AS x, CASE WHEN n_x >= 3 THEN round(b0, 6) END AS fit,
+           CASE WHEN n_x >= 3 THEN round(sqrt(greatest(q - b0 * t0 - b1 * t1 - b2 * t2, 0) / s0 * a / det), 6) END AS se FROM r"""))
 def q_local_trend(spark, sf):
     daily = views.daily(spark, sf).select(F.unix_date("day").alias("day_number"), "n_events")
-    return trend.local_trend(daily, "day_number", "n_events")
+    return rounded(trend.local_trend(daily, "day_number", "n_events"))
 
 
 MODEL = ["cases", "population", "balance", "avg_price", "sum_price", "avg_discount", "avg_tax"]
