@@ -66,7 +66,7 @@ def number_rows(df: DataFrame, order_by, partition_by=(), name: str = "position"
     # one row per (range, group): bounded by the partition count plus the number of groups
     sizes = ranged.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    offsets = cut(sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size"))
     inside = Window.partitionBy("_range", *group).orderBy(*order)
     numbered = ranged.withColumn("_local", F.row_number().over(inside) - 1)
     same = F.col("n._range") == F.col("o._range")

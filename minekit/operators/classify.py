@@ -68,7 +68,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int
 def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, seed: int | None = None) -> DataFrame:
     """Add ``part``: the first ``ceil(share * n)`` rows of each class train, the rest test."""
     placed = _class_position(df, key, label, seed)
-    sizes = df.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count(F.lit(1)) * share).alias("_train"))
+    sizes = cut(df.groupBy(F.col(label).alias("_label")).agg(F.ceil(F.count(F.lit(1)) * share).alias("_train")))
     joined = placed.join(sizes, F.col(label).eqNullSafe(F.col("_label")))
     part = F.when(F.col("_position") < F.col("_train"), "train").otherwise("test")
     return joined.withColumn("part", part).drop("_position", "_label", "_train")

@@ -468,7 +468,7 @@ def spanning_tree(placed: DataFrame, cols, leaves: space.Leaves) -> DataFrame:
         reach = reach.join(home.select("comp", F.col("e.height").alias("near")), "comp", "left").select(
             "comp", F.coalesce("near", "far").alias("reach")
         )
-        asking = labelled.join(reach, "comp").withColumn("radius", F.col("reach")).select(labelled.columns)
+        asking = labelled.join(cut(reach), "comp").withColumn("radius", F.col("reach")).select(labelled.columns)
         outside = space.meet(
             space.visits(asking, cols, leaves, "radius", True), labelled, _nearest_foreign(cols), EDGE, "pid"
         )

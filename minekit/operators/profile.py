@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from minekit.functions.expr import is_missing, literal_frame, numeric_columns, quoted, ratio
 from minekit.functions.special import t_quantile_975
+from minekit.lineage import cut
 
 # quantile sketch: rank error at most 1 / accuracy
 SKETCH_ACCURACY = 10_000
@@ -61,9 +62,7 @@ def quantile_table(df: DataFrame, cols, probs, by=(), rank=linear_rank) -> DataF
             for i, p in enumerate(probs)
         ]
     )
-    # one row per (group, column): small unless ``by`` has many groups, when both sides shuffle on it
-    wanted = sketch.select(*group, "n", targets.alias("targets"))
-    matched = _null_safe_join(values, wanted, by, ["column"])
+    matched = _attach_per_column(values, sketch.select(*group, "n", targets.alias("targets")), by)
     each = matched.select(*group, "n", "value", F.explode("targets").alias("t")).select(
         *group, "n", "value", "t.*"
     )
@@ -100,20 +99,24 @@ def quantile_table(df: DataFrame, cols, probs, by=(), rank=linear_rank) -> DataF
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, by: list[str], exact: list[str]) -> DataFrame:
-    """Inner join where a NULL group key matches itself."""
+def _attach_per_column(values: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
+    """Add the columns of a table that has one row per (by..., column).
+
+    Without groups the table is one scalar map, so the values are not shuffled. With groups it is
+    written first, so that the planner knows its size and broadcasts it when it is small.
+    """
+    extra = [c for c in table.columns if c not in by and c != "column"]
     if not by:
-        return left.join(right, exact)
-    a, b = left.alias("a"), right.alias("b")
+        entry = F.struct("column", F.struct(*extra).alias("row"))
+        lookup = table.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+        found = values.withColumn("_row", lookup[F.col("column")])
+        return found.select(*values.columns, *[F.col(f"_row.{c}").alias(c) for c in extra])
+    a, b = values.alias("a"), cut(table).alias("b")
     condition = reduce(
         lambda x, y: x & y,
-        [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col(f"a.{c}") == F.col(f"b.{c}") for c in exact],
+        [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col("a.column") == F.col("b.column")],
     )
-    extra = [F.col(f"b.{c}") for c in right.columns if c not in by and c not in exact]
-    return a.join(b, condition).select(*[F.col(f"a.{c}") for c in left.columns], *extra)
-
-
-QUARTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
+    return a.join(b, condition).select(*[F.col(f"a.{c}") for c in values.columns], *[F.col(f"b.{c}") for c in extra])
 
 
 def quantiles_wide(df: DataFrame, cols, probs: dict[str, float], by=(), rank=linear_rank) -> DataFrame:
@@ -155,8 +158,9 @@ def summary_categorical(df: DataFrame, cols) -> DataFrame:
     """Level counts and shares of string columns, long form."""
     long = df.select(*[F.col(quoted(c)).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "level")
     counts = long.groupBy("column", "level").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("column").agg(F.sum("n").alias("n_rows"))
-    return counts.join(totals, "column").select("column", "level", "n", ratio("n", "n_rows").alias("share"))
+    # a missing cell is a level too, so every column has as many cells as the table has rows
+    n_rows = df.agg(F.count(F.lit(1))).scalar()
+    return counts.select("column", "level", "n", ratio(F.col("n"), n_rows).alias("share"))
 
 
 def summary_table(df: DataFrame, numeric, categorical) -> DataFrame:
@@ -273,7 +277,7 @@ def box_fences(df: DataFrame, cols, by=(), hinges: bool = False) -> DataFrame:
 def box_stats(df: DataFrame, cols, by=(), hinges: bool = False) -> DataFrame:
     """Box-plot statistics: quartiles, whiskers to the outermost points within the fences, outlier count."""
     by = list(by)
-    values = _null_safe_join(long_values(df, cols, by), box_fences(df, cols, by, hinges), by, ["column"])
+    values = _attach_per_column(long_values(df, cols, by), box_fences(df, cols, by, hinges), by)
     kept = F.when(F.col("value").between(F.col("low_fence"), F.col("high_fence")), F.col("value"))
     return values.groupBy(*by, "column").agg(
         F.min(kept).alias("whisker_low"),
@@ -288,7 +292,8 @@ def box_stats(df: DataFrame, cols, by=(), hinges: bool = False) -> DataFrame:
 
 def box_outliers(df: DataFrame, key: str, cols) -> DataFrame:
     """The values outside the fences, with their keys."""
-    values = long_values(df, cols, [key]).join(box_fences(df, cols).select("column", "low_fence", "high_fence"), "column")
+    fences = box_fences(df, cols).select("column", "low_fence", "high_fence")
+    values = _attach_per_column(long_values(df, cols, [key]), fences, [])
     return values.filter((F.col("value") < F.col("low_fence")) | (F.col("value") > F.col("high_fence"))).select(
         key, "column", "value"
     )

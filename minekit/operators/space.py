@@ -164,8 +164,9 @@ def visits(points: DataFrame, cols, leaves: Leaves, radius: str, skip_home: bool
 
 def meet(visitors: DataFrame, residents: DataFrame, work, schema: str, spread_by: str) -> DataFrame:
     """Run ``work(visitors, residents)`` per leaf, a busy leaf split over several tasks."""
-    sizes = visitors.groupBy("leaf").agg(
-        F.ceil(F.count(F.lit(1)) / VISITORS_PER_TASK).cast("int").alias("chunks")
+    # one row per leaf, written so that the planner sees it is small and does not shuffle the visitors by leaf
+    sizes = cut(
+        visitors.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / VISITORS_PER_TASK).cast("int").alias("chunks"))
     )
     chunk = F.pmod(F.xxhash64(spread_by), F.col("chunks")).cast("int")
     left = visitors.join(sizes, "leaf").withColumn("chunk", chunk).drop("chunks")

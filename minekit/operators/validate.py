@@ -86,7 +86,8 @@ def place_sums(places: DataFrame, cols, labels=("cluster",), block: int = BLOCK)
     summed = found.groupBy("labeling", "pid", "own", "weight", "other").agg(
         F.sum("total").alias("total"), F.min("near").alias("near"), F.max("far").alias("far")
     )
-    sizes = (
+    # one row per cluster, written so that its size is known to the planner
+    sizes = cut(
         places.select("weight", *labels)
         .unpivot(["weight"], labels, "labeling", "other")
         .groupBy("labeling", "other")
