@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target

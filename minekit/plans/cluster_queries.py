@@ -266,7 +266,7 @@ def q_gap_statistic(spark, sf):
 @query("truth_bands", with_views("entity", """
     SELECT entity_key, CASE WHEN r < -0.66 THEN 5 WHEN r < -0.3 THEN 4 WHEN r < 0.2 THEN 3 WHEN r < 0.45 THEN 2 WHEN r >= 0.45 THEN 1 END AS truth,
            CASE WHEN r < -0.3 THEN 3 WHEN r < 1.20 THEN 1 WHEN r >= 1.20 THEN 2 END AS truth_three
-    FROM (SELECT entity_key, (deaths / cases - (SELECT avg(deaths / cases) FROM entity)) / (SELECT stddev_samp(deaths / cases) FROM entity) AS r FROM entity)"""))
+    FROM (SELECT entity_key, (deaths / nullif(cases, 0) - (SELECT avg(deaths / nullif(cases, 0)) FROM entity)) / (SELECT stddev_samp(deaths / nullif(cases, 0)) FROM entity) AS r FROM entity)"""))
 def q_truth_bands(spark, sf):
     df = views.entity(spark, sf).select("entity_key", ratio("deaths", "cases").alias("death_per_case"))
     banded = validate.truth_bands(df, "death_per_case", *validate.FIVE_BANDS)
@@ -353,7 +353,7 @@ def _labelled_entities(spark, sf):
 
 
 @query("cluster_risk", with_views("entity points", """
-    SELECT p.cluster, round(avg(cases / population * 1000), 6) AS avg_cases, round(avg(deaths / population * 1000), 6) AS avg_deaths
+    SELECT p.cluster, round(avg(cases / nullif(population, 0) * 1000), 6) AS avg_cases, round(avg(deaths / nullif(population, 0) * 1000), 6) AS avg_deaths
     FROM entity LEFT JOIN points p ON entity_key = vec_id GROUP BY p.cluster"""))
 def q_cluster_risk(spark, sf):
     return rounded(

@@ -416,8 +416,9 @@ def q_top_n(spark, sf):
 
 
 @query("best_worst", with_views("entity", """
-    WITH r AS (SELECT entity_key, round(cases / population * 1000, 6) AS cases_per_1000, round(deaths / population * 1000, 6) AS deaths_per_1000,
-                 round(deaths / cases, 6) AS death_per_case FROM entity),
+    WITH r AS (SELECT entity_key, round(cases / nullif(population, 0) * 1000, 6) AS cases_per_1000,
+                 round(deaths / nullif(population, 0) * 1000, 6) AS deaths_per_1000,
+                 round(deaths / nullif(cases, 0), 6) AS death_per_case FROM entity),
     l AS (SELECT entity_key, 'cases_per_1000' AS metric, cases_per_1000 AS value FROM r
           UNION ALL SELECT entity_key, 'deaths_per_1000', deaths_per_1000 FROM r
           UNION ALL SELECT entity_key, 'death_per_case', death_per_case FROM r),
