@@ -121,7 +121,7 @@ def nearest_centre(df: DataFrame, cols, centres: np.ndarray, name: str = "cluste
 
 
 def kmeans_assign(df: DataFrame, key: str, cols, k: int, seed: int = 1234) -> DataFrame:
-    rows = fit_rows(df, key, cols).persist()
+    rows = fit_rows(df, key, cols)
     model = fit_kmeans(rows, k, seed)
     labelled = nearest_centre(rows.select(key, *cols), list(cols), ordered_centres(model.clusterCenters()))
     return labelled.select(key, "cluster")
@@ -150,6 +150,7 @@ def kmeans_sweep(df: DataFrame, key: str, cols, ks, starts: int = 5, seed: int =
         best = min((i for i, task in enumerate(tasks) if task[0] == k), key=lambda i: (fits[i][1], i))
         costs[k] = fits[best][1]
         labelled = nearest_centre(labelled, cols, ordered_centres(fits[best][0]), f"k{k}")
+    rows.unpersist()
     return labelled, costs
 
 
@@ -532,7 +533,7 @@ def complete_linkage(df: DataFrame, key: str, cols, k: int, m: int = MICRO_CLUST
         table = micro.withColumn("radius", F.lit(0.0)).orderBy("micro").toPandas()
         placed = points.select(F.col("pid").alias("micro"), *cols)
     else:
-        fitted = fit_rows(points, "pid", cols).persist()
+        fitted = fit_rows(points, "pid", cols)
         model = fit_kmeans(fitted, m, seed)
         placed = model.transform(fitted).select(F.col("prediction").cast("long").alias("group"), "pid", *cols)
         centre = placed.groupBy("group").agg(F.min("pid").alias("micro"), *[F.avg(c).alias(f"c_{c}") for c in cols])

@@ -66,6 +66,17 @@ def _block_sums(cols, labels):
     return work
 
 
+def _block_meeting(places: DataFrame, block: int):
+    """Two grouped copies of the places, so that every hashed block meets every other one in a task."""
+    parts = max(1, math.ceil(places.count() / block))
+    number = F.pmod(F.xxhash64("pid"), F.lit(parts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = places.withColumn("strip", number).withColumn("part", every)
+    fresh = places.select(*[F.col(c).alias(c) for c in places.columns])
+    right = fresh.withColumn("part", number).withColumn("strip", every)
+    return left.groupBy("strip", "part").cogroup(right.groupBy("strip", "part"))
+
+
 def place_sums(places: DataFrame, cols, labels=("cluster",), block: int = BLOCK) -> DataFrame:
     """``(labeling, pid, own, weight, other, n_other, total, near, far)``: from a place to each cluster.
 
@@ -73,13 +84,7 @@ def place_sums(places: DataFrame, cols, labels=("cluster",), block: int = BLOCK)
     makes a large task, and the distances are computed once for all the label columns.
     """
     cols, labels = list(cols), list(labels)
-    parts = max(1, math.ceil(places.count() / block))
-    number = F.pmod(F.xxhash64("pid"), F.lit(parts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = places.withColumn("strip", number).withColumn("part", every)
-    fresh = places.select(*[F.col(c).alias(c) for c in places.columns])
-    right = fresh.withColumn("part", number).withColumn("strip", every)
-    found = left.groupBy("strip", "part").cogroup(right.groupBy("strip", "part")).applyInPandas(
+    found = _block_meeting(places, block).applyInPandas(
         _block_sums(cols, labels),
         "labeling string, pid bigint, own bigint, weight bigint, other bigint, total double, near double, far double",
     )
@@ -311,6 +316,84 @@ def widest_gap(df: DataFrame, key: str, cols, cluster: str = "cluster", leaf_poi
     return out
 
 
+HISTOGRAM = 1024
+
+
+def _distance_histogram(cols, targets):
+    """Per target (cluster, low, high): counts, least and greatest distance in each of the even bins."""
+    names = list(cols)
+
+    def work(mine: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        tables: dict = {}
+        for target, (label, low, high) in targets.items():
+            a, b = mine[mine["cluster"] == label], block[block["cluster"] == label]
+            if len(a) == 0 or len(b) == 0:
+                continue
+            xa, xb = a[names].to_numpy(float), b[names].to_numpy(float)
+            wa, wb = a["weight"].to_numpy(float), b["weight"].to_numpy(float)
+            table = tables.setdefault(target, (np.zeros(HISTOGRAM), np.full(HISTOGRAM, np.inf), np.full(HISTOGRAM, -np.inf)))
+            for part in space.strips(len(xa), len(xb)):
+                d = space.distances(xa[part], xb)
+                # pairs of rows: copies of one place pair with each other, a row not with itself
+                pairs = wa[part, None] * wb[None, :]
+                pairs -= wa[part, None] * (a["pid"].to_numpy()[part, None] == b["pid"].to_numpy()[None, :])
+                here = (d >= low) & (d <= high) & (pairs > 0)
+                v = d[here]
+                at = np.minimum(((v - low) / max(high - low, 1e-300) * HISTOGRAM).astype(int), HISTOGRAM - 1)
+                table[0][:] += np.bincount(at, weights=pairs[here], minlength=HISTOGRAM)
+                np.minimum.at(table[1], at, v)
+                np.maximum.at(table[2], at, v)
+        out = [(t, i, n[i], lo[i], hi[i]) for t, (n, lo, hi) in tables.items() for i in np.nonzero(n)[0]]
+        return pd.DataFrame(out, columns=["target", "bin", "n", "low", "high"])
+
+    return work
+
+
+def median_distance(df: DataFrame, key: str, cols, cluster: str = "cluster", block: int = BLOCK) -> DataFrame:
+    """Exact median of the distances inside each cluster: ``(cluster, median_distance)``.
+
+    Pairs are only counted: each pass narrows the two middle ranks of every cluster to one of 1,024
+    bins, down to the distances found in it, until a bin holds one value.
+    """
+    cols = list(cols)
+    places = cut(labelled_places(df.select(key, F.col(cluster).alias("cluster"), *cols), key, cols))
+    # one row per cluster: its size and the diagonal of its bounding box
+    extent = [(F.max(c) - F.min(c)) * (F.max(c) - F.min(c)) for c in cols]
+    boxes = places.groupBy("cluster").agg(
+        F.sum("weight").alias("n"), F.sqrt(reduce(lambda a, b: a + b, extent)).alias("diagonal")
+    ).collect()
+    open_targets, rank, found = {}, {}, {}
+    for i, box in enumerate(boxes):
+        pairs = box["n"] * (box["n"] - 1)
+        for side in (0, 1):
+            if pairs:
+                open_targets[2 * i + side] = (box["cluster"], 0.0, box["diagonal"] * (1 + 1e-9))
+                rank[2 * i + side] = pairs // 2 - 1 + side
+    while open_targets:
+        counted = _block_meeting(places, block).applyInPandas(
+            _distance_histogram(cols, dict(open_targets)), "target int, bin int, n double, low double, high double"
+        )
+        bins = counted.groupBy("target", "bin").agg(
+            F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+        ).collect()
+        tables: dict = {}
+        for r in bins:
+            tables.setdefault(r["target"], []).append((r["bin"], r["n"], r["low"], r["high"]))
+        following = {}
+        for target, table in tables.items():
+            for _, n, low, high in sorted(table):
+                if rank[target] < n:
+                    if low == high:
+                        found[target] = low
+                    else:
+                        following[target] = (open_targets[target][0], low, high)
+                    break
+                rank[target] -= n
+        open_targets = following
+    rows = [(box["cluster"], (found[2 * i] + found[2 * i + 1]) / 2) for i, box in enumerate(boxes) if 2 * i in found]
+    return literal_frame(df.sparkSession, rows, ["cluster", "median_distance"])
+
+
 def compare_labelings(df: DataFrame, key: str, cols, labelings: list[str]) -> DataFrame:
     """Within sum of squares and mean silhouette of several label columns, from one pass over the pairs."""
     cols = list(cols)

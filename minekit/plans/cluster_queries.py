@@ -221,6 +221,13 @@ def q_widest_gap(spark, sf):
 
 
 
+@query("median_distance", with_views("points", f"""WITH {PAIRS}
+    SELECT CAST(ci AS BIGINT) AS cluster, round(median(d), 6) AS median_distance FROM pr WHERE ci = cj GROUP BY ci"""))
+def q_median_distance(spark, sf):
+    df = views.points(spark, sf).withColumn("cluster", F.col("cluster").cast("long"))
+    return rounded(validate.median_distance(df, "vec_id", AXES))
+
+
 def _labeling_sql(label: str, view: str) -> str:
     pairs = PAIRS.replace("a.cluster AS ci, b.cluster AS cj", f"a.{label} AS ci, b.{label} AS cj").replace("points", view).replace("pr AS", f"pr_{label} AS")
     parts = SILHOUETTE_SQL.format(d="d").replace("p.cluster", f"p.{label}").replace("FROM pr", f"FROM pr_{label}").replace("FROM points p", f"FROM {view} p")

@@ -150,3 +150,14 @@ def test_widest_gap_small_and_large_clusters_agree(spark, cloud):
     whole = {r["cluster"]: r["widest_gap"] for r in validate.widest_gap(df, "id", ["x", "y"]).collect()}
     split = {r["cluster"]: r["widest_gap"] for r in validate.widest_gap(df, "id", ["x", "y"], leaf_points=50).collect()}
     assert whole == pytest.approx(split)
+
+
+def test_median_distance_counts_copies(spark, cloud):
+    x, pdf = cloud
+    label = np.where(x[:, 0] > 20, 3, np.where(x[:, 0] > 2.5, 2, 1))
+    df = spark.createDataFrame(pdf.assign(cluster=label))
+    got = {r["cluster"]: r["median_distance"] for r in validate.median_distance(df, "id", ["x", "y"], block=40).collect()}
+    for c in (1, 2):
+        d = brute(x[label == c])
+        assert got[c] == pytest.approx(np.median(d[np.triu_indices(len(d), 1)]))
+    assert 3 not in got
