@@ -6,11 +6,14 @@ its (coordinate, value) pairs. A pair of nodes counts as a candidate when at lea
 and only these prefixes are posted (frequent pairs are skipped and looked up in the signatures instead).
 Candidates are confirmed on the full shingle sets.
 
-A large group of near copies would give pairs in the square of its size. So each posting list first checks
-its members against one pivot only. Members that a confirmed link has brought into one component need no
-further test; lists that still hold several components are compared in blocks, signature against signature,
-and only pairs of different components that collide often enough leave the task. ``needed`` is the largest
-number that a pair at the threshold misses with a chance below one in a million.
+A large group of near copies would give pairs in the square of its size. So each posting list first checks its
+members against one pivot only, its least node; lists with the same pivot are one group. Members that a confirmed
+link has brought into one component need no further test. Groups that still hold several components are cut into
+blocks of bounded size. Two blocks at a time are compared in a task, signature against signature, with a longer
+signature of ``FINE`` short coordinates as a second sieve; this gives the members that have a candidate in another
+component, not the pairs. Those members meet again with their full sets, and one confirmed link for each member and
+component leaves the task. ``needed`` is the largest number of collisions that a pair at the threshold misses with
+a chance below one in a million.
 
 Defined cases: texts that are null, empty or only white space have an empty set, are linked with nothing and
 stay; a text with fewer words than a shingle is one shingle of all its words; equal sets are linked; of a
@@ -25,21 +28,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from minekit.llm.common import bounded_batches, cut, fresh, text_of
+from minekit.llm.common import bounded_batches, cut, fresh, partitions_for, text_of
 from minekit.llm.components import components
+from minekit.llm.words import ODD_A, ODD_B, hashed_words, mixed
 
-COORDINATES, MISS = 32, 1e-6
-#: Members of a block, when a posting list is compared in blocks.
-BLOCK = 1024
-ODD_A, ODD_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words a worker remembers the hash of.
-REMEMBERED = 500_000
+#: Coordinates that are posted, those of the second sieve (a byte each), and the chance to miss a pair in either.
+COORDINATES, FINE, MISS = 32, 256, 1e-6
+#: Members and shingles of a block on average, and blocks of members in a partition.
+BLOCK, BLOCK_SHINGLES, PER_PARTITION = 1024, 1_000_000, 4_000
 
 
+@functools.cache
 def needed_collisions(similarity: float, coordinates: int = COORDINATES, miss: float = MISS) -> int:
     """The largest t for which a pair of this similarity has fewer than t collisions with a chance of at most ``miss``."""
     chance, t = 0.0, 0
@@ -51,32 +53,6 @@ def needed_collisions(similarity: float, coordinates: int = COORDINATES, miss: f
     return max(t, 1)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * ODD_B
-    x = (x ^ (x >> np.uint64(29))) * ODD_A
-    return x ^ (x >> np.uint64(32))
-
-
-@functools.cache
-def word_hashes() -> dict[bytes, int]:
-    return {}
-
-
-def hashed_words(text: str) -> np.ndarray:
-    import xxhash
-
-    known, words = word_hashes(), text.encode().translate(ASCII_LOWER).split()
-    if len(known) > REMEMBERED:
-        known.clear()
-    out = []
-    for word in words:
-        h = known.get(word)
-        if h is None:
-            h = known[word] = xxhash.xxh3_64_intdigest(word)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
-
-
 def shingle_set(text: str, words_each: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
     words = hashed_words(text)
@@ -95,35 +71,36 @@ def shingle_set(text: str, words_each: int) -> np.ndarray:
 
 
 @functools.cache
-def seeds(coordinates: int) -> np.ndarray:
-    return np.random.default_rng(7).integers(1, 2**63, size=coordinates, dtype=np.uint64)
+def seeds() -> np.ndarray:
+    return np.random.default_rng(7).integers(1, 2**63, size=FINE, dtype=np.uint64)
 
 
-def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
+def signature(shingles: np.ndarray) -> np.ndarray:
     """The upper 32 bits of the least hash under each coordinate's function."""
-    least = np.full(coordinates, np.iinfo(np.uint64).max, dtype=np.uint64)
+    least = np.full(FINE, np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            x = (shingles[at : at + 4096][None, :] ^ seeds(coordinates)[:, None]) * ODD_A
+        for at in range(0, len(shingles), 1024):
+            x = (shingles[at : at + 1024][None, :] ^ seeds()[:, None]) * ODD_A
             x ^= x >> np.uint64(32)
             x *= ODD_B
-            least = np.minimum(least, x.min(axis=1))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            np.minimum(least, x.min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def sketch(words_each: int, coordinates: int):
-    @pandas_udf("n long, node long, signature array<int>")
+def sketch(words_each: int):
+    @pandas_udf("n long, node long, signature array<int>, fine binary")
     def run(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             shingles = shingle_set(text, words_each)
             if not len(shingles):
-                rows.append((0, 0, []))
+                rows.append((0, 0, [], b""))
                 continue
             with np.errstate(over="ignore"):
                 node = mixed(mixed(shingles).sum(keepdims=True) + np.uint64(len(shingles)))
-            rows.append((len(shingles), int(node.view(np.int64)[0]), signature(shingles, coordinates).tolist()))
-        return pd.DataFrame(rows, columns=["n", "node", "signature"])
+            whole = signature(shingles)
+            rows.append((len(shingles), int(node.view(np.int64)[0]), whole[:COORDINATES].view(np.int32).tolist(), whole.astype(np.uint8).tobytes()))
+        return pd.DataFrame(rows, columns=["n", "node", "signature", "fine"])
 
     return run
 
@@ -150,74 +127,116 @@ def prefixes(nodes: DataFrame, length: int) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("tokens", 1, length)).alias("t")).filter("t.f > 1").select("t.token", "node")
 
 
-def block_pairs(needed: int, per_cent: int):
-    """Compare two blocks of one posting list; pairs of different components that collide often enough."""
+class Members:
+    """The members of a block as arrays. ``fits`` are the members of another block that may link with one of these."""
+
+    def __init__(self, frame: pd.DataFrame, side: str) -> None:
+        self.node, self.root, self.n = (frame[f"{c}{side}"].to_numpy() for c in ("node", "root", "n"))
+        self.signature = np.stack(frame[f"signature{side}"].to_numpy())
+        self.fine = np.frombuffer(b"".join(frame[f"fine{side}"]), dtype=np.uint8).reshape(-1, FINE)
+
+    def fits(self, i: int, other: Members, per_cent: int) -> np.ndarray:
+        near = other.root != self.root[i]
+        near &= 100 * np.minimum(other.n, self.n[i]) >= per_cent * np.maximum(other.n, self.n[i])
+        at = np.flatnonzero(near)
+        if len(at):
+            at = at[(other.signature[at] == self.signature[i]).sum(axis=1) >= needed_collisions(per_cent / 100, COORDINATES)]
+        if len(at):
+            at = at[(other.fine[at] == self.fine[i]).sum(axis=1) >= needed_collisions(per_cent / 100, FINE)]
+        return at
+
+
+def sieve(per_cent: int):
+    """The members of two blocks of one group that have a candidate in another component."""
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        columns = ["a", "b"]
-        if left.empty or right.empty:
-            return pd.DataFrame(columns=columns, dtype="int64")
-        inside = key[1] == key[2]
-        one, two = np.stack(left["s_a"].to_numpy()), np.stack(right["s_b"].to_numpy())
-        root_one, root_two, n_one, n_two = (f[c].to_numpy() for f, c in ((left, "r_a"), (right, "r_b"), (left, "n_a"), (right, "n_b")))
-        a, b = left["a"].to_numpy(), right["b"].to_numpy()
-        found = []
-        for i in range(len(one)):
-            fits = (root_two != root_one[i]) & (100 * np.minimum(n_two, n_one[i]) >= per_cent * np.maximum(n_two, n_one[i]))
-            if inside:
-                fits &= b > a[i]
-            at = np.flatnonzero(fits)
-            if len(at):
-                at = at[(two[at] == one[i]).sum(axis=1) >= needed]
-                found.append(np.stack([np.full(len(at), a[i]), b[at]], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-        return pd.DataFrame(pairs, columns=columns)
+        found: set[int] = set()
+        if len(left) and len(right):
+            one, two = Members(left, "_a"), Members(right, "_b")
+            for i in range(len(one.node)):
+                at = one.fits(i, two, per_cent)
+                if len(at):
+                    found.add(int(one.node[i]))
+                    found.update(two.node[at].tolist())
+        nodes = sorted(found)
+        return pd.DataFrame({"pivot": [key[0]] * len(nodes), "i": [key[1]] * len(nodes), "j": [key[2]] * len(nodes), "node": nodes}).astype("int64")
 
     return run
 
 
-def remaining_candidates(postings: DataFrame, nodes: DataFrame, labels: DataFrame, needed: int, per_cent: int) -> DataFrame:
-    """Candidates between different components, from the lists that still hold more than one."""
-    labelled = postings.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spread = labelled.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m"))
-    open_lists = spread.filter("least <> most").select("token", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+def linked_in_block(per_cent: int):
+    """Confirmed links between components, one for each member and component that a link has not joined before."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        members = Members(group, "")
+        sets = [np.asarray(s, dtype=np.int64) for s in group["shingles"]]
+        above: dict[int, int] = {}
+
+        def top(root: int) -> int:
+            while root in above:
+                root = above[root]
+            return root
+
+        links = []
+        for i in range(len(sets)):
+            for j in members.fits(i, members, per_cent):
+                one, two = top(int(members.root[i])), top(int(members.root[j]))
+                if j > i and one != two:
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * common >= per_cent * (len(sets[i]) + len(sets[j]) - common):
+                        above[max(one, two)] = min(one, two)
+                        links.append((int(members.node[i]), int(members.node[j])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return run
+
+
+def links_between_components(groups: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, words_each: int, per_cent: int) -> DataFrame:
+    """Links that the pivots have not shown, from the groups that still hold more than one component."""
+    labelled = groups.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")).join(nodes.select("node", "n"), "node")
+    spread = labelled.groupBy("pivot").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    open_groups = spread.filter("least <> most").select("pivot", blocks.alias("blocks"))
     members = cut(
-        labelled.join(open_lists, "token")
+        labelled.join(open_groups, "pivot")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .join(nodes.select("node", "n", "signature"), "node")
+        .join(nodes.select("node", "signature", "fine"), "node")
     )
-    others = F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)
+    number = partitions_for(members, members.count(), PER_PARTITION)
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
     left = members.withColumn("other", F.explode(F.filter(others, lambda x: x >= F.col("own"))))
     right = members.withColumn("other", F.explode(F.filter(others, lambda x: x <= F.col("own"))))
-    left = left.select(
-        F.col("token").alias("t_a"), F.col("own").alias("i_a"), F.col("other").alias("j_a"),
-        F.col("node").alias("a"), F.col("root").alias("r_a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"),
-    )
-    right = right.select(
-        F.col("token").alias("t_b"), F.col("other").alias("i_b"), F.col("own").alias("j_b"),
-        F.col("node").alias("b"), F.col("root").alias("r_b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"),
-    )
-    grouped = left.groupBy("t_a", "i_a", "j_a").cogroup(right.groupBy("t_b", "i_b", "j_b"))
-    found = grouped.applyInPandas(block_pairs(needed, per_cent), "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def star_candidates(postings: DataFrame, nodes: DataFrame, needed: int, per_cent: int) -> DataFrame:
-    """Each member of a list against the list's least node."""
-    pivots = postings.groupBy("token").agg(F.min("node").alias("a"))
-    pairs = postings.withColumnRenamed("node", "b").join(pivots, "token").filter("a <> b").select("a", "b").distinct()
+    values = ("node", "root", "n", "signature", "fine")
+    left = left.select(F.col("pivot").alias("p_a"), F.col("own").alias("i_a"), F.col("other").alias("j_a"), *[F.col(c).alias(f"{c}_a") for c in values])
+    right = right.select(F.col("pivot").alias("p_b"), F.col("other").alias("i_b"), F.col("own").alias("j_b"), *[F.col(c).alias(f"{c}_b") for c in values])
+    # the work of a group is larger than its rows tell, so the number of tasks is given
+    left, right = left.repartition(number, "p_a", "i_a", "j_a"), right.repartition(number, "p_b", "i_b", "j_b")
+    met = left.groupBy("p_a", "i_a", "j_a").cogroup(right.groupBy("p_b", "i_b", "j_b"))
+    sieved = cut(met.applyInPandas(sieve(per_cent), "pivot long, i int, j int, node long"))
+    sets = full_sets(sieved.select("node").distinct(), texts, nodes, words_each).select("node", "shingles")
+    whole = sieved.join(members.select("pivot", "node", "root", "n", "signature", "fine"), ["pivot", "node"]).join(sets, "node")
+    return whole.repartition(number, "pivot", "i", "j").groupBy("pivot", "i", "j").applyInPandas(linked_in_block(per_cent), "a long, b long").distinct()
+
+
+def star_candidates(groups: DataFrame, nodes: DataFrame, per_cent: int) -> DataFrame:
+    """Each member of a group against the group's pivot."""
+    pairs = groups.filter("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
     close = pairs.join(one, "a").join(two, "b").filter(100 * F.least("n_a", "n_b") >= per_cent * F.greatest("n_a", "n_b"))
-    return close.filter(collisions(F.col("s_a"), F.col("s_b")) >= needed).select("a", "b")
+    return close.filter(collisions(F.col("s_a"), F.col("s_b")) >= needed_collisions(per_cent / 100, COORDINATES)).select("a", "b")
+
+
+def full_sets(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
+    """(node, n, shingles) of the wanted nodes, from the text of one row each."""
+    named = wanted.join(nodes.select("node", "n", "best"), "node").select("node", "n", F.col("best.id").alias("rep"), F.col("best.quick").alias("rep_quick"))
+    rows = texts.join(named, F.col("id").eqNullSafe(F.col("rep")) & (F.col("quick") == F.col("rep_quick")))
+    return cut(rows.dropDuplicates(["node"]).select("node", "n", full_set(words_each)("text").alias("shingles")))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words_each: int, per_cent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "n", "best"), "node")
-    wanted = wanted.select("node", "n", F.col("best.id").alias("rep"), F.col("best.quick").alias("rep_quick"))
-    rows = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("quick") == F.col("rep_quick")))
-    sets = cut(rows.dropDuplicates(["node"]).select("node", "n", full_set(words_each)("text").alias("shingles")))
+    sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), texts, nodes, words_each)
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
     both = pairs.join(one, "a").join(two, "b")
@@ -231,27 +250,24 @@ def near_groups(
     text_column: str = "text",
     words_each: int = 5,
     per_cent: int = 80,
-    coordinates: int = COORDINATES,
 ) -> DataFrame:
     """Per row: id, quick, n_shingles, component_id (its group's smallest id)."""
     bounded_batches(docs.sparkSession)
-    needed = needed_collisions(per_cent / 100, coordinates)
     text = text_of(text_column)
     texts = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("quick"), text.alias("text"))
-    rows = cut(texts.withColumn("s", sketch(words_each, coordinates)("text")).select("id", "quick", "s.*"))
-    # equal sets are one node; its signature is the same in every row
+    rows = cut(texts.withColumn("s", sketch(words_each)("text")).select("id", "quick", "s.*"))
+    # equal sets are one node; its signatures are the same in every row
     nodes = cut(
         rows.filter("n > 0").groupBy("node")
         .agg(F.first("n").alias("n"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "quick"))).alias("named"),
-             F.min(F.struct("id", "quick")).alias("any_row"), F.first("signature").alias("signature"))
-        .select("node", "n", F.coalesce("named", "any_row").alias("best"), "signature")
+             F.min(F.struct("id", "quick")).alias("any_row"), F.first("signature").alias("signature"), F.first("fine").alias("fine"))
+        .select("node", "n", F.coalesce("named", "any_row").alias("best"), "signature", "fine")
     )
-    postings = cut(prefixes(nodes, coordinates - needed + 1))
-    star = cut(confirmed(cut(star_candidates(postings, nodes, needed, per_cent)), texts, nodes, words_each, per_cent))
-    rest = cut(remaining_candidates(postings, nodes, components(star), needed, per_cent))
-    links = star
-    if not rest.isEmpty():
-        links = star.unionByName(confirmed(rest, texts, nodes, words_each, per_cent))
+    postings = cut(prefixes(nodes, COORDINATES - needed_collisions(per_cent / 100, COORDINATES) + 1))
+    pivots = postings.groupBy("token").agg(F.min("node").alias("pivot"))
+    groups = cut(postings.join(pivots, "token").select("pivot", "node").distinct())
+    star = cut(confirmed(cut(star_candidates(groups, nodes, per_cent)), texts, nodes, words_each, per_cent))
+    links = star.unionByName(cut(links_between_components(groups, nodes, texts, components(star), words_each, per_cent)))
     labels = components(links)
     rooted = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("best.id").alias("id"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from minekit.llm import exact_dedup, near_dedup, packing, token_counts
+from minekit.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    licenses,
+    near_dedup,
+    packing,
+    quality,
+    scoring,
+    site_tree,
+    token_counts,
+)
 from minekit.llm.common import table
 
 QUERIES: dict = {}
@@ -21,16 +32,46 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.licence_scan(table(spark, folder, "documents"))
+
+
 @query("op2_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), words_each=3, per_cent=85)
 
 
+@query("op3_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return site_tree.main_texts(table(spark, folder, "pages"))
+
+
+@query("op4_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_language")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"))
+
+
 @query("op6_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op7_language_model")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return scoring.language_model_scores(table(spark, folder, "documents"))
+
+
+@query("op8_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated_regions(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op9_token_counts")
 def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"))
