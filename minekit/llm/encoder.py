@@ -1,9 +1,13 @@
-"""The public tokenizer inside tasks, with the words that were met kept in a bounded cache.
+"""The public tokenizer inside tasks, with the words that were met kept in bounded caches.
 
 The tokenizer drops white space and never joins what white space parts: its normaliser, its splitting
 pattern, its merges and its special strings all stay inside a run of other characters. So the ids of a
 text are the ids of its runs, one after another. Runs are cut at the six ASCII white-space bytes only;
 any other white space stays inside a run, where the tokenizer itself treats it.
+
+A run of Latin letters and signs is cut further by the tokenizer's own splitting pattern after lower-casing,
+as merges stay inside the parts; many runs share their parts ("Word," and "word"). Only runs for which
+lower-casing and composing are plain go this way, all others are encoded as they are.
 """
 
 from __future__ import annotations
@@ -13,51 +17,74 @@ import os
 
 import numpy as np
 
-#: Runs a worker remembers; the older half goes when they are too many.
-REMEMBERED = 600_000
+#: Runs and parts a worker remembers; the older half goes when they are too many.
+RUNS, PARTS = 400_000, 1_000_000
+#: Fixed value: the splitting pattern in the tokenizer's file.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII signs and letters, and the Latin letters of one code point each; the capital I with a dot lower-cases to two.
+PLAIN = r"[!-~¡-¬®-įı-ɏ]+"
+
+
+class Remembered:
+    """A map of two halves; what is asked for moves to the newer one."""
+
+    def __init__(self, size: int) -> None:
+        self.half, self.newer, self.older = max(size // 2, 1), {}, {}
+
+    def get(self, key):
+        found = self.newer.get(key)
+        if found is None:
+            found = self.older.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.newer) >= self.half:
+            self.older, self.newer = self.newer, {}
+        self.newer[key] = value
 
 
 class RunEncoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, path: str, runs: int = RUNS, parts: int = PARTS) -> None:
+        import regex
+
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self.fresh: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, runs: list[bytes]) -> None:
-        if len(self.fresh) + len(runs) > self.remembered // 2:
-            self.older, self.fresh = self.fresh, {}
-        for run, encoding in zip(runs, self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)):
-            self.fresh[run] = np.array(encoding.ids, dtype="<u4").tobytes()
+        self.runs, self.parts = Remembered(runs), Remembered(parts)
+        self.split, self.plain = regex.compile(SPLIT).findall, regex.compile(PLAIN).fullmatch
 
     def ids(self, text: str) -> bytes:
         runs = text.encode().split()
-        out: list[bytes] = []
-        for at in range(0, len(runs), 50_000):
-            out += self._known(runs[at : at + 50_000])
-        return b"".join(out)
+        return b"".join(b"".join(self._known(runs[at : at + 50_000])) for at in range(0, len(runs), 50_000))
 
     def _known(self, runs: list[bytes]) -> list[bytes]:
-        fresh, older = self.fresh, self.older
-        missing = []
-        for run in set(runs):
-            if run not in fresh:
-                found = older.get(run)
-                if found is None:
-                    missing.append(run)
-                else:
-                    fresh[run] = found
-        if missing:
-            local = {run: fresh[run] for run in set(runs) if run in fresh}
-            self._learn(missing)
-            local.update({run: self.fresh[run] for run in missing})
-            return [local[run] for run in runs]
-        return [fresh[run] for run in runs]
+        get = self.runs.get
+        out = [get(run) for run in runs]
+        if None in out:
+            new = self._learn(list(dict.fromkeys(run for run, ids in zip(runs, out) if ids is None)))
+            out = [new[run] if ids is None else ids for run, ids in zip(runs, out)]
+        return out
+
+    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        pieces = {}
+        for run in runs:
+            text = run.decode()
+            pieces[run] = self.split(text.lower()) if self.plain(text) and "<|" not in text else [text]
+        local: dict[str, bytes | None] = {part: self.parts.get(part) for parts in pieces.values() for part in parts}
+        missing = [part for part, ids in local.items() if ids is None]
+        for part, encoding in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            local[part] = np.array(encoding.ids, dtype="<u4").tobytes()
+            self.parts.put(part, local[part])
+        out = {}
+        for run, parts in pieces.items():
+            out[run] = b"".join([local[part] for part in parts])
+            self.runs.put(run, out[run])
+        return out
 
 
 @functools.cache

@@ -28,7 +28,14 @@ def test_runs_give_the_library_ids(text):
     assert np.frombuffer(known.ids(text), dtype="<u4").tolist() == ids(text)
 
 
-test_runs_give_the_library_ids.known = RunEncoder(default_path(), remembered=64)
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(min_codepoint=32, max_codepoint=0x24F), st.sampled_from("'sStT <|>İ²½ªº\u00ad")), max_size=40))
+def test_latin_runs_give_the_library_ids(text):
+    known = test_runs_give_the_library_ids.known
+    assert np.frombuffer(known.ids(text), dtype="<u4").tolist() == ids(text)
+
+
+test_runs_give_the_library_ids.known = RunEncoder(default_path(), runs=64, parts=64)
 
 
 @pytest.mark.parametrize("sizes", [{}, {"whole": 500, "step": 200, "overlaps": (16, 64)}, {"whole": 100, "step": 64, "overlaps": (4,)}])
