@@ -2,21 +2,26 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's ``docs``. All but the last return the columns of
-``documents``. Nulls, empty texts, repeated rows, empty tables and further columns are treated as the
-operator of each stage says in its own module.
+``documents``. Nulls, empty texts, ties, repeated rows, empty tables and further columns with clashing names
+are treated as the operator of each stage says in its own module.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from minekit.llm import exact_dedup, near_dedup, packing
+from minekit.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 from minekit.llm.common import cut, table
 
 #: The fitted classifier, the signatures, the alignments and the tokenizer have no SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled ones among ``docs``."""
+    return quality.drop_poor(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact_dedup.drop_exact_duplicates(docs)
@@ -27,14 +32,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return near_dedup.drop_near_duplicates(docs, words_each=5, per_cent=80)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces in sequences of at most 4096 tokens."""
     return packing.pack_documents(docs)
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_dedup_stage),
     ("near dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("best-fit packing", packing_stage),
 ]
 
