@@ -42,13 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
 SMALL_PARTITION, LARGE_PARTITION, MANY_PARTITIONS = 50_000, 5_000_000, 4_000
 
 
-def steady_layout(df: DataFrame, key: str) -> DataFrame:
-    """A layout that depends on the rows alone, so an iterative fit does not vary with the input's files."""
+def steady_layout(df: DataFrame, *key: str) -> DataFrame:
+    """A layout that depends on the rows alone, so an iterative fit does not vary with the input's files.
+
+    Without a key all columns are one: rows that agree in all of them are alike to any fit.
+    """
+    key = key or tuple(df.columns)
     rows = cut(df)
     n = rows.count()
     partitions = min(math.ceil(n / SMALL_PARTITION), max(MANY_PARTITIONS, math.ceil(n / LARGE_PARTITION)))
     partitions = max(partitions, 1)
-    return rows.repartition(partitions, key).sortWithinPartitions(key)
+    return rows.repartition(partitions, *key).sortWithinPartitions(*key)
 
 
 def number_rows(df: DataFrame, order_by, partition_by=(), name: str = "position") -> DataFrame:

@@ -308,9 +308,8 @@ def classifier_stages(kind: str, cols, classes, **settings):
 
 def fit_classifier(train: DataFrame, cols, label: str, kind: str, classes=None, **settings):
     """Fit on complete rows; returns the fitted stages and the class list."""
-    rows = drop_incomplete(train.select(label, *cols))
+    rows = steady_layout(drop_incomplete(train.select(label, *cols)))
     if classes is None:
-        rows = cut(rows)
         classes = class_codes(rows, label)
     rows = _with_code(rows, label, classes)
     return Pipeline(stages=classifier_stages(kind, cols, classes, **settings)).fit(rows), classes

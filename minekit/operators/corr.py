@@ -5,16 +5,15 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from minekit.functions.expr import literal_frame, quoted, ratio
 from minekit.functions.special import t_p_value
 from minekit.operators.clean import drop_incomplete
 
-# beyond this many columns the pairwise aggregate gives way to one Gram-matrix pass
-WIDE = 24
+# a pair whose variance is below this share of the column's own counts as constant
+FLAT = 1e-12
 
 
 def _double(c: str):
@@ -52,49 +51,81 @@ def zscore_outliers(df: DataFrame, cols, limit: float = 3.0) -> DataFrame:
     return wide.filter(~far).drop("_m")
 
 
-def _pair_terms(a: str, b: str):
-    """Correlation and count over rows where both columns are present; NULL when either is constant."""
-    x, y = _double(a), _double(b)
-    both = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_samp(F.when(both, x)) * F.stddev_samp(F.when(both, y))
-    return F.try_divide(F.covar_samp(F.when(both, x), F.when(both, y)), spread), F.count_if(both)
+def pair_sums(df: DataFrame, cols, by=()) -> DataFrame:
+    """``(by..., i, j, n, sx, sy, sxx, syy, sxy)`` per pair of column positions i < j, in one pass over the rows.
+
+    The columns are standardised, and missing cells are masked: every sum runs over the rows where both columns are
+    present. A batch gives four matrices (counts, sums, squares, products) by matrix products, and these are added
+    up; the plan is the same for any number of columns.
+    """
+    cols, by = list(cols), list(by)
+    p = len(cols)
+    fields = [F.struct(F.avg(_double(c)).alias("m"), F.stddev_samp(_double(c)).alias("s"), (F.min(_double(c)) == F.max(_double(c))).alias("flat")) for c in cols]
+    scales = F.col("_m")
+    values = [
+        F.when(scales[f"c{i}"]["flat"], _double(c) * 0.0).otherwise(ratio(_double(c) - scales[f"c{i}"]["m"], scales[f"c{i}"]["s"])).alias(f"v{i}")
+        for i, c in enumerate(cols)
+    ]
+    moments = df.agg(F.struct(*[f.alias(f"c{i}") for i, f in enumerate(fields)]).alias("m")).scalar()
+    keys = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(by)]
+    scaled = df.withColumn("_m", moments).select(*keys, *values)
+    names, key_names = [f"v{i}" for i in range(p)], [f"k{i}" for i in range(len(by))]
+
+    def masked(x: np.ndarray) -> np.ndarray:
+        present = ~np.isnan(x)
+        x, m = np.where(present, x, 0.0), present.astype(float)
+        return np.concatenate([(m.T @ m).ravel(), (x.T @ m).ravel(), ((x * x).T @ m).ravel(), (x.T @ x).ravel()])
+
+    def run(batches):
+        total = np.zeros(4 * p * p)
+        for batch in batches:
+            if not by:
+                total += masked(batch[names].to_numpy(float))
+                continue
+            rows = [((k if isinstance(k, tuple) else (k,)), masked(g[names].to_numpy(float))) for k, g in batch.groupby(key_names, dropna=False, sort=False)]
+            yield pd.DataFrame({**{n: [k[i] for k, _ in rows] for i, n in enumerate(key_names)}, "sums": [v.tolist() for _, v in rows]})
+        if not by:
+            yield pd.DataFrame({"sums": [total.tolist()]})
+
+    schema = T.StructType([T.StructField(n, scaled.schema[n].dataType) for n in key_names] + [T.StructField("sums", T.ArrayType(T.DoubleType()))])
+    cells = scaled.mapInPandas(run, schema).select(*key_names, F.posexplode("sums").alias("at", "x"))
+    kind, left, right = F.floor(F.col("at") / (p * p)), F.floor(F.col("at") / p) % p, F.col("at") % p
+    cells = cells.select(*key_names, "x", kind.alias("kind"), left.cast("int").alias("a"), right.cast("int").alias("b")).filter("a <> b")
+    up = F.col("a") < F.col("b")
+    wanted = {"n": (0, up), "sx": (1, up), "sy": (1, ~up), "sxx": (2, up), "syy": (2, ~up), "sxy": (3, up)}
+    summed = cells.groupBy(*key_names, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(
+        *[F.sum(F.when((F.col("kind") == k) & side, F.col("x"))).alias(n) for n, (k, side) in wanted.items()]
+    )
+    return summed.select(*[F.col(n).alias(c) for n, c in zip(key_names, by)], "i", "j", *wanted)
 
 
 def correlation_pairs(df: DataFrame, cols, by=()) -> DataFrame:
-    """``(by..., var_i, var_j, r, n)`` for each unordered pair, pairwise-complete, in one pass."""
-    by = list(by)
-    pairs = list(combinations(cols, 2))
-    terms = [_pair_terms(a, b) for a, b in pairs]
-    wide = df.groupBy(*by).agg(
-        *[r.alias(f"r{i}") for i, (r, _) in enumerate(terms)], *[n.alias(f"n{i}") for i, (_, n) in enumerate(terms)]
-    )
-    entries = F.array(
-        *[
-            F.struct(F.lit(a).alias("var_i"), F.lit(b).alias("var_j"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n"))
-            for i, (a, b) in enumerate(pairs)
-        ]
+    """``(by..., var_i, var_j, r, n)`` for each unordered pair, over the rows where both columns are present."""
+    cols, by = list(cols), list(by)
+    n = F.col("n")
+    across, own_x, own_y = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), n), F.col("sxx") - ratio(F.col("sx") * F.col("sx"), n), F.col("syy") - ratio(F.col("sy") * F.col("sy"), n)
+    r = F.when((own_x > FLAT * n) & (own_y > FLAT * n), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(across, F.sqrt(own_x * own_y)))))
+    names = F.array(*[F.lit(c) for c in cols])
+    return pair_sums(df, cols, by).select(
+        *by, F.element_at(names, F.col("i") + 1).alias("var_i"), F.element_at(names, F.col("j") + 1).alias("var_j"), r.alias("r"), n.cast("long").alias("n")
     )
-    return wide.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
 
 
 def correlation_dense(df: DataFrame, cols) -> np.ndarray:
-    """p x p matrix on the driver for p columns, from one Gram pass; rows must be complete."""
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v", handleInvalid="skip").transform(df).select("v")
-    return Correlation.corr(vectors, "v").first()[0].toArray()
+    """p x p matrix on the driver for p columns; entries without a correlation are NaN."""
+    place = {c: i for i, c in enumerate(cols)}
+    out = np.eye(len(place))
+    for row in correlation_pairs(df, cols).collect():
+        i, j = place[row.var_i], place[row.var_j]
+        out[i, j] = out[j, i] = np.nan if row.r is None else row.r
+    return out
 
 
 def correlation_matrix(df: DataFrame, cols, full: bool = True) -> DataFrame:
     """Pearson matrix where a missing cell in either column makes the entry NULL."""
     cols = list(cols)
-    if len(cols) > WIDE:
-        matrix = correlation_dense(df, cols)
-        rows = [(a, b, float(matrix[i, j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-        # p(p-1)/2 rows, fixed by the column list
-        upper = literal_frame(df.sparkSession, rows, ["var_i", "var_j", "r"])
-    else:
-        total = df.agg(F.count(F.lit(1))).scalar()
-        pairs = correlation_pairs(df, cols)
-        upper = pairs.select("var_i", "var_j", F.when(F.col("n") == total, F.col("r")).alias("r"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    upper = correlation_pairs(df, cols).select("var_i", "var_j", F.when(F.col("n") == total, F.col("r")).alias("r"))
     return mirror(upper, cols) if full else upper
 
 
@@ -186,13 +217,11 @@ def drop_collinear(df: DataFrame, cols, cutoff: float = 0.95, signed: bool = Tru
 
 def correlation_dummies(df: DataFrame, numeric, categorical, max_levels: int = 20) -> DataFrame:
     """Correlations of numeric columns with 0/1 columns of the low-cardinality strings."""
-    sizes = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in categorical]).first().asDict()
-    low = [c for c in categorical if sizes[c] <= max_levels * 1.1]
+    # a set of at most max_levels + 1 values per column says exactly whether it has too many
+    low = [c for c in categorical if df.select(c).filter(F.col(c).isNotNull()).distinct().limit(max_levels + 1).count() <= max_levels]
     encoded, names = df, list(numeric)
     for c in low:
-        levels = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            continue
+        levels = [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
         dummies = {f"{c}_{v}": F.when(F.col(c) == v, 1.0).otherwise(0.0) for v in levels}
         encoded = encoded.withColumns(dummies)
         names += list(dummies)

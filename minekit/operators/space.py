@@ -41,12 +41,33 @@ class Leaves:
         for node in range(inner):
             x = rows.pop(node)
             if len(x):
-                axis[node] = int(np.argmax(x.max(axis=0) - x.min(axis=0)))
-                at[node] = float(np.median(x[:, axis[node]]))
+                axis[node], at[node] = cls.plane(x)
             right = x[:, axis[node]] > at[node]
             rows[2 * node + 1], rows[2 * node + 2] = x[~right], x[right]
         return cls(axis, at, depth, width)
 
+    @staticmethod
+    def plane(x: np.ndarray) -> tuple[int, float]:
+        """Axis and place of a cut that leaves rows on both sides wherever two places differ.
+
+        The widest axis is taken if its median leaves a quarter on either side, else the most even one. A median
+        that is the axis's greatest value moves to the value below it.
+        """
+        best = (-1.0, 0, 0.0)
+        for a in np.argsort(x.min(axis=0) - x.max(axis=0), kind="stable"):
+            v = x[:, a]
+            top, middle = v.max(), np.median(v)
+            if middle >= top:
+                below = v[v < top]
+                middle = below.max() if len(below) else top
+            share = float((v <= middle).mean())
+            even = min(share, 1 - share)
+            if even > best[0]:
+                best = (even, int(a), float(middle))
+            if even >= 0.25:
+                break
+        return best[1], best[2]
+
     def leaf_of(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), dtype=int)
         for _ in range(self.depth):

@@ -265,12 +265,12 @@ def q_compare_models(spark, sf):
     SELECT lower(s_name) AS vertex, lower(n_name) AS state, CAST(s_acctbal AS DOUBLE) AS lat, entity_key, risk,
            CASE WHEN entity_key IS NOT NULL THEN {GUESS} END AS predicted
     FROM supplier JOIN nation ON s_nationkey = n_nationkey
-    LEFT JOIN classes ON lower(classes.state) = lower(n_name) AND regexp_extract(lower(classes.name), '[0-9]{{3}}$') = regexp_extract(lower(s_name), '[0-9]{{3}}$')"""))
+    LEFT JOIN classes ON lower(classes.state) = lower(n_name) AND regexp_extract(lower(classes.name), '[0-9]+$') = regexp_extract(lower(s_name), '[0-9]+$')"""))
 def q_prediction_layers(spark, sf):
-    """Boundary vertices with label and prediction, matched many-to-many on normalised state and place."""
+    """Boundary vertices with label and prediction, matched on the normalised state and the whole number in the name."""
 
     def place(name, rules):
-        return F.regexp_extract(apply_rules(strip_suffix(name, "county"), rules), r"([0-9]{3})$", 1).alias("place")
+        return F.regexp_extract(apply_rules(strip_suffix(name, "county"), rules), r"([0-9]+)$", 1).alias("place")
 
     nation = scan_table(spark, sf, "nation")
     vertices = scan_table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(

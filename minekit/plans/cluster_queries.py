@@ -31,9 +31,12 @@ def q_pairwise_distance(spark, sf):
     )
 
 
-@query("knn_distance", with_views("points", f"""WITH {PAIRS},
+KNN_DISTANCE_SQL = with_views("points", f"""WITH {PAIRS},
     o AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM pr)
-    SELECT i AS vec_id, CAST(rank AS INTEGER) AS rank, j AS neighbour, round(d, 6) AS d FROM o WHERE rank <= 4"""))
+    SELECT i AS vec_id, CAST(rank AS INTEGER) AS rank, j AS neighbour, round(d, 6) AS d FROM o WHERE rank <= 4""")
+
+
+@query("knn_distance", KNN_DISTANCE_SQL)
 def q_knn_distance(spark, sf):
     return rounded(cluster.knn_distance(views.points(spark, sf), "vec_id", AXES, 4))
 
@@ -107,18 +110,24 @@ def _tree_sql(part: str) -> str:
 ONE_TREE = "WITH marked AS (SELECT *, 1 AS all_rows FROM points), " + _tree_sql("all_rows").replace("points", "marked")
 
 
-@query("hier_single_k", with_views("points", f"""{ONE_TREE},
+HIER_SINGLE_K_SQL = with_views("points", f"""{ONE_TREE},
     kept AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (ORDER BY height DESC, a DESC, b DESC) AS r FROM tree) WHERE r > 3),
     link AS (SELECT a AS i, b AS j FROM kept UNION ALL SELECT b, a FROM kept),
     reach(i, label) AS (SELECT vec_id, vec_id FROM points UNION SELECT l.j, r.label FROM reach r JOIN link l ON r.i = l.i),
     tops AS (SELECT i AS vec_id, min(label) AS label FROM reach GROUP BY i)
-    SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS cluster FROM tops"""))
+    SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS cluster FROM tops""")
+
+
+@query("hier_single_k", HIER_SINGLE_K_SQL)
 def q_hier_single_k(spark, sf):
     return cluster.single_linkage(views.points(spark, sf), "vec_id", AXES, 4)
 
 
-@query("merge_heights", with_views("points", f"""{ONE_TREE}
-    SELECT CAST(row_number() OVER (ORDER BY height, a, b) - 1 AS BIGINT) AS step, a, b, round(height, 6) AS height FROM tree"""))
+MERGE_HEIGHTS_SQL = with_views("points", f"""{ONE_TREE}
+    SELECT CAST(row_number() OVER (ORDER BY height, a, b) - 1 AS BIGINT) AS step, a, b, round(height, 6) AS height FROM tree""")
+
+
+@query("merge_heights", MERGE_HEIGHTS_SQL)
 def q_merge_heights(spark, sf):
     return rounded(cluster.merge_heights(views.points(spark, sf), "vec_id", AXES))
 
@@ -126,7 +135,7 @@ def q_merge_heights(spark, sf):
 EPS, MIN_POINTS = 0.6, 5
 
 
-@query("dbscan_assign", with_views("points", f"""
+DBSCAN_ASSIGN_SQL = with_views("points", f"""
     WITH near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM points a JOIN points b ON {DISTANCE} <= {EPS}),
     core AS (SELECT i AS vec_id FROM near GROUP BY i HAVING count(*) >= {MIN_POINTS}),
     link AS (SELECT i, j FROM near WHERE i IN (SELECT vec_id FROM core) AND j IN (SELECT vec_id FROM core)),
@@ -137,7 +146,10 @@ EPS, MIN_POINTS = 0.6, 5
              WHERE n.i NOT IN (SELECT vec_id FROM core) GROUP BY n.i)
     SELECT p.vec_id, CAST(coalesce(ids.number, edge.number, 0) AS INTEGER) AS cluster,
            CASE WHEN tops.label IS NOT NULL THEN 'core' WHEN edge.number IS NOT NULL THEN 'border' ELSE 'noise' END AS role
-    FROM points p LEFT JOIN tops ON p.vec_id = tops.vec_id LEFT JOIN ids ON tops.label = ids.label LEFT JOIN edge ON p.vec_id = edge.vec_id"""))
+    FROM points p LEFT JOIN tops ON p.vec_id = tops.vec_id LEFT JOIN ids ON tops.label = ids.label LEFT JOIN edge ON p.vec_id = edge.vec_id""")
+
+
+@query("dbscan_assign", DBSCAN_ASSIGN_SQL)
 def q_dbscan_assign(spark, sf):
     return cluster.dbscan(views.points(spark, sf), "vec_id", AXES, EPS, MIN_POINTS)
 
@@ -213,8 +225,11 @@ def q_cluster_stats(spark, sf):
     return rounded(validate.cluster_stats(views.points(spark, sf), "vec_id", AXES))
 
 
-@query("widest_gap", with_views("points", f"""WITH {_tree_sql("cluster")}
-    SELECT CAST(part AS BIGINT) AS cluster, round(max(height), 6) AS widest_gap FROM tree GROUP BY part"""))
+WIDEST_GAP_SQL = with_views("points", f"""WITH {_tree_sql("cluster")}
+    SELECT CAST(part AS BIGINT) AS cluster, round(max(height), 6) AS widest_gap FROM tree GROUP BY part""")
+
+
+@query("widest_gap", WIDEST_GAP_SQL)
 def q_widest_gap(spark, sf):
     return rounded(validate.widest_gap(views.points(spark, sf), "vec_id", AXES))
 
@@ -385,3 +400,28 @@ def q_cluster_response(spark, sf):
     joined = joins.attach_by_key(response, labels, "user_id").filter(F.col("cluster").isNotNull())
     summary = profile.summary_numeric(joined, ["response"], ["cluster"]).drop("column", "n_missing")
     return rounded(summary)
+
+
+# ---------------------------------------------------------------- the same questions over many small leaves
+
+SMALL_LEAVES = 40
+
+
+@query("knn_distance_leaves", KNN_DISTANCE_SQL)
+def q_knn_distance_leaves(spark, sf):
+    return rounded(cluster.knn_distance(views.points(spark, sf), "vec_id", AXES, 4, leaf_points=SMALL_LEAVES))
+
+
+@query("hier_single_k_leaves", HIER_SINGLE_K_SQL)
+def q_hier_single_k_leaves(spark, sf):
+    return cluster.single_linkage(views.points(spark, sf), "vec_id", AXES, 4, leaf_points=SMALL_LEAVES)
+
+
+@query("merge_heights_leaves", MERGE_HEIGHTS_SQL)
+def q_merge_heights_leaves(spark, sf):
+    return rounded(cluster.merge_heights(views.points(spark, sf), "vec_id", AXES, leaf_points=SMALL_LEAVES))
+
+
+@query("dbscan_assign_leaves", DBSCAN_ASSIGN_SQL)
+def q_dbscan_assign_leaves(spark, sf):
+    return cluster.dbscan(views.points(spark, sf), "vec_id", AXES, EPS, MIN_POINTS, leaf_points=SMALL_LEAVES)

@@ -261,11 +261,7 @@ def q_boundary_centroid(spark, sf):
     )
 
 
-# Milestone dates inside the month covered by ``events``
-MARKERS = [
-    ("2024-01-05", "1. distancing"), ("2024-01-10", "2. first release"), ("2024-01-15", "3. approval"),
-    ("2024-01-20", "4. second approval"), ("2024-01-26", "5. children"),
-]
+MARKERS = [("2024-01-08", "week two"), ("2024-01-15", "mid month"), ("2024-01-27", "closing days")]
 MARKER_SQL = "CASE " + " ".join(f"WHEN day >= DATE '{d}' THEN '{n}'" for d, n in sorted(MARKERS, reverse=True)) + " END"
 
 

@@ -6,11 +6,12 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from minekit.functions.expr import rounded
+from minekit.functions.expr import ratio, rounded
 from minekit.operators import corr, reduce, trend
 from minekit.plans import views
 from minekit.plans.registry import query
 from minekit.plans.views import ENTITY_FEATURES, with_views
+from minekit.sources.scan import scan_table
 
 SCALED = ["cases", "deaths", "balance", "avg_price"]
 
@@ -69,6 +70,52 @@ def q_correlation_matrix(spark, sf):
     return rounded(corr.correlation_matrix(views.sparse(spark, sf), ["total", "lines", "qty", "order_key"]))
 
 
+# five measures of each kind of event on a day, a constant and a column without values: 27 columns, most with gaps
+DAY_MEASURES = {"avg": "sum(cents) FILTER (WHERE {k}) / (count(*) FILTER (WHERE {k}) * 100.0::DOUBLE)", "n": "count(*) FILTER (WHERE {k})",
+    "top": "max(value) FILTER (WHERE {k})", "low": "min(value) FILTER (WHERE {k})", "total": "sum(cents) FILTER (WHERE {k}) / 100.0::DOUBLE"}
+DAY_COLUMNS = [f"{m}_{kind}" for kind in views.EVENT_TYPES for m in DAY_MEASURES] + ["always", "never"]
+DAY_SQL = "days AS (SELECT user_id, CAST(ts AS DATE) AS day, " + ", ".join(
+    f"CAST({e.format(k=f"event_type = '{kind}'")} AS DOUBLE) AS {m}_{kind}" for kind in views.EVENT_TYPES for m, e in DAY_MEASURES.items()
+) + """, 1.5::DOUBLE AS always, CAST(NULL AS DOUBLE) AS never
+    FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events) GROUP BY user_id, CAST(ts AS DATE))"""
+
+
+def _gappy_pairs_sql(complete: bool) -> str:
+    """One SELECT per pair; no entry where a column is constant over the rows that count."""
+    out = []
+    for a, b in combinations(DAY_COLUMNS, 2):
+        both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        varies = f"min({a}) {both} < max({a}) {both} AND min({b}) {both} < max({b}) {both}"
+        whole = f" AND regr_count({a}, {b}) = count(*)" if complete else ""
+        out.append(f"SELECT '{a}' AS var_i, '{b}' AS var_j, CASE WHEN {varies}{whole} THEN corr({a}, {b}) END AS r, CAST(regr_count({a}, {b}) AS BIGINT) AS n FROM days")
+    return " UNION ALL ".join(out)
+
+
+def _days(spark, sf):
+    cents, out = F.round(F.col("value") * 100).cast("long"), []
+    for kind in views.EVENT_TYPES:
+        own = F.col("event_type") == kind
+        total, n = F.sum(F.when(own, cents)), F.count_if(own)
+        measures = {"avg": ratio(total, n * 100), "n": n.cast("double"), "top": F.max(F.when(own, F.col("value"))),
+            "low": F.min(F.when(own, F.col("value"))), "total": total / F.lit(100.0)}
+        out += [c.alias(f"{m}_{kind}") for m, c in measures.items()]
+    days = scan_table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(*out)
+    return days.withColumns({"always": F.lit(1.5), "never": F.lit(None).cast("double")})
+
+
+@query("correlation_wide", f"""WITH {DAY_SQL}, {_full_sql(f"SELECT var_i, var_j, r FROM ({_gappy_pairs_sql(True)})", DAY_COLUMNS)[5:]}
+    SELECT var_i, var_j, round(r, 6) + 0 AS r FROM m""")
+def q_correlation_wide(spark, sf):
+    """More than 24 columns, with gaps, a constant one and one without values."""
+    return rounded(corr.correlation_matrix(_days(spark, sf), DAY_COLUMNS))
+
+
+@query("correlation_wide_pairs", f"""WITH {DAY_SQL} SELECT var_i, var_j, round(r, 6) + 0 AS r, n FROM ({_gappy_pairs_sql(False)})""")
+def q_correlation_wide_pairs(spark, sf):
+    """The same table, each pair over the rows where both columns are present."""
+    return rounded(corr.correlation_pairs(_days(spark, sf), DAY_COLUMNS))
+
+
 @query("correlation_complete", with_views("sparse", """WITH c AS (SELECT lines, returned, qty, price, total FROM sparse
     WHERE lines IS NOT NULL AND returned IS NOT NULL AND qty IS NOT NULL AND price IS NOT NULL), """
     + _full_sql(_pairs_sql("c", ["lines", "returned", "qty", "price", "total"]), ["lines", "returned", "qty", "price", "total"])[5:]

@@ -36,7 +36,7 @@ def q_scan_csv(spark, sf):
 @query("scan_csv_override", """SELECT CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders""")
 def q_scan_csv_override(spark, sf):
     path = _as_csv(spark, scan_table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
-    df = scan_csv_override(spark, path, {"o_custkey": T.StringType()}, sampling_ratio=0.5)
+    df = scan_csv_override(spark, path, {"o_custkey": T.StringType()})
     return df.select("o_custkey", F.col("o_orderkey").cast("long").alias("o_orderkey"), F.round("o_totalprice", 2).alias("o_totalprice"))
 
 

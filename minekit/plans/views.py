@@ -49,8 +49,9 @@ VIEW_SQL = {
                CAST(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'view') AS DOUBLE) / (nullif(count(*) FILTER (WHERE event_type = 'view'), 0) * 100.0::DOUBLE) AS view
         FROM events GROUP BY user_id, CAST(ts AS DATE))""",
     "raw_points": """raw_points AS (
-        SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
-               CAST(embedding[3] AS DOUBLE) AS z, label
+        SELECT vec_id, round(list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda e, i: i % 3 = 1)), 9) AS x,
+               round(list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda e, i: i % 3 = 2)), 9) AS y,
+               round(list_sum(list_filter(CAST(embedding AS DOUBLE[]), lambda e, i: i % 3 = 0)), 9) AS z, label
         FROM embeddings)""",
     "points": """points AS (
         SELECT vec_id, round((x - (SELECT avg(x) FROM raw_points)) / (SELECT stddev_samp(x) FROM raw_points), 6) AS x,
@@ -207,11 +208,14 @@ def mobility(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_points(spark: SparkSession, folder: str) -> DataFrame:
-    vector = F.col("embedding")
+    """Every element of the vector counts: each axis adds up every third one, from the first, second and third on."""
+
+    def every_third(first: int):
+        picked = F.filter(F.col("embedding").cast("array<double>"), lambda e, i: i % 3 == first)
+        return F.round(F.aggregate(picked, F.lit(0.0), lambda total, e: total + e), 9)
+
     return scan_table(spark, folder, "embeddings").select(
-        "vec_id",
-        *[vector[i].cast("double").alias(axis) for i, axis in enumerate(("x", "y", "z"))],
-        "label",
+        "vec_id", *[every_third(i).alias(axis) for i, axis in enumerate(("x", "y", "z"))], "label"
     )
 
 

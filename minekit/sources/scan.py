@@ -10,26 +10,21 @@ def scan_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _reader(spark: SparkSession):
+    """Header line; blank cells and the token ``NA`` are NULL."""
+    return spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", None)
+
+
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with a header; blank cells and the token ``NA`` are NULL. Inference reads the file once more."""
-    reader = spark.read.option("header", True).option("nullValue", "NA").option("emptyValue", None)
+    """CSV with a header. Inference reads the whole file once more; a cell that does not fit a given schema fails."""
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
-
-
-def scan_csv_override(
-    spark: SparkSession, path: str, overrides: dict[str, T.DataType], sampling_ratio: float = 1.0
-) -> DataFrame:
-    """Infer the types from a sample, replace those of some columns, then read with that schema."""
-    inferred = (
-        spark.read.option("header", True)
-        .option("nullValue", "NA")
-        .option("inferSchema", True)
-        .option("samplingRatio", sampling_ratio)
-        .csv(path)
-        .schema
-    )
+        return _reader(spark).option("mode", "FAILFAST").schema(schema).csv(path)
+    return _reader(spark).option("inferSchema", True).csv(path)
+
+
+def scan_csv_override(spark: SparkSession, path: str, overrides: dict[str, T.DataType]) -> DataFrame:
+    """Infer the types from all rows, replace those of some columns, then read with that schema."""
+    inferred = scan_csv(spark, path).schema
     unknown = set(overrides) - set(inferred.names)
     if unknown:
         raise ValueError(f"no such columns: {sorted(unknown)}")

@@ -124,13 +124,26 @@ def test_collinear_drop_is_signed_and_judged_by_later_columns(spark):
     assert corr.drop_collinear(df, ["a", "up", "down"], signed=False).columns == ["down"]
 
 
-def test_wide_correlation_equals_pairwise(spark, monkeypatch):
+def test_wide_correlations_with_gaps_equal_plain_ones(spark):
+    """Thirty columns, some with gaps, one constant and one empty, against the textbook formula per pair."""
     rng = np.random.default_rng(1)
-    df = spark.createDataFrame(pd.DataFrame(rng.normal(size=(60, 4)), columns=list("abcd")))
-    narrow = {(r.var_i, r.var_j): r.r for r in corr.correlation_matrix(df, list("abcd")).collect()}
-    monkeypatch.setattr(corr, "WIDE", 2)
-    wide = {(r.var_i, r.var_j): r.r for r in corr.correlation_matrix(df, list("abcd")).collect()}
-    assert narrow == pytest.approx(wide)
+    names = [f"c{i}" for i in range(30)]
+    pdf = pd.DataFrame(rng.normal(1000, 2, size=(60, 30)), columns=names)
+    pdf.loc[rng.choice(60, 20, replace=False), "c3"] = np.nan
+    pdf.loc[5:, "c4"] = np.nan
+    pdf["c5"], pdf["c6"] = 0.1, np.nan
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = {(r.var_i, r.var_j): (r.r, r.n) for r in corr.correlation_pairs(df, names).collect()}
+    whole = {(r.var_i, r.var_j): r.r for r in corr.correlation_matrix(df, names).collect()}
+    assert len(got) == 435 and len(whole) == 900
+    for (a, b), (r, n) in got.items():
+        both = pdf[[a, b]].dropna()
+        assert n == len(both)
+        if n < 2 or both[a].nunique() < 2 or both[b].nunique() < 2:
+            assert r is None
+        else:
+            assert r == pytest.approx(np.corrcoef(both[a], both[b])[0, 1], abs=1e-9)
+        assert whole[a, b] == whole[b, a] == (r if n == 60 else None)
 
 
 @pytest.fixture(scope="module")

@@ -161,3 +161,19 @@ def test_median_distance_counts_copies(spark, cloud):
         d = brute(x[label == c])
         assert got[c] == pytest.approx(np.median(d[np.triu_indices(len(d), 1)]))
     assert 3 not in got
+
+
+def test_cuts_leave_rows_on_both_sides():
+    """Half the places at the top of a capped axis, or on a two-valued one, still fill all leaves."""
+    rng = np.random.default_rng(9)
+    capped = np.minimum(rng.normal(size=(4000, 3)), [0.0, 9.0, 9.0])
+    flags = np.column_stack([rng.random(4000) < 0.7, rng.normal(size=4000) * 0.01, rng.normal(size=4000) * 0.01]).astype(float)
+    for places in (capped, flags):
+        leaves = space.Leaves.build(places, 5, 3)
+        sizes = np.bincount(leaves.leaf_of(places), minlength=32)
+        assert sizes.min() > 0 and sizes.max() <= 2 * 4000 / 32 * 1.5
+
+
+def test_equal_places_are_one_leaf():
+    leaves = space.Leaves.build(np.ones((50, 2)), 2, 2)
+    assert len(set(leaves.leaf_of(np.ones((7, 2))).tolist())) == 1
