@@ -30,7 +30,7 @@ from minekit.llm.words import ODD_A, hashed_words, mixed
 #: Strength of the unigram prior, in tokens.
 MASS = 400.0
 #: Characters of a block, and hashed words or pairs of a part, both on average.
-BLOCK_CHARS, PART_KEYS = 24_000_000, 2_000_000
+BLOCK_CHARS, PART_KEYS = 12_000_000, 2_000_000
 END = np.uint64(0xE0D0F7E870000001)
 WORD_SALT, PAIR_SALT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
