@@ -5,12 +5,12 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from minekit.functions import names
 from minekit.lineage import number_rows
 from minekit.operators import classify, clean, corr, joins, profile, rank, reduce, trend, validate
-from minekit.sources.scan import scan_csv
+from minekit.sources.scan import scan_csv, scan_csv_override
 from minekit.sources.sink import write_table
 
 
@@ -45,8 +45,6 @@ def test_sorts_put_null_last(spark):
 def test_leading_zero_keys_survive_as_text(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.createDataFrame([("01001", "NA", 1.5)], "fips string, name string, v double").write.option("header", True).csv(path)
-    from pyspark.sql import types as T
-
     schema = T.StructType([T.StructField("fips", T.StringType()), T.StructField("name", T.StringType()), T.StructField("v", T.DoubleType())])
     assert rows(scan_csv(spark, path, schema)) == [("01001", None, 1.5)]
 
@@ -275,3 +273,26 @@ def test_written_tables_are_partitioned(spark, tmp_path):
     write_table(df, str(tmp_path / "t"), ["g"])
     assert (tmp_path / "t" / "g=a").exists()
     assert spark.read.parquet(str(tmp_path / "t")).filter("g = 'a'").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["forest", "mlp"])
+def test_fits_do_not_depend_on_partitions(spark, kind):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame(rng.normal(size=(300, 3)), columns=["a", "b", "c"])
+    pdf["id"], pdf["y"] = np.arange(300), np.where(pdf.a + rng.normal(size=300) > 0, "high", "low")
+    df = spark.createDataFrame(pdf)
+    settings = {"numTrees": 8, "maxDepth": 4} if kind == "forest" else {"maxIter": 20}
+    guesses = []
+    for parts in (1, 7):
+        model, classes = classify.fit_classifier(df.repartition(parts), ["a", "b", "c"], "y", kind, **settings)
+        guesses.append({r.id: r.predicted for r in classify.predict(model, classes, df, "id", ["a", "b", "c"]).collect()})
+    assert guesses[0] == guesses[1]
+
+
+def test_a_misfit_cell_fails_the_scan(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("k,v\n" + "".join(f"{i},{i}\n" for i in range(100)) + "100,1.5\n")
+    df = scan_csv_override(spark, str(path), {"k": T.StringType()})
+    assert df.schema["v"].dataType == T.DoubleType() and df.count() == 101
+    with pytest.raises(Exception):
+        scan_csv_override(spark, str(path), {"v": T.IntegerType()}).collect()
