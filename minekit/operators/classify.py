@@ -404,6 +404,29 @@ def metrics_from_cells(cells: DataFrame) -> DataFrame:
     ).unpivot(group, ["accuracy", "kappa"], "metric", "value")
 
 
+def best_candidate(metrics: DataFrame, candidates: list[str]) -> DataFrame:
+    """``(model, mean)`` of the candidate with the greatest mean accuracy; of equal ones the one listed first."""
+    place = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("model"))
+    means = metrics.filter(F.col("metric") == "accuracy").groupBy("model").agg(F.avg("value").alias("mean"))
+    return means.orderBy(F.desc(F.round("mean", 12)), place).limit(1)
+
+
+def tuned_knn(folded: DataFrame, test: DataFrame, key: str, cols, label: str, fold: str, ks) -> DataFrame:
+    """Choose k on the folds, smaller on ties, then vote over all training rows: ``(key, k, predicted)``."""
+    ks = list(ks)
+    chosen = best_candidate(knn_cv(folded, key, cols, label, fold, ks), [f"knn k={k}" for k in ks]).first()
+    k = int(chosen["model"].split("=")[1])
+    return knn_classify(folded, test, key, cols, label, [k])
+
+
+def tuned_predict(folded: DataFrame, test: DataFrame, key: str, cols, label: str, fold: str, grid: dict) -> DataFrame:
+    """Choose a candidate of the grid on the folds, refit it on all training rows: ``(key, model, predicted)``."""
+    chosen = best_candidate(tune_grid(folded, key, cols, label, fold, grid), list(grid)).first()["model"]
+    kind, settings = grid[chosen]
+    model, classes = fit_classifier(folded, cols, label, kind, **settings)
+    return predict(model, classes, test, key, cols).withColumn("model", F.lit(chosen)).select(key, "model", "predicted")
+
+
 def compare_models(metrics: DataFrame) -> DataFrame:
     """Six-number summary of every metric per model over the folds."""
     by = ["model", "metric"]

@@ -190,9 +190,14 @@ def block_dissimilarity(df: DataFrame, key: str, cols, cluster: str = "cluster")
     return cluster_pairs(place_sums(places, cols)).select("cluster_i", "cluster_j", F.col("mean").alias("mean_distance"))
 
 
-def cluster_stats(df: DataFrame, key: str, cols, cluster: str = "cluster") -> DataFrame:
-    """Internal validation measures, long form ``(metric, cluster, value)``; overall rows have no cluster."""
+def cluster_stats(df: DataFrame, key: str, cols, cluster: str = "cluster", noise: int = 0) -> DataFrame:
+    """Internal validation measures, long form ``(metric, cluster, value)``; overall rows have no cluster.
+
+    Rows of the cluster ``noise`` belong to none: they are counted and left out of all other measures.
+    """
     cols = list(cols)
+    n_noise = df.agg(F.count_if(F.col(cluster) == noise).cast("double")).scalar()
+    df = df.filter(F.col(cluster) != noise)
     places = cut(labelled_places(df.select(key, F.col(cluster).alias("cluster"), *cols), key, cols))
     sums = cut(place_sums(places, cols))
     pairs = cut(cluster_pairs(sums))
@@ -234,6 +239,7 @@ def cluster_stats(df: DataFrame, key: str, cols, cluster: str = "cluster") -> Da
     inside = per.withColumn("all_rows", n_rows).agg(
         F.max("all_rows").alias("n"),
         F.count(F.lit(1)).alias("k"),
+        F.min("size").alias("min_cluster_size"),
         F.sum("within_ss").alias("within_ss"),
         ratio(
             F.sum(F.when(F.col("average_distance").isNotNull(), F.col("size") * F.col("average_distance"))),
@@ -246,6 +252,7 @@ def cluster_stats(df: DataFrame, key: str, cols, cluster: str = "cluster") -> Da
         across.withColumn("g", F.lit(1))
         .join(inside.withColumn("g", F.lit(1)), "g")
         .withColumn("total_ss", total)
+        .withColumn("noise", n_noise)
     )
     n_all = F.col("n") * (F.col("n") - 1) / 2
     # distances against a 0/1 mark of different clusters; the sum of squared distances is n times the total SS
@@ -260,6 +267,8 @@ def cluster_stats(df: DataFrame, key: str, cols, cluster: str = "cluster") -> Da
         F.col("entropy"), ratio("average_within", "average_between").alias("wb_ratio"),
         ratio(ratio(F.col("total_ss") - F.col("within_ss"), F.col("k") - 1), ratio("within_ss", F.col("n") - F.col("k"))).alias("ch"),
         ratio(cov, F.sqrt(var_d * p * (1 - p))).alias("pearson_gamma"),
+        F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("cluster_number"),
+        F.col("min_cluster_size").cast("double").alias("min_cluster_size"), F.col("noise"),
     )
     whole = overall.unpivot([], overall.columns, "metric", "value")
     return by_cluster.select("metric", "cluster", "value").unionByName(
@@ -434,6 +443,13 @@ def sweep(df: DataFrame, key: str, cols, ks=range(2, 11), starts: int = 5, seed:
     return reduce(DataFrame.unionByName, parts)
 
 
+def best_k(swept: DataFrame) -> DataFrame:
+    """``(metric, k, value)`` where the silhouette or Dunn index of a sweep is greatest; the smaller k on ties."""
+    judged = swept.filter(F.col("metric").isin("silhouette", "dunn")).filter(F.col("value").isNotNull())
+    best = F.max(F.struct("value", (-F.col("k")).alias("minus_k"))).alias("best")
+    return judged.groupBy("metric").agg(best).select("metric", (-F.col("best.minus_k")).alias("k"), F.col("best.value").alias("value"))
+
+
 def hash_uniform(seed: int, key: str) -> Column:
     """A draw from [0, 1) that depends on the seed and the key alone, whatever the partitioning."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(2**53)).cast("double") / F.lit(float(2**53))

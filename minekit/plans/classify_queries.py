@@ -135,7 +135,18 @@ def q_tree_classify(spark, sf):
     return classify.predict(model, classes, test, "entity_key", FEATURES)
 
 
-@query("bayes_classify")
+WHOLE_SQL = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
+# the divisor gets a billionth of the widest column's variance on top, as Spark's Gaussian model does
+BAYES_SQL = f"""
+    WITH tr AS (SELECT * FROM classes WHERE state NOT IN ({HELD_SQL}) AND {WHOLE_SQL}), te AS (SELECT * FROM classes WHERE state IN ({HELD_SQL}) AND {WHOLE_SQL}),
+    e AS (SELECT 1e-9 * greatest({", ".join(f"var_pop({c})" for c in FEATURES)}) AS eps FROM tr),
+    m AS (SELECT risk, ln(count(*) / (SELECT count(*) FROM tr)) AS prior,
+                 {", ".join(f"avg({c}) AS m_{c}, var_pop({c}) + any_value(eps) AS v_{c}" for c in FEATURES)} FROM tr, e GROUP BY risk),
+    s AS (SELECT entity_key, m.risk, prior - ({" + ".join(f"ln(2 * pi() * v_{c}) / 2 + (te.{c} - m_{c}) * (te.{c} - m_{c}) / (2 * v_{c})" for c in FEATURES)}) AS score FROM te CROSS JOIN m)
+    SELECT entity_key, arg_max(risk, score) AS predicted FROM s GROUP BY entity_key"""
+
+
+@query("bayes_classify", with_views("classes", BAYES_SQL))
 def q_bayes_classify(spark, sf):
     train, test = split(spark, sf)
     model, classes = classify.fit_classifier(train, FEATURES, "risk", "bayes")
@@ -242,23 +253,53 @@ def q_confusion_metrics(spark, sf):
     return rounded(classify.confusion_by_class(guesses(spark, sf), "guess", "risk", CLASSES))
 
 
-@query("compare_models", with_views("classes", f"""
+FOLD_METRICS_SQL = f"""
     WITH f AS (SELECT risk AS actual, {GUESS} AS g1, {GUESS_2} AS g2, (row_number() OVER (PARTITION BY risk ORDER BY entity_key) - 1) % 10 AS fold FROM classes),
     l AS (SELECT 'discount' AS model, fold, actual, g1 AS predicted FROM f UNION ALL SELECT 'tax', fold, actual, g2 FROM f),
     a AS (SELECT model, fold, count(*) AS n, avg(CASE WHEN actual = predicted THEN 1.0 ELSE 0.0 END) AS acc FROM l GROUP BY 1, 2),
     r AS (SELECT model, fold, actual AS c, count(*) AS n FROM l GROUP BY 1, 2, 3), p AS (SELECT model, fold, predicted AS c, count(*) AS n FROM l GROUP BY 1, 2, 3),
     e AS (SELECT r.model, r.fold, sum(r.n * p.n) AS hits FROM r JOIN p USING (model, fold, c) GROUP BY 1, 2),
     m AS (SELECT model, 'accuracy' AS metric, acc AS value FROM a
-          UNION ALL SELECT model, 'kappa', (acc - hits / (n * n)) / (1 - hits / (n * n)) FROM a JOIN e USING (model, fold))
+          UNION ALL SELECT model, 'kappa', (acc - hits / (n * n)) / (1 - hits / (n * n)) FROM a JOIN e USING (model, fold))"""
+
+
+@query("compare_models", with_views("classes", f"""{FOLD_METRICS_SQL}
     SELECT model, metric, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median,
            round(avg(value), 6) AS mean, round(quantile_cont(value, 0.75), 6) AS q3, round(max(value), 6) AS max FROM m GROUP BY model, metric"""))
 def q_compare_models(spark, sf):
+    return rounded(classify.compare_models(given_fold_metrics(spark, sf)))
+
+
+def given_fold_metrics(spark, sf):
     df = guesses(spark, sf).select("entity_key", "risk", "guess", "guess_2")
     folded = classify.stratified_folds(df, "entity_key", "risk", 10)
     long = folded.select(
         "fold", F.col("risk").alias("actual"), F.col("guess").alias("discount"), F.col("guess_2").alias("tax")
     ).unpivot(["fold", "actual"], ["discount", "tax"], "model", "predicted")
-    return rounded(classify.compare_models(classify.fold_metrics(long)))
+    return classify.fold_metrics(long)
+
+
+@query("tuned_choice", with_views("classes", f"""{FOLD_METRICS_SQL}
+    SELECT model, round(avg(value), 6) AS mean FROM m WHERE metric = 'accuracy' GROUP BY model ORDER BY avg(value) DESC, model LIMIT 1"""))
+def q_tuned_choice(spark, sf):
+    """The candidate with the best mean accuracy over the folds; of equal ones the first in order."""
+    return rounded(classify.best_candidate(given_fold_metrics(spark, sf), ["discount", "tax"]))
+
+
+@query("predict_tuned_neighbours")
+def q_predict_tuned_neighbours(spark, sf):
+    """Neighbour count chosen on the folds of the training part, then applied to the test part."""
+    train, test = split(spark, sf)
+    folded = classify.stratified_folds(train, "entity_key", "risk", 10, seed=1000)
+    return classify.tuned_knn(folded, test, "entity_key", KNN_COLS, "risk", "fold", range(1, 11))
+
+
+@query("predict_tuned_forest")
+def q_predict_tuned_forest(spark, sf):
+    """Forest width chosen on the folds of the training part, then refitted on all of it."""
+    train, test = split(spark, sf)
+    folded = classify.stratified_folds(train, "entity_key", "risk", 10, seed=1000)
+    return classify.tuned_predict(folded, test, "entity_key", FEATURES, "risk", "fold", FOREST_GRID)
 
 
 @query("prediction_layers", with_views("classes", f"""

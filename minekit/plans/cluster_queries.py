@@ -220,7 +220,10 @@ def _metric_rows(source: str, names, cluster: str = "CAST(NULL AS BIGINT)") -> s
     wb AS (SELECT *, min_separation / max_diameter AS dunn, average_within / average_between AS wb_ratio FROM w)
     """ + _metric_rows("pc", ["size", "diameter", "average_distance", "separation", "average_toother", "silhouette", "within_ss"], "cluster")
     + " UNION ALL " + _metric_rows("wb", ["average_between", "average_within", "max_diameter", "min_separation", "total_within_ss",
-        "avg_silhouette", "dunn", "dunn2", "entropy", "wb_ratio", "ch", "pearson_gamma"])))
+        "avg_silhouette", "dunn", "dunn2", "entropy", "wb_ratio", "ch", "pearson_gamma"])
+    + """ UNION ALL SELECT 'n', NULL, CAST(count(*) AS DOUBLE) FROM points UNION ALL SELECT 'cluster_number', NULL, CAST(count(*) AS DOUBLE) FROM ss
+    UNION ALL SELECT 'min_cluster_size', NULL, CAST(min(size) AS DOUBLE) FROM ss
+    UNION ALL SELECT 'noise', NULL, CAST(count(*) FILTER (WHERE cluster = 0) AS DOUBLE) FROM points"""))
 def q_cluster_stats(spark, sf):
     return rounded(validate.cluster_stats(views.points(spark, sf), "vec_id", AXES))
 
@@ -277,6 +280,12 @@ def q_sweep_dunn(spark, sf):
     return validate.sweep(views.points(spark, sf), "vec_id", AXES, measures=["dunn"])
 
 
+@query("sweep_best")
+def q_sweep_best(spark, sf):
+    """The best k by silhouette and by Dunn index."""
+    return validate.best_k(validate.sweep(views.points(spark, sf), "vec_id", AXES, measures=["silhouette", "dunn"]))
+
+
 @query("gap_statistic")
 def q_gap_statistic(spark, sf):
     return validate.gap_statistic(views.points(spark, sf), "vec_id", AXES)
