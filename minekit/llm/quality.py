@@ -151,7 +151,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarra
 
 def extracted(texts: pd.Series, stated: pd.Series) -> pd.DataFrame:
     rows = [features(text, s) for text, s in zip(texts, stated)]
-    return pd.DataFrame([(a.tolist(), b.tolist(), c.tolist()) for a, b, c in rows], columns=["slots", "weights", "statistics"])
+    packed = [(a.astype("<i4").tobytes(), b.astype("<f4").tobytes(), c.astype("<f4").tobytes()) for a, b, c in rows]
+    return pd.DataFrame(packed, columns=["slots", "weights", "statistics"])
 
 
 def stated_length(docs: DataFrame, text: Column, column: str) -> Column:
@@ -166,11 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str,
     chosen = known.select("id", (F.col("share") > 0.5).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text"), stated_length(docs, text, length_column).alias("stated"))
-    use = pandas_udf(extracted, "slots array<int>, weights array<float>, statistics array<float>")
+    use = pandas_udf(extracted, "slots binary, weights binary, statistics binary")
     taken = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "label", use("text", "stated").alias("f"))
-    out = sorted(taken.select("id", "label", "f.*").toPandas().itertuples(index=False), key=lambda r: r.id)
-    parts = [(np.array(r.slots, dtype=np.int64), np.array(r.weights, dtype=np.float32), np.array(r.statistics, dtype=np.float32)) for r in out]
-    return fit(parts, np.array([r.label for r in out], dtype=np.float64))
+    # the sample's rows as bytes, some 2 KB each
+    out = sorted(taken.select("id", "label", "f.*").collect(), key=lambda r: r["id"])
+    parts = [(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["weights"], "<f4"), np.frombuffer(r["statistics"], "<f4")) for r in out]
+    return fit(parts, np.array([r["label"] for r in out], dtype=np.float64))
 
 
 def score_column(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, length_column: str, sample: int) -> Column:
