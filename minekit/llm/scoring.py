@@ -60,13 +60,36 @@ class Block:
         self.words, self.pairs = where[: len(flat)], where[len(flat) :]
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return keys.astype("<u8").tobytes(), counts.astype("<i8" if len(counts) and counts.max() > 2**31 - 1 else "<i4").tobytes()
+def shortened(values: np.ndarray, planes: bool) -> bytes:
+    """The bytes of numbers without the leading zero bytes that all have; by planes, equal bytes stand together."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    table = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + (table.T if planes else table).tobytes()
 
 
-def unpacked(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, dtype="<u8")
-    return k, np.frombuffer(counts, dtype="<i4" if len(counts) == 4 * len(k) else "<i8").astype(np.int64)
+def lengthened(data: bytes, planes: bool) -> np.ndarray:
+    width = data[0]
+    table = np.frombuffer(data, dtype=np.uint8, offset=1)
+    out = np.zeros((len(table) // width, 8), dtype=np.uint8)
+    out[:, :width] = table.reshape(width, -1).T if planes else table.reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def packed_keys(keys: np.ndarray, parts: int) -> bytes:
+    """Sorted keys of one part as the steps between them; their remainder is the part's number."""
+    return shortened(np.diff(keys // np.uint64(parts), prepend=np.uint64(0)), planes=False)
+
+
+def unpacked_keys(data: bytes, part: int, parts: int) -> np.ndarray:
+    return np.cumsum(lengthened(data, planes=False), dtype=np.uint64) * np.uint64(parts) + np.uint64(part)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    return shortened(counts, planes=True)
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return lengthened(data, planes=True).astype(np.int64)
 
 
 def listed(parts: int):
@@ -76,28 +99,36 @@ def listed(parts: int):
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         number = int(docs["block"].iloc[0])
-        rows = [(p, number, *packed(block.keys[order[a:b]], block.own[order[a:b]])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if b > a]
+        rows = []
+        for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            if b > a:
+                rows.append((p, number, packed_keys(block.keys[order[a:b]], parts), packed_counts(block.own[order[a:b]])))
         return pd.DataFrame(rows, columns=["part", "block", "keys", "counts"])
 
     return run
 
 
-def added_up(group: pd.DataFrame) -> pd.DataFrame:
+def added_up(parts: int):
     """Totals over all blocks, sent back where they differ from the block's own count."""
-    lists = [unpacked(k, c) for k, c in zip(group["keys"], group["counts"])]
-    sizes = np.array([len(k) for k, _ in lists])
-    counts = np.concatenate([c for _, c in lists])
-    _, where = np.unique(np.concatenate([k for k, _ in lists]), return_inverse=True)
-    totals = np.bincount(where, counts).astype(np.int64)[where]
-    rows = []
-    for block, (keys, own), end, n in zip(group["block"], lists, np.cumsum(sizes), sizes):
-        total = totals[end - n : end]
-        more = total != own
-        rows.append((int(block), *packed(keys[more], total[more])))
-    return pd.DataFrame(rows, columns=["of", "keys", "totals"])
-
-
-def scored(train_tokens: int, train_words: int, mass: float):
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        part = int(group["part"].iloc[0])
+        keys = [unpacked_keys(k, part, parts) for k in group["keys"]]
+        counts = [unpacked_counts(c) for c in group["counts"]]
+        ends = np.cumsum([len(k) for k in keys])
+        _, where = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.bincount(where, np.concatenate(counts)).astype(np.int64)[where]
+        rows = []
+        for block, own_keys, own, end in zip(group["block"], keys, counts, ends):
+            total = totals[end - len(own) : end]
+            more = total != own
+            rows.append((int(block), part, packed_keys(own_keys[more], parts), packed_counts(total[more])))
+        return pd.DataFrame(rows, columns=["of", "part", "keys", "totals"])
+
+    return run
+
+
+def scored(train_tokens: int, train_words: int, mass: float, parts: int):
     size = train_tokens + train_words + 1
 
     def run(docs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
@@ -106,8 +137,8 @@ def scored(train_tokens: int, train_words: int, mass: float):
             return pd.DataFrame(columns=columns)
         block = Block(docs)
         count = block.own.copy()
-        for keys, total in (unpacked(k, t) for k, t in zip(totals["keys"], totals["totals"])):
-            count[np.searchsorted(block.keys, keys)] = total
+        for part, keys, total in zip(totals["part"], totals["keys"], totals["totals"]):
+            count[np.searchsorted(block.keys, unpacked_keys(keys, int(part), parts))] = unpacked_counts(total)
         starts = np.concatenate([[0], np.cumsum(block.lengths)[:-1]])
         words, pairs = count[block.words], count[block.pairs]
         root = (words + 1) / size
@@ -141,16 +172,19 @@ def distinct_words(parts: int):
                 seen, waiting, size = np.unique(np.concatenate([seen, *waiting])), [], 0
         seen = np.unique(np.concatenate([seen, *waiting]))
         part = (seen % np.uint64(parts)).astype(np.int64)
-        rows = [(p, seen[part == p].astype("<u8").tobytes(), 0) for p in np.unique(part).tolist()]
-        rows.append((0, b"", tokens))
+        rows = [(p, packed_keys(seen[part == p], parts), 0) for p in np.unique(part).tolist()]
+        rows.append((0, packed_keys(seen[:0], parts), tokens))
         yield pd.DataFrame(rows, columns=["part", "keys", "tokens"])
 
     return run
 
 
-def union_size(group: pd.DataFrame) -> pd.DataFrame:
-    keys = np.frombuffer(b"".join(group["keys"]), dtype="<u8")
-    return pd.DataFrame({"words": [len(np.unique(keys))], "tokens": [int(group["tokens"].sum())]})
+def union_size(parts: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [unpacked_keys(k, int(p), parts) for p, k in zip(group["part"], group["keys"])]
+        return pd.DataFrame({"words": [len(np.unique(np.concatenate(keys)))], "tokens": [int(group["tokens"].sum())]})
+
+    return run
 
 
 def language_model_scores(
@@ -169,12 +203,12 @@ def language_model_scores(
         F.pmod(F.xxhash64(id_column, text_column), F.lit(blocks)).cast("int").alias("block"),
     )
     words = rows.filter("train").select("text").mapInPandas(distinct_words(parts), "part int, keys binary, tokens long")
-    size = words.groupBy("part").applyInPandas(union_size, "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
+    size = words.groupBy("part").applyInPandas(union_size(parts), "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
     train_words, train_tokens = (size[0] or 0), (size[1] or 0)
     lists = rows.groupBy("block").applyInPandas(listed(parts), "part int, block int, keys binary, counts binary")
-    totals = lists.groupBy("part").applyInPandas(added_up, "of int, keys binary, totals binary")
+    totals = lists.groupBy("part").applyInPandas(added_up(parts), "of int, part int, keys binary, totals binary")
     schema = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = rows.groupBy("block").cogroup(totals.groupBy("of")).applyInPandas(scored(train_tokens, train_words, mass), schema)
+    out = rows.groupBy("block").cogroup(totals.groupBy("of")).applyInPandas(scored(train_tokens, train_words, mass, parts), schema)
     return out.select(
         F.col("id").cast(id_type).alias(id_column), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
         "base_score", "score",

@@ -151,3 +151,16 @@ def test_scores_of_edges(frame):
 def test_the_model_beats_the_base_on_held_out_rows(documents):
     rows = [r for r in scoring.language_model_scores(documents).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_lists_survive_packing(parts):
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 5000):
+        keys = np.unique(rng.integers(0, 2**64, size=n * parts, dtype=np.uint64))
+        part = 3 % parts
+        keys = keys[keys % np.uint64(parts) == part]
+        assert np.array_equal(scoring.unpacked_keys(scoring.packed_keys(keys, parts), part, parts), keys)
+        for top in (2, 300, 2**40):
+            counts = rng.integers(0, top, size=len(keys))
+            assert np.array_equal(scoring.unpacked_counts(scoring.packed_counts(counts)), counts)
