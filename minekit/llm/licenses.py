@@ -28,7 +28,7 @@ from minekit.llm.license_templates import NOTICES, PLAIN, TEMPLATES
 
 NONE, UNKNOWN = "none", "unknown"
 SEGMENT, WINDOW, STEP = 64, 12, 4
-#: Paragraphs of the corpus that serve as counterexamples, at most, and the strength of the ridge.
+#: Documents of the corpus that give counterexamples, about, and the strength of the ridge.
 CORPUS_SAMPLE, RIDGE = 3_000, 1e-3
 #: Prior shares of no licence, an unknown one and the known families, and the total weight of the fit.
 PRIORS, WEIGHT = (0.25, 0.25, 0.5), 1_000.0
@@ -86,8 +86,10 @@ def segments(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def corpus_windows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """At most ``CORPUS_SAMPLE`` documents' first differing segments without the vocabulary of licences, as counterexamples."""
-    chosen = docs.select(id_column, text_column).orderBy(F.xxhash64(F.col(id_column).cast("string")), F.xxhash64(text_column)).limit(CORPUS_SAMPLE)
+    """A fifth of the segments of about ``CORPUS_SAMPLE`` documents, those without the vocabulary of licences, as counterexamples."""
+    # a hash decides, so that no task gathers texts from all others
+    draw = F.pmod(F.xxhash64(F.col(id_column).cast("string"), text_of(text_column)), F.lit(1_000_000))
+    chosen = docs.select(id_column, text_column).filter(draw * docs.count() < CORPUS_SAMPLE * 1_000_000)
     parts = segments(chosen, id_column, text_column).filter(F.pmod(F.xxhash64("id", "paragraph", "segment"), F.lit(5)) == 0)
     legal = F.exists("words", lambda w: w.rlike("licen[cs]|copyright|warrant|redistrib|permi[st]|reserved|spdx|creative|commons"))
     return parts.filter(~legal).select(F.lit(NONE).alias("family"), grams_of(F.col("words")).alias("grams"), F.lit(False).alias("kept_out"))
