@@ -3,12 +3,13 @@
 Pages become block trees. A node is named by the tags, classes and ids from the root to it, so the trees of one
 host merge into one site tree. Two entropies weigh a node. Presentation: how evenly the pages spread over the
 child sequences seen at the node. Content: one less the mean entropy of the text blocks below the node over the
-host's pages; a text on every page counts 0, a text on one page counts 1. Nodes of low weight, found on at least
-half of ``MIN_PAGES`` or more different pages, are template and their branches go. What a page itself says about a
+pages that hold the node; a text on all of them counts 0, a text on one page counts 1. Nodes of low weight, found on
+``MIN_PAGES`` or more different pages, are template and their branches go. What a page itself says about a
 branch is presentation too: elements for navigation, headers, footers, sidebars, notices, adverts, forms, scripts
-and reader comments, by tag, role, class or id, go on any page. Where a page has an article or main element, only
-that is read; inside it, plain paragraphs and headings never go for being frequent, only branches with a class or
-id of their own. Equal pages of a host count once.
+and reader comments, by tag, role, class or id, go on any page. Where a page has an article or main element, that
+is read, and beside it the blocks whose node the tree of the site weighs ``HIGH`` or more. Inside it branches of low
+weight go, with or without a class or id, but headings stay, and so does a frequent paragraph whose node also holds
+the paragraphs of the text. Equal pages of a host count once.
 
 Defined cases: a null or empty html gives an empty text; a null url belongs to no site; unclosed, stray and cut
 tags are read as a browser would; a page without text gives an empty text; repeated rows give a row each; an
@@ -26,8 +27,10 @@ from pyspark.sql.functions import pandas_udf
 
 from minekit.llm.common import bounded_batches, cut
 
-#: Weight of content against presentation, weight under which a node is template, and pages that a site needs.
+#: Weight of content against presentation, weight under which a node is template, and pages that a node needs.
 CONTENT_WEIGHT, LOW, MIN_PAGES = 0.9, 0.2, 8
+#: Weight from which a block beside the article is main text.
+HIGH = 0.5
 #: Weight that the article as a whole needs before branches inside it may go.
 ARTICLE_WEIGHT = 0.5
 
@@ -59,6 +62,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Paths of the headings of an article.
+HEADING = r"/h[1-6]$"
 #: Numbers in class names and ids that are too long to name a kind of element.
 DIGITS = re.compile(r"\d{3,}")
 
@@ -211,43 +216,50 @@ def parse(sources: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["blocks", "styles"])
 
 
-def ancestors(path: str):
+def ancestors(path):
     """Column of the paths from the root's child down to ``path`` itself."""
-    steps = F.split(F.col(path), "/")
+    steps = F.split(path, "/")
     return F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
 
 
-def template_paths(pages: DataFrame) -> DataFrame:
-    """(host, path) of the paths whose blocks go, for blocks outside of an article and for marked ones inside."""
+def judged_paths(pages: DataFrame) -> DataFrame:
+    """(host, path, low, in_article_too, high): paths whose blocks go, and paths whose blocks stay beside an article."""
     known = pages.filter(F.col("host") != "")
     single = known.select(
         "host", "print",
         F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("feature"), b["core"].alias("core")))).alias("features"),
         F.col("styles"),
     ).dropDuplicates(["host", "print"])
-    sizes = single.groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MIN_PAGES)
     features = single.select("host", F.explode("features").alias("f")).select("host", "f.*")
-    counted = features.groupBy("host", "path", "core", "feature").agg(F.count(F.lit(1)).alias("n")).join(sizes, "host")
-    leaves = counted.groupBy("host", "path", "core", "m").agg(
-        F.count(F.lit(1)).alias("kinds"), F.sum(F.log("n") / F.log("m")).alias("entropy"), F.max("n").alias("pages")
-    )
-    nodes = leaves.withColumn("node", F.explode(ancestors("path"))).groupBy("host", "node", "m").agg(
-        F.sum("kinds").alias("kinds"), F.sum("entropy").alias("entropy"), F.max("pages").alias("pages")
-    )
+    counted = features.groupBy("host", "path", "core", "feature").agg(F.count(F.lit(1)).alias("n"))
+    leaves = counted.groupBy("host", "path", "core").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.log("n")).alias("logs"))
+    nodes = leaves.withColumn("node", F.explode(ancestors("path"))).groupBy("host", "node").agg(F.sum("kinds").alias("kinds"), F.sum("logs").alias("logs"))
+    own = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.col("features.path")), ancestors)))
+    held = single.select("host", F.explode(own).alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= MIN_PAGES)
     shapes = single.select("host", F.explode("styles").alias("s")).groupBy("host", F.col("s.path").alias("node"), "s.style").agg(F.count(F.lit(1)).alias("n"))
     totals = shapes.groupBy("host", "node").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.count(F.lit(1)).alias("styles"))
     presentation = totals.select(
         "host", "node", F.when(F.col("styles") > 1, (F.log("all") - F.col("n_log_n") / F.col("all")) / F.log("all")).otherwise(F.lit(0.0)).alias("presentation")
     )
-    weighed = nodes.join(presentation, ["host", "node"], "left").withColumn(
-        "weight", (1 - CONTENT_WEIGHT) * F.coalesce("presentation", F.lit(0.0)) + CONTENT_WEIGHT * (1 - F.col("entropy") / F.col("kinds"))
-    )
-    low = weighed.filter((F.col("weight") < LOW) & (2 * F.col("pages") >= F.col("m"))).select("host", F.col("node").alias("low"))
-    article = leaves.filter("core").groupBy("host").agg((1 - F.sum("entropy") / F.sum("kinds")).alias("article_weight"))
-    below = leaves.select("host", "path").distinct().withColumn("low", F.explode(ancestors("path"))).join(low, ["host", "low"])
-    return below.select("host", "path").distinct().join(article, "host", "left").select(
-        "host", "path", (F.coalesce("article_weight", F.lit(1.0)) >= ARTICLE_WEIGHT).alias("in_article_too")
+    weighed = nodes.join(held, ["host", "node"]).join(presentation, ["host", "node"], "left").select(
+        "host", "node",
+        ((1 - CONTENT_WEIGHT) * F.coalesce("presentation", F.lit(0.0)) + CONTENT_WEIGHT * (1 - F.col("logs") / F.log("m") / F.col("kinds"))).alias("weight"),
+    )
+    cores = single.filter(F.exists("features", lambda f: f["core"])).groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+    article = leaves.filter("core").groupBy("host").agg(F.sum("kinds").alias("kinds"), F.sum("logs").alias("logs")).join(cores, "host").select(
+        "host", (1 - F.coalesce(F.try_divide("logs", F.log("m")), F.lit(0.0)) / F.col("kinds")).alias("article_weight")
     )
+    below = leaves.withColumn("node", F.explode(ancestors("path"))).join(weighed, ["host", "node"])
+    judged = below.groupBy("host", "path").agg(
+        F.bool_or("core").alias("core"), F.bool_or(~F.col("core")).alias("free"), F.bool_or(F.col("weight") < LOW).alias("low"),
+        F.coalesce(F.bool_or((F.col("node") == F.col("path")) & (F.col("weight") >= HIGH)), F.lit(False)).alias("high"),
+    ).join(article, "host", "left").select(
+        "host", "path", "core", "free", "low", (F.col("low") & (F.coalesce("article_weight", F.lit(1.0)) >= ARTICLE_WEIGHT)).alias("in_article_too"),
+        (F.col("high") & ~F.col("low") & F.col("free") & F.col("article_weight").isNotNull()).alias("high"),
+    )
+    # a heading below no class or id stays in any case
+    may_go = ~F.col("path").rlike(HEADING) | F.col("path").contains(".")
+    return judged.filter((F.col("free") & (F.col("low") | F.col("high"))) | (F.col("core") & F.col("in_article_too") & may_go)).drop("core", "free")
 
 
 def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -260,24 +272,27 @@ def main_texts(pages: DataFrame, id_column: str = "page_id", url_column: str = "
         F.xxhash64(source).alias("print"), source.alias("source"),
     )
     parsed = cut(rows.withColumn("p", pandas_udf(parse, PARSED)("source")).select("id", "url", "host", "print", "p.*"))
-    template = cut(template_paths(parsed))
-    if template.isEmpty():
-        told = parsed.withColumn("outside", F.array().cast("array<string>")).withColumn("inside", F.array().cast("array<string>"))
+    judged = cut(judged_paths(parsed))
+    lists = ("outside", "inside", "beside")
+    if judged.isEmpty():
+        told = parsed.withColumns({c: F.array().cast("array<string>") for c in lists})
     else:
         # only paths that a page has are attached to it
         own = parsed.select("host", "print", F.explode(F.array_distinct(F.col("blocks.path"))).alias("path")).distinct()
-        gone = own.join(template, ["host", "path"]).groupBy("host", "print").agg(
-            F.collect_set("path").alias("outside"), F.collect_set(F.when(F.col("in_article_too"), F.col("path"))).alias("inside")
+        found = own.join(judged, ["host", "path"]).groupBy("host", "print").agg(
+            F.collect_set(F.when(F.col("low"), F.col("path"))).alias("outside"),
+            F.collect_set(F.when(F.col("in_article_too"), F.col("path"))).alias("inside"),
+            F.collect_set(F.when(F.col("high"), F.col("path"))).alias("beside"),
         )
-        told = parsed.join(gone, ["host", "print"], "left")
-        told = told.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("outside", "inside")})
-    stays = F.filter(
+        told = parsed.join(found, ["host", "print"], "left")
+        told = told.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
+    told = told.withColumn("has_core", F.exists("blocks", lambda b: b["core"]))
+    chosen = F.filter(
         "blocks",
-        lambda b: F.when(b["core"], ~(b["marked"] & F.array_contains(F.col("inside"), b["path"]))).otherwise(~F.array_contains(F.col("outside"), b["path"])),
+        lambda b: F.when(b["core"], ~((b["marked"] | ~b["path"].rlike(HEADING)) & F.array_contains(F.col("inside"), b["path"])))
+        .when(F.col("has_core"), F.array_contains(F.col("beside"), b["path"]))
+        .otherwise(~F.array_contains(F.col("outside"), b["path"])),
     )
-    told = told.withColumn("stays", stays)
-    has_core = F.exists("blocks", lambda b: b["core"])
-    chosen = F.filter("stays", lambda b: b["core"] | ~F.col("has_core"))
     text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
-    out = told.withColumn("has_core", has_core).select(F.col("id").alias(id_column), F.col("url").alias(url_column), text.alias("text"))
+    out = told.select(F.col("id").alias(id_column), F.col("url").alias(url_column), text.alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

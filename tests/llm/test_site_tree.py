@@ -79,6 +79,26 @@ def test_marked_branches_inside_articles(pages):
     assert got == {k: f"Same head\nBody {k} a\nBody {k} b\nCommon" for k in range(20)}
 
 
+def test_unmarked_template_branches_inside_articles_go(pages):
+    rows = [(k, f"http://u.example/{k}", f"<article><h1>Same head</h1><p>Body {k} a</p><p>Body {k} b</p><div>Write to us for more</div></article>") for k in range(20)]
+    assert texts(site_tree.main_texts(pages(rows))) == {k: f"Same head\nBody {k} a\nBody {k} b" for k in range(20)}
+
+
+def test_text_beside_a_teaser_article_stays(pages):
+    rows = [
+        (k, f"http://b.example/{k}", f"<body><section><p>Call us now</p></section><article><p>Teaser {k}</p></article><div><p>Long story {k}</p><p>Its end {k}</p></div></body>")
+        for k in range(20)
+    ]
+    assert texts(site_tree.main_texts(pages(rows))) == {k: f"Teaser {k}\nLong story {k}\nIts end {k}" for k in range(20)}
+
+
+def test_template_of_a_small_part_of_a_site_goes(pages):
+    plain = [(k, f"http://p.example/{k}", f"<body><div><p>Story {k}</p></div></body>") for k in range(60)]
+    shop = [(100 + k, f"http://p.example/s/{k}", f"<body><div><p>Offer {k}</p></div><section>Call us now</section></body>") for k in range(10)]
+    got = texts(site_tree.main_texts(pages(plain + shop)))
+    assert got == {**{k: f"Story {k}" for k in range(60)}, **{100 + k: f"Offer {k}" for k in range(10)}}
+
+
 def test_edges(pages):
     rows = [(1, None, None), (1, None, None), (2, "not a url", ""), (None, None, "<p>x</p>"), (3, "http://h.example", "<p>" + "long text " * 200_000)]
     out = site_tree.main_texts(pages(rows))
