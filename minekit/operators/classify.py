@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import QuantileDiscretizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from minekit.functions import special
@@ -106,22 +106,14 @@ def v_from_counts(counts: DataFrame) -> DataFrame:
     return per.select("feature", "n_bins", chi2.alias("chi2"), v.alias("v"))
 
 
-def binned_counts(df: DataFrame, label: str, cols, bins: int = 256):
-    """Class counts per quantile bin of each feature, with the bin borders: (frame, borders)."""
-    cols = list(cols)
-    rows = cut(drop_incomplete(df.select(label, *[F.col(c).cast("double").alias(c) for c in cols])))
-    outputs = [f"{c}__bin" for c in cols]
-    model = QuantileDiscretizer(
-        numBucketsArray=[bins] * len(cols), inputCols=cols, outputCols=outputs, relativeError=1e-4
-    ).fit(rows)
-    borders = dict(zip(cols, model.getSplitsArray()))
-    placed = model.transform(rows).select(
-        F.col(label).alias("class"), *[F.col(o).cast("int").alias(c) for c, o in zip(cols, outputs)]
-    )
-    counts = placed.unpivot(["class"], cols, "feature", "bin").groupBy("feature", "bin", "class").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return counts, borders
+def value_counts(df: DataFrame, label: str, cols) -> DataFrame:
+    """Class counts ``(feature, value, class, n)`` per distinct value; a missing cell leaves out its own feature only."""
+    def cell(c):
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v).alias(c)
+
+    long = df.select(F.col(label).alias("class"), *[cell(c) for c in cols]).unpivot(["class"], list(cols), "feature", "value")
+    return long.filter(F.col("value").isNotNull() & F.col("class").isNotNull()).groupBy("feature", "value", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _entropy(counts: np.ndarray) -> float:
@@ -129,71 +121,97 @@ def _entropy(counts: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
-def _description_length_cuts(table: np.ndarray) -> list[int]:
-    """Bins after which to cut: split by least class entropy while the gain pays for its description."""
-
-    def split(low: int, high: int) -> list[int]:
-        part = table[low:high]
-        total = part.sum(axis=0)
-        n = total.sum()
-        if high - low < 2 or n == 0:
-            return []
-        whole = _entropy(total)
-        left = np.cumsum(part, axis=0)[:-1]
-        best = None
-        for i in range(len(left)):
-            a, b = left[i], total - left[i]
-            if a.sum() == 0 or b.sum() == 0:
-                continue
-            e = (a.sum() * _entropy(a) + b.sum() * _entropy(b)) / n
-            if best is None or e < best[0]:
-                best = (e, i, a, b)
-        if best is None:
-            return []
-        e, i, a, b = best
-        k, k1, k2 = (int((v > 0).sum()) for v in (total, a, b))
-        delta = math.log2(3**k - 2) - (k * whole - k1 * _entropy(a) - k2 * _entropy(b))
-        if whole - e <= (math.log2(n - 1) + delta) / n:
-            return []
-        at = low + i + 1
-        return split(low, at) + [at] + split(at, high)
-
-    return split(0, len(table))
-
-
-def mdl_discretise(df: DataFrame, label: str, cols, bins: int = 256):
+def _pays(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the gain of a split into class counts ``a`` and ``b`` pays for its description."""
+    total = a + b
+    n = total.sum()
+    whole = _entropy(total)
+    e = (a.sum() * _entropy(a) + b.sum() * _entropy(b)) / n
+    k, k1, k2 = (int((v > 0).sum()) for v in (total, a, b))
+    delta = math.log2(3**k - 2) - (k * whole - k1 * _entropy(a) - k2 * _entropy(b))
+    return whole - e > (math.log2(n - 1) + delta) / n
+
+
+def _segment(cuts, feature: str, column: str) -> Column:
+    """Number of cuts of a feature at or below its value."""
+    table = F.create_map(*[x for c, v in cuts.items() for x in (F.lit(c), F.array(*[F.lit(float(y)) for y in v]).cast("array<double>"))])
+    return F.size(F.filter(table[F.col(feature)], lambda y: y <= F.col(column)))
+
+
+def mdl_discretise(df: DataFrame, label: str, cols):
     """Supervised cuts per feature: ``{feature: [cut, ...]}`` and the counts they are judged on.
 
-    Spark counts classes per quantile bin; the recursion sees only features x bins x classes numbers.
+    A cut is the least value of its upper side. Any border between two distinct values may be one: the values lie in
+    range partitions, and prefix sums inside a range, shifted by the sums of the earlier ranges, give the class
+    counts below each value. Every round splits all open segments of all features; only the best split of each
+    segment reaches the driver.
     """
-    counts, borders = binned_counts(df, label, cols, bins)
-    counts = cut(counts)
+    cols = list(cols)
+    counts = cut(value_counts(df, label, cols))
     classes = [r[0] for r in counts.select("class").distinct().orderBy("class").collect()]
-    tables = {c: np.zeros((len(borders[c]) - 1, len(classes))) for c in cols}
-    for r in counts.collect():
-        tables[r["feature"]][r["bin"], classes.index(r["class"])] = r["n"]
-    after = {c: _description_length_cuts(tables[c]) for c in cols}
-    return {c: [float(borders[c][i]) for i in after[c]] for c in cols}, counts, after
-
-
-def mdl_cuts(df: DataFrame, label: str, cols, bins: int = 256) -> DataFrame:
-    cuts, _, _ = mdl_discretise(df, label, cols, bins)
+    cuts = {c: [] for c in cols}
+    if not classes:
+        return cuts, counts
+    names = [f"n{i}" for i in range(len(classes))]
+    wide = counts.groupBy("feature", "value").agg(
+        *[F.sum(F.when(F.col("class") == v, F.col("n")).otherwise(0)).alias(n) for v, n in zip(classes, names)]
+    )
+    ranged = cut(wide.repartitionByRange("feature", "value").withColumn("range", F.spark_partition_id()))
+    closed = set()
+    while True:
+        placed = ranged.withColumn("segment", _segment(cuts, "feature", "value"))
+        # one row per range and segment: bounded by the partitions plus the accepted cuts
+        sizes = placed.groupBy("feature", "segment", "range").agg(*[F.sum(n).alias(n) for n in names])
+        group = Window.partitionBy("feature", "segment")
+        before = group.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = cut(sizes.select(
+            "feature", "segment", "range", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"o_{n}") for n in names],
+            *[F.sum(n).over(group).alias(f"t_{n}") for n in names],
+        ))
+        inside = Window.partitionBy("range", "feature", "segment").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        below = placed.select("feature", "segment", "range", "value", *[F.coalesce(F.sum(n).over(inside), F.lit(0)).alias(n) for n in names])
+        sides = below.join(offsets, ["feature", "segment", "range"])
+        left = [F.col(n) + F.col(f"o_{n}") for n in names]
+        right = [F.col(f"t_{n}") - x for n, x in zip(names, left)]
+
+        def bits(side):
+            """Rows times class entropy of a side."""
+            def part(x):
+                return F.when(x > 0, x * F.log2(x.cast("double"))).otherwise(0.0)
+
+            return part(sum(side[1:], side[0])) - sum((part(x) for x in side[1:]), part(side[0]))
+
+        least = F.min(F.struct(F.round(bits(left) + bits(right), 6).alias("e"), "value", F.array(*left).alias("a"), F.array(*right).alias("b")))
+        best = sides.filter(sum(left[1:], left[0]) > 0).groupBy("feature", "segment").agg(least.alias("best")).collect()
+        found = []
+        for r in best:
+            at = cuts[r.feature]
+            span = (r.feature, at[r.segment - 1] if r.segment else None, at[r.segment] if r.segment < len(at) else None)
+            if span in closed:
+                continue
+            if _pays(np.array(r.best.a, float), np.array(r.best.b, float)):
+                found.append((r.feature, r.best.value))
+            else:
+                closed.add(span)
+        if not found:
+            return cuts, counts
+        for c, v in found:
+            cuts[c] = sorted([*cuts[c], v])
+
+
+def mdl_cuts(df: DataFrame, label: str, cols) -> DataFrame:
+    cuts, _ = mdl_discretise(df, label, cols)
     rows = [(c, i + 1, v) for c in cols for i, v in enumerate(cuts[c])]
     if not rows:
         return literal_frame(df.sparkSession, [("", 0, 0.0)], ["feature", "position", "cut"]).limit(0)
     return literal_frame(df.sparkSession, rows, ["feature", "position", "cut"])
 
 
-def rank_features(df: DataFrame, label: str, cols, bins: int = 256) -> DataFrame:
+def rank_features(df: DataFrame, label: str, cols) -> DataFrame:
     """Cramer's V of each feature after supervised discretisation; a feature without a cut scores 0."""
-    _, counts, after = mdl_discretise(df, label, cols, bins)
-    merged = None
-    for c in cols:
-        # position of the bin among the accepted cuts
-        group = sum((F.when(F.col("bin") >= at, 1).otherwise(0) for at in after[c]), F.lit(0))
-        merged = F.when(F.col("feature") == c, group) if merged is None else merged.when(F.col("feature") == c, group)
-    regrouped = counts.groupBy("feature", merged.cast("string").alias("bin"), "class").agg(F.sum("n").alias("n"))
-    return v_from_counts(regrouped).orderBy(F.desc("v"), "feature")
+    cuts, counts = mdl_discretise(df, label, cols)
+    placed = counts.withColumn("bin", _segment(cuts, "feature", "value").cast("string"))
+    return v_from_counts(placed.groupBy("feature", "bin", "class").agg(F.sum("n").alias("n"))).orderBy(F.desc("v"), "feature")
 
 
 # ---------------------------------------------------------------- nearest neighbours

@@ -251,6 +251,17 @@ def test_mdl_finds_the_step_and_leaves_noise_alone(spark):
     assert ranked["noise"] == 0.0 and ranked["x"] > 0.97
 
 
+def test_mdl_cuts_lie_on_values_and_missing_cells_cost_only_their_feature(spark):
+    x = np.random.default_rng(5).permutation(3000).astype(float)
+    rows = [(float(v), None if i % 50 else float(v), "a" if v < 1234 else "b") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "x double, gappy double, y string").repartition(5)
+    cuts = {(r["feature"], r["position"]): r["cut"] for r in classify.mdl_cuts(df, "y", ["x", "gappy"]).collect()}
+    first = min(v for i, v in enumerate(x) if i % 50 == 0 and v >= 1234)
+    assert cuts == {("x", 1): 1234.0, ("gappy", 1): first}
+    ranked = {r["feature"]: (r["n_bins"], round(r["v"], 9), round(r["chi2"], 6)) for r in classify.rank_features(df, "y", ["x", "gappy"]).collect()}
+    assert ranked == {"x": (2, 1.0, 3000.0), "gappy": (2, 1.0, 60.0)}
+
+
 def test_knn_vote_ties_and_scaling(spark):
     train = spark.createDataFrame(
         [(1, 0.0, "b"), (2, 0.0, "a"), (3, 10.0, "c"), (4, 10.0, "c"), (5, 10.0, "a")], "id int, x double, y string"
