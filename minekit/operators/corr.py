@@ -6,15 +6,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from minekit.functions.expr import literal_frame, quoted, ratio
 from minekit.functions.special import t_p_value
 from minekit.operators.clean import drop_incomplete
 
-# a pair whose variance is below this share of the column's own counts as constant
-FLAT = 1e-12
-
 
 def _double(c: str):
     v = F.col(quoted(c)).cast("double")
@@ -51,63 +48,98 @@ def zscore_outliers(df: DataFrame, cols, limit: float = 3.0) -> DataFrame:
     return wide.filter(~far).drop("_m")
 
 
-def pair_sums(df: DataFrame, cols, by=()) -> DataFrame:
-    """``(by..., i, j, n, sx, sy, sxx, syy, sxy)`` per pair of column positions i < j, in one pass over the rows.
+def _pair_moments(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts, means, centred sums and extremes of [i, j], of column i over the rows where i and j are present."""
+    p, present = x.shape[1], ~np.isnan(x)
+    out = {name: np.zeros((p, p)) for name in ("n", "mean", "square", "product")}
+    out["low"], out["high"] = np.full((p, p), np.inf), np.full((p, p), -np.inf)
+    for j in range(p):
+        rows = present[:, j]
+        if not rows.any():
+            continue
+        m, own = present[rows], x[rows, j][:, None]
+        values = np.where(m, x[rows], 0.0)
+        n = m.sum(axis=0)
+        some = np.maximum(n, 1)
+        mean, other = values.sum(axis=0) / some, (m * own).sum(axis=0) / some
+        away = np.where(m, values - mean, 0.0)
+        out["n"][:, j], out["mean"][:, j] = n, mean
+        out["square"][:, j], out["product"][:, j] = (away * away).sum(axis=0), (away * (own - other)).sum(axis=0)
+        out["low"][:, j] = np.where(m, values, np.inf).min(axis=0)
+        out["high"][:, j] = np.where(m, values, -np.inf).max(axis=0)
+    return out
+
+
+def _merge_moments(a, b):
+    """Moments of two sets of rows together."""
+    n = a["n"] + b["n"]
+    some, step = np.maximum(n, 1), np.where((a["n"] > 0) & (b["n"] > 0), b["mean"] - a["mean"], 0.0)
+    both = a["n"] * b["n"] / some
+    return {
+        "n": n, "mean": (a["n"] * a["mean"] + b["n"] * b["mean"]) / some,
+        "square": a["square"] + b["square"] + step * step * both, "product": a["product"] + b["product"] + step * step.T * both,
+        "low": np.minimum(a["low"], b["low"]), "high": np.maximum(a["high"], b["high"]),
+    }
+
 
-    The columns are standardised, and missing cells are masked: every sum runs over the rows where both columns are
-    present. A batch gives four matrices (counts, sums, squares, products) by matrix products, and these are added
-    up; the plan is the same for any number of columns.
+def pair_moments(df: DataFrame, cols, by=()) -> DataFrame:
+    """``(by..., i, j, n, xx, yy, xy, flat)`` per pair of column positions i < j, in one pass over the rows.
+
+    Missing cells are masked: all moments run over the rows where both columns are present, and are centred on the
+    means of those rows. ``flat`` says that one of the two has a single value there. The plan is the same for any
+    number of columns.
     """
     cols, by = list(cols), list(by)
     p = len(cols)
-    fields = [F.struct(F.avg(_double(c)).alias("m"), F.stddev_samp(_double(c)).alias("s"), (F.min(_double(c)) == F.max(_double(c))).alias("flat")) for c in cols]
-    scales = F.col("_m")
-    values = [
-        F.when(scales[f"c{i}"]["flat"], _double(c) * 0.0).otherwise(ratio(_double(c) - scales[f"c{i}"]["m"], scales[f"c{i}"]["s"])).alias(f"v{i}")
-        for i, c in enumerate(cols)
-    ]
-    moments = df.agg(F.struct(*[f.alias(f"c{i}") for i, f in enumerate(fields)]).alias("m")).scalar()
-    keys = [F.col(quoted(c)).alias(f"k{i}") for i, c in enumerate(by)]
-    scaled = df.withColumn("_m", moments).select(*keys, *values)
     names, key_names = [f"v{i}" for i in range(p)], [f"k{i}" for i in range(len(by))]
+    plain = df.select(*[F.col(quoted(c)).alias(k) for c, k in zip(by, key_names)], *[_double(c).alias(v) for c, v in zip(cols, names)])
+    left, right = np.triu_indices(p, 1)
+    fields = {"n": "n", "mx": "mean", "xx": "square", "xy": "product", "x0": "low", "x1": "high"}
+    mirrored = {"my": "mean", "yy": "square", "y0": "low", "y1": "high"}
 
-    def masked(x: np.ndarray) -> np.ndarray:
-        present = ~np.isnan(x)
-        x, m = np.where(present, x, 0.0), present.astype(float)
-        return np.concatenate([(m.T @ m).ravel(), (x.T @ m).ravel(), ((x * x).T @ m).ravel(), (x.T @ x).ravel()])
+    def table(moments, key=()):
+        out = {n: [v] * len(left) for n, v in zip(key_names, key)} | {"i": left.astype("int32"), "j": right.astype("int32")}
+        out |= {n: moments[m][left, right] for n, m in fields.items()} | {n: moments[m][right, left] for n, m in mirrored.items()}
+        return pd.DataFrame(out)
 
     def run(batches):
-        total = np.zeros(4 * p * p)
+        total = _pair_moments(np.zeros((0, p)))
         for batch in batches:
             if not by:
-                total += masked(batch[names].to_numpy(float))
+                total = _merge_moments(total, _pair_moments(batch[names].to_numpy(float)))
                 continue
-            rows = [((k if isinstance(k, tuple) else (k,)), masked(g[names].to_numpy(float))) for k, g in batch.groupby(key_names, dropna=False, sort=False)]
-            yield pd.DataFrame({**{n: [k[i] for k, _ in rows] for i, n in enumerate(key_names)}, "sums": [v.tolist() for _, v in rows]})
+            for k, g in batch.groupby(key_names, dropna=False, sort=False):
+                yield table(_pair_moments(g[names].to_numpy(float)), k if isinstance(k, tuple) else (k,))
         if not by:
-            yield pd.DataFrame({"sums": [total.tolist()]})
-
-    schema = T.StructType([T.StructField(n, scaled.schema[n].dataType) for n in key_names] + [T.StructField("sums", T.ArrayType(T.DoubleType()))])
-    cells = scaled.mapInPandas(run, schema).select(*key_names, F.posexplode("sums").alias("at", "x"))
-    kind, left, right = F.floor(F.col("at") / (p * p)), F.floor(F.col("at") / p) % p, F.col("at") % p
-    cells = cells.select(*key_names, "x", kind.alias("kind"), left.cast("int").alias("a"), right.cast("int").alias("b")).filter("a <> b")
-    up = F.col("a") < F.col("b")
-    wanted = {"n": (0, up), "sx": (1, up), "sy": (1, ~up), "sxx": (2, up), "syy": (2, ~up), "sxy": (3, up)}
-    summed = cells.groupBy(*key_names, F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j")).agg(
-        *[F.sum(F.when((F.col("kind") == k) & side, F.col("x"))).alias(n) for n, (k, side) in wanted.items()]
+            yield table(total)
+
+    doubles = [*fields, *mirrored]
+    schema = T.StructType(
+        [T.StructField(n, plain.schema[n].dataType) for n in key_names] + [T.StructField(n, T.IntegerType()) for n in ("i", "j")] + [T.StructField(n, T.DoubleType()) for n in doubles]
     )
-    return summed.select(*[F.col(n).alias(c) for n, c in zip(key_names, by)], "i", "j", *wanted)
+    group = [*key_names, "i", "j"]
+    whole = Window.partitionBy(*group)
+    parts = plain.mapInPandas(run, schema)
+    shift = {c: F.col(c) - ratio(F.sum(F.col("n") * F.col(c)).over(whole), F.sum("n").over(whole)) for c in ("mx", "my")}
+    parts = parts.withColumns({f"d{c}": v for c, v in shift.items()})
+
+    def centred(c, one, two):
+        return F.sum(F.col(c) + F.coalesce(F.col("n") * F.col(one) * F.col(two), F.lit(0.0))).alias(c)
+
+    summed = parts.groupBy(*group).agg(
+        F.sum("n").alias("n"), centred("xx", "dmx", "dmx"), centred("yy", "dmy", "dmy"), centred("xy", "dmx", "dmy"),
+        ((F.min("x0") >= F.max("x1")) | (F.min("y0") >= F.max("y1"))).alias("flat"),
+    )
+    return summed.select(*[F.col(n).alias(c) for n, c in zip(key_names, by)], "i", "j", "n", "xx", "yy", "xy", "flat")
 
 
 def correlation_pairs(df: DataFrame, cols, by=()) -> DataFrame:
     """``(by..., var_i, var_j, r, n)`` for each unordered pair, over the rows where both columns are present."""
     cols, by = list(cols), list(by)
-    n = F.col("n")
-    across, own_x, own_y = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), n), F.col("sxx") - ratio(F.col("sx") * F.col("sx"), n), F.col("syy") - ratio(F.col("sy") * F.col("sy"), n)
-    r = F.when((own_x > FLAT * n) & (own_y > FLAT * n), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(across, F.sqrt(own_x * own_y)))))
+    r = F.when(~F.col("flat"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")))))
     names = F.array(*[F.lit(c) for c in cols])
-    return pair_sums(df, cols, by).select(
-        *by, F.element_at(names, F.col("i") + 1).alias("var_i"), F.element_at(names, F.col("j") + 1).alias("var_j"), r.alias("r"), n.cast("long").alias("n")
+    return pair_moments(df, cols, by).select(
+        *by, F.element_at(names, F.col("i") + 1).alias("var_i"), F.element_at(names, F.col("j") + 1).alias("var_j"), r.alias("r"), F.col("n").cast("long").alias("n")
     )
 
 

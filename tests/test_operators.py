@@ -239,6 +239,18 @@ def test_folds_cover_every_row_once_even_for_a_rare_class(spark):
     assert (split["part"] == "train").sum() == math.ceil(4 * 0.8) + math.ceil(96 * 0.8)
 
 
+def test_correlation_beside_one_huge_value_where_the_partner_is_missing(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(1, 11, 1000).astype(float)
+    y = x + rng.normal(size=1000)
+    rows = [("a", float(u), float(v), 0.1) for u, v in zip(x, y)] + [("b", 1e9, None, 0.1)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, c double").repartition(4)
+    for by in ([], ["g"]):
+        got = {(r.var_i, r.var_j): r for r in corr.correlation_pairs(df, ["x", "y", "c"], by).collect() if not by or r.g == "a"}
+        assert got["x", "y"].n == 1000 and abs(got["x", "y"].r - np.corrcoef(x, y)[0, 1]) < 1e-9
+        assert got["x", "c"].r is None and got["y", "c"].r is None
+
+
 def test_mdl_finds_the_step_and_leaves_noise_alone(spark):
     rng = np.random.default_rng(4)
     x = rng.uniform(0, 10, 2000)
