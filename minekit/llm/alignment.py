@@ -42,8 +42,9 @@ RUNS, LONGEST = 200_000, 48
 STRETCH, BLOCK_PAIRS = 1_000_000, 2_000_000
 #: Bits of a byte offset in the key of document and end, and of the right id in a pair.
 END_BITS, ID_BITS = 40, 24
-#: Places before a blank that follows a character that isn't white space.
-BETWEEN_RUNS = re.compile(r"(?<=\S)(?= )")
+#: Places before a blank that follows a character that isn't white space; a last blank stays with its run, as the
+#: piece model adds no blank to an empty text.
+BETWEEN_RUNS = re.compile(r"(?<=\S)(?= .)", re.DOTALL)
 RESULT = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
