@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from minekit.llm.common import bounded_batches, cut, text_of
 from minekit.llm.encoder import Remembered
 
 #: Runs a worker remembers, and the longest of them in characters.
-RUNS, LONGEST = 200_000, 48
+RUNS, LONGEST = 400_000, 48
 #: Characters that go through the joins together, and linked pairs after which a block is closed.
 STRETCH, BLOCK_PAIRS = 1_000_000, 2_000_000
 #: Bits of a byte offset in the key of document and end, and of the right id in a pair.
@@ -66,42 +67,77 @@ class BothEncoders:
         self.left, self.right = Tokenizer.from_file(left), sentencepiece.SentencePieceProcessor(model_file=right)
         self.left.encode_special_tokens = True
         signs = byte_of_sign()
-        self.left_bytes = [bytes(signs[c] for c in self.left.id_to_token(i)) for i in range(self.left.get_vocab_size(with_added_tokens=False))]
         # ids beyond the plain vocabulary are special strings, never met as their strings are ordinary text
-        self.right_bytes = [self.piece_bytes(i) for i in range(self.right.get_piece_size())]
-        self.left_widths = pa.array([len(b) for b in self.left_bytes], pa.int64())
-        self.right_widths = pa.array([len(b) for b in self.right_bytes], pa.int64())
+        lefts = [bytes(signs[c] for c in self.left.id_to_token(i)) for i in range(self.left.get_vocab_size(with_added_tokens=False))]
+        self.tables = pa.array(lefts, pa.binary()), pa.array([self.piece_bytes(i) for i in range(self.right.get_piece_size())], pa.binary())
+        self.widths = tuple(pc.binary_length(table).cast(pa.int64()) for table in self.tables)
         self.known = Remembered(runs)
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.right.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.right.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def spelt(self, text: str) -> tuple[bytes, bytes, bool]:
-        """Ids of both sides as little-endian 32-bit bytes, and whether they spell the text, which starts with a blank."""
-        runs = BETWEEN_RUNS.split(text)
-        found = list(map(self.known.get, runs))
-        if None in found:
-            new = self.learn(list(dict.fromkeys(run for run, ids in zip(runs, found) if ids is None)))
-            found = [new[run] if ids is None else ids for run, ids in zip(runs, found)]
-        left, right = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
-        return left, right, all([f[2] for f in found]) or self.spells(left, right, text.encode())
+    def spelt(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Per text, which starts with a blank: ids of both sides as little-endian 32-bit bytes, and whether they spell it."""
+        runs = [BETWEEN_RUNS.split(text) for text in texts]
+        found = [self.known.get_all(of) for of in runs]
+        missing = {run: None for of, ids in zip(runs, found) if None in ids for run, known in zip(of, ids) if known is None}
+        new = self.learn(list(missing)) if missing else {}
+        out = []
+        for text, of, ids in zip(texts, runs, found):
+            if None in ids:
+                ids = [new[run] if known is None else known for run, known in zip(of, ids)]
+            left, right = b"".join([i[0] for i in ids]), b"".join([i[1] for i in ids])
+            out.append((left, right, all([i[2] for i in ids]) or self.spells(left, right, text.encode())))
+        return out
 
     def learn(self, runs: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
         # the right side adds the blank that every run starts with
-        lefts = self.left.encode_batch_fast(runs, add_special_tokens=False)
         rights = self.right.encode([run[1:] for run in runs], num_threads=1)
+        right_ends = np.cumsum([0, *map(len, rights)])
+        right = np.fromiter(itertools.chain.from_iterable(rights), dtype="<u4", count=right_ends[-1])
+        sides = [self.left_together(runs), (right, right_ends)]
+        good = self.all_spell(runs, sides)
+        data = [(ids.tobytes(), (ends * 4).tolist()) for ids, ends in sides]
+        (left, left_at), (right, right_at) = data
         out = {}
-        for run, left, right in zip(runs, lefts, rights):
-            pair = np.array(left.ids, dtype="<u4").tobytes(), np.array(right, dtype="<u4").tobytes()
-            out[run] = (*pair, self.spells(*pair, run.encode()))
+        for i, run in enumerate(runs):
+            pair = left[left_at[i] : left_at[i + 1]], right[right_at[i] : right_at[i + 1]]
+            out[run] = (*pair, good or self.spells(*pair, run.encode()))
             if len(run) <= LONGEST:
                 self.known.put(run, out[run])
         return out
 
+    def left_together(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the left side of all runs, and where each run's begin: runs of one text, told apart by their lengths in bytes."""
+        ids = np.array(self.left.encode_batch_fast(["".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.concatenate([[0], np.cumsum(self.widths[0].to_numpy()[ids])])
+        borders = np.concatenate([[0], np.cumsum([len(run.encode()) for run in runs])])
+        places = np.searchsorted(ends, borders)
+        if ends[-1] == borders[-1] and np.array_equal(ends[places], borders):
+            return ids, places
+        lists = [e.ids for e in self.left.encode_batch_fast(runs, add_special_tokens=False)]
+        return np.array([i for of in lists for i in of], dtype="<u4"), np.cumsum([0, *map(len, lists)])
+
+    def all_spell(self, runs: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> bool:
+        """Whether all runs are spelt by both sides: equal bytes altogether and equal lengths one by one."""
+        data = [run.encode() for run in runs]
+        lengths, joined = np.array([len(d) for d in data]), b"".join(data)
+        for (ids, ends), table in zip(sides, self.tables):
+            pieces = table.take(pa.array(ids.astype(np.int64)))
+            sums = np.concatenate([[0], np.cumsum(pc.binary_length(pieces).to_numpy())])[ends]
+            if not np.array_equal(np.diff(sums), lengths) or spelling(pieces) != joined:
+                return False
+        return True
+
     def spells(self, left: bytes, right: bytes, data: bytes) -> bool:
-        sides = ((left, self.left_bytes), (right, self.right_bytes))
-        return all(b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]) == data for ids, table in sides)
+        found = (spelling(table.take(pa.array(np.frombuffer(ids, dtype="<u4").astype(np.int64)))) for ids, table in zip((left, right), self.tables))
+        return all(bytes_ == data for bytes_ in found)
+
+
+def spelling(pieces: pa.Array) -> bytes:
+    """The bytes of all pieces, one after another."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(pieces)], pa.int64()), pieces), b"")[0].as_py() if len(pieces) else b""
 
 
 @functools.cache
@@ -141,7 +177,7 @@ def joined_groups(ids: pa.Array, closing: np.ndarray) -> pa.Array:
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), ids.cast(pa.string())), ",")
 
 
-def aligned(left: list[bytes], right: list[bytes], widths: tuple[pa.Array, pa.Array]) -> tuple:
+def aligned(left: list[bytes], right: list[bytes], widths: tuple[pa.Array, ...]) -> tuple:
     """Per document: n_a, n_b, n_groups, n_links and its groups as text; and (document, pair, times) of all links."""
     a_lists, b_lists = list_column(left), list_column(right)
     a_table, b_table = ends_table(a_lists, widths[0], "a"), ends_table(b_lists, widths[1], "b")
@@ -217,46 +253,44 @@ def block_batch(number: int, docs: list[Document], id_type: pa.DataType) -> pa.R
 
 def blocks_of(left: str, right: str, stretch: int, block_pairs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, task = encoders(left, right), TaskContext.get().partitionId()
-        widths = both.left_widths, both.right_widths
-        number, done, size, id_type = task << 32, [], 0, None
-        waiting: list[tuple[Document, bytes, bytes]] = []
+        both = encoders(left, right)
+        number, done, size, id_type = TaskContext.get().partitionId() << 32, [], 0, None
+        waiting: list[tuple[Document, str]] = []
         chars = 0
 
         def align() -> int:
             """Send the waiting stretches through the joins; returns the pairs found."""
-            nonlocal waiting, chars
-            found, found_pairs = waiting, 0
-            waiting, chars = [], 0
-            if found:
-                n_a, n_b, n_groups, n_links, texts, (of, pairs, times) = aligned([w[1] for w in found], [w[2] for w in found], widths)
-                borders = np.searchsorted(of, np.arange(len(found) + 1))
-                for i, (doc, _, _) in enumerate(found):
-                    here = slice(borders[i], borders[i + 1])
-                    doc.add(np.array([n_a[i], n_b[i], n_groups[i], n_links[i]]), texts[i], pairs[here], times[here])
-                found_pairs = len(pairs)
-            return found_pairs
+            found = waiting[:]
+            waiting.clear()
+            if not found:
+                return 0
+            ids = both.spelt([part for _, part in found])
+            for (doc, _), (_, _, good) in zip(found, ids):
+                doc.good &= good
+            # what isn't spelt has no tokens
+            lefts, rights = ([i[side] if doc.good else b"" for (doc, _), i in zip(found, ids)] for side in (0, 1))
+            *counts, texts, (of, pairs, times) = aligned(lefts, rights, both.widths)
+            counts, borders = np.stack(counts, axis=1), np.searchsorted(of, np.arange(len(found) + 1))
+            for i, (doc, _) in enumerate(found):
+                here = slice(borders[i], borders[i + 1])
+                doc.add(counts[i], texts[i], pairs[here], times[here])
+            return len(pairs)
 
         for batch in batches:
             id_type = batch.schema.field("id").type
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                doc = Document(key)
-                done.append(doc)
+                done.append(doc := Document(key))
                 whole = text.as_py()
                 for part in stretches(" " + whole, stretch) if whole else ():
-                    a, b, good = both.spelt(part)
-                    doc.good &= good
-                    if not doc.good:
-                        break
-                    waiting.append((doc, a, b))
+                    waiting.append((doc, part))
                     chars += len(part)
                     if chars >= stretch:
-                        size += align()
+                        size, chars = size + align(), 0
                 # a block ends between documents
                 if size >= block_pairs:
-                    size += align()
+                    align()
                     yield block_batch(number, done, id_type)
-                    number, done, size = number + 1, [], 0
+                    number, done, size, chars = number + 1, [], 0, 0
         align()
         if done:
             yield block_batch(number, done, id_type)

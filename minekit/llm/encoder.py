@@ -14,11 +14,16 @@ from __future__ import annotations
 
 import functools
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Runs and parts a worker remembers; the older half goes when they are too many.
 RUNS, PARTS = 400_000, 1_000_000
+#: Runs that are looked up and learnt together; texts of more characters go by themselves.
+TOGETHER = 50_000
+#: Fixed value: the mark of a token that ends a word.
+WORD_END = "</w>"
 #: Fixed value: the splitting pattern in the tokenizer's file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: ASCII signs and letters, and the Latin letters of one code point each; the capital I with a dot lower-cases to two.
@@ -39,6 +44,13 @@ class Remembered:
                 self.put(key, found)
         return found
 
+    def get_all(self, keys: list) -> list:
+        """The values of many keys, None where one is not known; the newer half is asked in one go."""
+        found = list(map(self.newer.get, keys))
+        if None in found and self.older:
+            found = [self.get(key) if value is None else value for key, value in zip(keys, found)]
+        return found
+
     def put(self, key, value) -> None:
         if len(self.newer) >= self.half:
             self.older, self.newer = self.newer, {}
@@ -56,36 +68,81 @@ class RunEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.runs, self.parts = Remembered(runs), Remembered(parts)
+        # tokens that end a word say so
+        self.closing = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closing[i] = token.endswith(WORD_END)
         self.split, self.plain = regex.compile(SPLIT).findall, regex.compile(PLAIN).fullmatch
 
     def ids(self, text: str) -> bytes:
         runs = text.encode().split()
-        return b"".join(b"".join(self._known(runs[at : at + 50_000])) for at in range(0, len(runs), 50_000))
-
-    def _known(self, runs: list[bytes]) -> list[bytes]:
-        get = self.runs.get
-        out = [get(run) for run in runs]
-        if None in out:
-            new = self._learn(list(dict.fromkeys(run for run, ids in zip(runs, out) if ids is None)))
-            out = [new[run] if ids is None else ids for run, ids in zip(runs, out)]
+        return b"".join(b"".join(self._known([runs[at : at + TOGETHER]])[0]) for at in range(0, len(runs), TOGETHER))
+
+    def ids_of_all(self, texts) -> Iterator[bytes]:
+        """The ids of each text; what is not known yet is learnt for many texts at once."""
+        waiting, size = [], 0
+        for text in texts:
+            if len(text) > TOGETHER:
+                yield from self._joined(waiting)
+                yield self.ids(text)
+                waiting, size = [], 0
+                continue
+            waiting.append(text.encode().split())
+            size += len(waiting[-1])
+            if size >= TOGETHER:
+                yield from self._joined(waiting)
+                waiting, size = [], 0
+        yield from self._joined(waiting)
+
+    def _joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
+        return map(b"".join, self._known(texts))
+
+    def _known(self, texts: list[list[bytes]]) -> list[list[bytes]]:
+        out = [self.runs.get_all(runs) for runs in texts]
+        missing = dict.fromkeys(run for runs, ids in zip(texts, out) if None in ids for run, known in zip(runs, ids) if known is None)
+        if missing:
+            new = self._learn(list(missing))
+            out = [[new[run] if known is None else known for run, known in zip(runs, ids)] if None in ids else ids for runs, ids in zip(texts, out)]
         return out
 
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        pieces = {}
+        pieces, others = {}, set()
         for run in runs:
             text = run.decode()
-            pieces[run] = self.split(text.lower()) if self.plain(text) and "<|" not in text else [text]
+            if self.plain(text) and "<|" not in text:
+                pieces[run] = self.split(text.lower())
+            else:
+                pieces[run] = [text]
+                others.add(text)
         local: dict[str, bytes | None] = {part: self.parts.get(part) for parts in pieces.values() for part in parts}
         missing = [part for part, ids in local.items() if ids is None]
-        for part, encoding in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            local[part] = np.array(encoding.ids, dtype="<u4").tobytes()
-            self.parts.put(part, local[part])
+        words = [part for part in missing if part not in others]
+        learnt = list(zip(words, self._words(words)))
+        rest = [part for part in missing if part in others]
+        learnt += zip(rest, self._batch(rest))
+        for part, ids in learnt:
+            local[part] = ids
+            self.parts.put(part, ids)
         out = {}
         for run, parts in pieces.items():
-            out[run] = b"".join([local[part] for part in parts])
+            out[run] = local[parts[0]] if len(parts) == 1 else b"".join([local[part] for part in parts])
             self.runs.put(run, out[run])
         return out
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of parts that the splitting pattern leaves whole: encoded as one text, parted at the tokens that end words."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.closing[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._batch(words)
+        data, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
 
 @functools.cache
 def encoder(path: str) -> RunEncoder:

@@ -40,8 +40,8 @@ def cut_pieces(path: str, capacity: int, closing_id: int):
         known = encoder(path)
         for batch in batches:
             rows = []
-            for key, text in zip(batch["id"], batch["text"]):
-                data = known.ids(text) + closing
+            for key, ids in zip(batch["id"], known.ids_of_all(batch["text"])):
+                data = ids + closing
                 for piece, at in enumerate(range(0, len(data), capacity * 4)):
                     part = data[at : at + capacity * 4]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
