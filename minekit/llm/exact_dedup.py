@@ -1,11 +1,11 @@
 """Exact duplicates by composable polynomial fingerprints, confirmed chunk by chunk.
 
 A text is cut into chunks; each chunk gets two polynomial hashes and the powers by which they shift what
-stands before them. Chunks of one huge document are hashed by different tasks and combine in any
-grouping: ``hash(ab) = hash(a) * base**len(b) + hash(b)``. Texts with equal fingerprints are then compared:
-rows meet by (quick key, chunk number), and a chunk is the same everywhere when its least and greatest
-text agree. Both are combined before the shuffle, so a hot group sends one row per task and chunk. Groups
-in which a chunk differs are told apart by SHA-256.
+stands before them. Chunks of one huge document are dealt out to different tasks and combine in any
+grouping: ``hash(ab) = hash(a) * base**len(b) + hash(b)``. Texts whose fingerprint occurs more than once are
+then compared: rows meet by (quick key, chunk number), and a chunk is the same everywhere when its least and
+greatest text agree. Both are combined before the shuffle, so a hot group sends one row per task and chunk.
+Groups in which a chunk differs are told apart by SHA-256.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each other; of rows with equal
 text and equal id one stays; a null id is smaller than any other; an empty table gives no rows; further
@@ -15,13 +15,14 @@ columns of the input are not read.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
-from minekit.llm.common import LOWER, UPPER, fresh, text_of
+from minekit.llm.common import LOWER, UPPER, bounded_batches, cut, fresh, text_of
 
 #: Primes below 2**31, so that a product of two remainders fits a long, and the bases.
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -49,19 +50,24 @@ def chunk_hash(data: bytes, base: int, prime: int) -> int:
     return int(np.dot(values, table[len(table) - len(values) :]) % np.uint64(prime))
 
 
-def hash_rows(chunks: pd.Series) -> pd.DataFrame:
+HASHED = "n_bytes long, hash_a long, shift_a long, hash_b long, shift_b long, digest binary"
+
+
+def hash_rows(texts: pd.Series) -> pd.DataFrame:
+    """Per text or chunk, after lower-casing A-Z: bytes, two polynomial hashes with their powers, and the SHA-256 digest."""
     rows = []
-    for chunk in chunks:
-        data = chunk.encode()
+    for text in texts:
+        # bytes.lower() changes A-Z alone
+        data = text.encode().lower()
         row = [len(data)]
         for base, prime in zip(BASES, PRIMES):
             row += [chunk_hash(data, base, prime), pow(base, len(data), prime)]
-        rows.append(row)
-    return pd.DataFrame(rows, columns=["n_bytes", "hash_a", "shift_a", "hash_b", "shift_b"], dtype="int64")
+        rows.append((*row, hashlib.sha256(data).digest()))
+    return pd.DataFrame(rows, columns=["n_bytes", "hash_a", "shift_a", "hash_b", "shift_b", "digest"])
 
 
-def chunk_fingerprint(chunk: str) -> Column:
-    return pandas_udf(hash_rows, "n_bytes long, hash_a long, shift_a long, hash_b long, shift_b long")(chunk)
+def fingerprint(text: str) -> Column:
+    return pandas_udf(hash_rows, HASHED)(text)
 
 
 def chunks_of(text: Column, size: int) -> Column:
@@ -80,18 +86,24 @@ def combine(parts: Column, which: str, prime: int) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """Per row: row, id, quick (length and 64-bit key), print_a, print_b, n_bytes and the SHA-256 digest."""
-    text = normalised(text_column)
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_column).alias("id"),
-        F.xxhash64(text).alias("quick"),
-        F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
-        chunks_of(text, chunk).alias("chunks"),
+    """Per row, written once: row, id, quick, n_bytes, print_a, print_b and the SHA-256 digest.
+
+    ``quick`` is a 64-bit key that equal texts share. A text of one chunk is hashed where it is read. The
+    chunks of longer ones are dealt out by (row, chunk), so that one huge document is hashed by many tasks;
+    its digest is computed where it is read, as SHA-256 does not combine.
+    """
+    bounded_batches(docs.sparkSession)
+    text = text_of(text_column)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), quick_key(text).alias("quick"), text.alias("text"))
+    short = rows.filter(F.length("text") <= chunk).withColumn("part", fingerprint("text"))
+    short = short.select(
+        "row", "id", "quick", "part.digest", "part.n_bytes", F.col("part.hash_a").alias("print_a"), F.col("part.hash_b").alias("print_b")
     )
-    parts = rows.select("row", "id", "quick", "digest", F.posexplode("chunks").alias("no", "chunk"))
-    hashed = parts.withColumn("part", chunk_fingerprint("chunk")).drop("chunk")
-    return (
+    long = rows.filter(F.length("text") > chunk)
+    digest = F.unhex(F.sha2(F.translate("text", UPPER, LOWER).cast("binary"), 256))
+    parts = long.select("row", "id", "quick", digest.alias("digest"), F.posexplode(chunks_of(F.col("text"), chunk)).alias("no", "chunk"))
+    hashed = parts.repartition("row", "no").withColumn("part", fingerprint("chunk")).drop("chunk")
+    long = (
         hashed.groupBy("row")
         .agg(
             F.first("id").alias("id"),
@@ -106,12 +118,18 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             combine(F.col("parts"), "b", PRIMES[1]).alias("print_b"),
         )
     )
+    return cut(short.unionByName(long))
 
 
-def uneven_keys(docs: DataFrame, text_column: str, chunk: int) -> DataFrame:
-    """Quick keys whose texts differ in some chunk or in the number of chunks."""
-    text = normalised(text_column)
-    parts = docs.select(F.xxhash64(text).alias("quick"), chunks_of(text, chunk).alias("chunks")).select(
+def quick_key(text: Column) -> Column:
+    """Equal for texts that are equal after lower-casing A-Z, as they are then also equal in lower case."""
+    return F.xxhash64(F.lower(text))
+
+
+def uneven_keys(docs: DataFrame, repeated: DataFrame, text_column: str, chunk: int) -> DataFrame:
+    """Of the ``repeated`` quick keys, those whose texts differ in some chunk or in the number of chunks."""
+    rows = docs.select(quick_key(text_of(text_column)).alias("quick"), F.col(text_column)).join(repeated, "quick", "left_semi")
+    parts = rows.select("quick", chunks_of(normalised(text_column), chunk).alias("chunks")).select(
         "quick", F.size("chunks").alias("n"), F.posexplode("chunks").alias("no", "chunk")
     )
     compared = parts.groupBy("quick", "no").agg(
@@ -123,9 +141,12 @@ def uneven_keys(docs: DataFrame, text_column: str, chunk: int) -> DataFrame:
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Per row: id, quick, keep_id, group_size, kept, digest."""
     prints = fingerprints(docs, id_column, text_column, chunk)
-    uneven = uneven_keys(docs, text_column, chunk).withColumn("uneven", F.lit(True))
+    # only texts whose key and fingerprint occur twice are read again and compared
+    print_key = ["quick", "n_bytes", "print_a", "print_b"]
+    repeated = prints.groupBy(*print_key).count().filter("count > 1").select("quick").distinct()
+    uneven = uneven_keys(docs, cut(repeated), text_column, chunk).withColumn("uneven", F.lit(True))
     told = prints.join(uneven, "quick", "left").withColumn("apart", F.when(F.col("uneven"), F.col("digest"))).drop("uneven")
-    key = ["quick", "n_bytes", "print_a", "print_b", "apart"]
+    key = [*print_key, "apart"]
     groups = told.groupBy(*key).agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     same = F.lit(True)
     for name in key:
