@@ -81,14 +81,15 @@ def expected_copies(units: DataFrame, sources: DataFrame, limit: int) -> DataFra
             F.first("words").alias("words"),
             F.sum(F.when(stopped, words * limit).otherwise(0)).alias("full"),
             F.sum(F.when(~stopped, words * F.col("weight")).otherwise(0)).alias("open"),
-            F.count(F.when(stopped, 1)).alias("n"),
+            F.first("level").alias("level"),
         )
         n = asked.filter(stopped).count()
         if n == before:
             return asked.withColumn("e", F.least(F.lit(float(limit)), F.col("weight") * F.col("level"))).drop("level")
         before = n
         missing = F.greatest(F.col("words") - F.col("full"), F.lit(0))
-        level = cut(sums.select("source", F.when(F.col("open") > 0, missing / F.col("open")).otherwise(0.0).alias("level")))
+        # the level only rises; it stays where no document is left to take more
+        level = cut(sums.select("source", F.when(F.col("open") > 0, F.greatest(missing / F.col("open"), "level")).otherwise(F.col("level")).alias("level")))
 
 
 def listed(units: DataFrame) -> DataFrame:
