@@ -8,13 +8,13 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window, functions as F
 
-from minekit.functions.expr import literal_frame
 from minekit.lineage import cut, number_rows, steady_layout
-from minekit.operators import space
+from minekit.operators import extremes, space
 from minekit.operators.clean import unpivot_measures
 from minekit.operators.reduce import pca_fit
 
-MICRO_CLUSTERS = 512
+#: Distinct places of a leaf in linkage by farthest pairs: a table of their distances is 32 MB.
+LINKAGE_LEAF = 2048
 
 
 # ---------------------------------------------------------------- k-means
@@ -399,7 +399,7 @@ def _certain_edges(cols, leaves: space.Leaves):
     return work
 
 
-def _nearest_foreign(cols):
+def nearest_foreign(cols):
     names = list(cols)
 
     def work(visitors: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
@@ -455,7 +455,7 @@ def spanning_tree(placed: DataFrame, cols, leaves: space.Leaves) -> DataFrame:
         anchors = comps.orderBy("comp").limit(2).collect()
         if len(anchors) < 2:
             return tree
-        home = space.meet(labelled, labelled, _nearest_foreign(cols), EDGE, "pid")
+        home = space.meet(labelled, labelled, nearest_foreign(cols), EDGE, "pid")
         home = cut(home.groupBy("comp").agg(shortest))
         # a component that fills its leaves is bounded by its distance to one point of another one
         spots = [labelled.filter(F.col("pid") == row["comp"]).select(*cols).first() for row in anchors]
@@ -471,7 +471,7 @@ def spanning_tree(placed: DataFrame, cols, leaves: space.Leaves) -> DataFrame:
         )
         asking = labelled.join(cut(reach), "comp").withColumn("radius", F.col("reach")).select(labelled.columns)
         outside = space.meet(
-            space.visits(asking, cols, leaves, "radius", True), labelled, _nearest_foreign(cols), EDGE, "pid"
+            space.visits(asking, cols, leaves, "radius", True), labelled, nearest_foreign(cols), EDGE, "pid"
         )
         both = home.select("comp", "e.*").unionByName(outside)
         chosen = cut(both.groupBy("comp").agg(shortest).select("comp", "e.*"))
@@ -518,56 +518,190 @@ def merge_heights(df: DataFrame, key: str, cols, leaf_points: int = space.LEAF_P
     return number_rows(tree, ["height", "a", "b"], name="step").select("step", "a", "b", "height")
 
 
-def complete_linkage(df: DataFrame, key: str, cols, k: int, m: int = MICRO_CLUSTERS, seed: int = 1234) -> DataFrame:
-    """Farthest-pair linkage over at most ``m`` micro-clusters, cut into ``k``: ``(key, cluster)``.
+def _merge_table(gap: np.ndarray, room: np.ndarray):
+    """Merge by a table of distances what is each other's nearest and nearer than the room of both.
 
-    With at most ``m`` distinct places each is its own micro-cluster and the result is exact.
-    Otherwise k-means makes the micro-clusters, and a linkage distance is centre distance plus both
-    radii, which is never below the farthest pair. Only ``m`` centres and radii reach the driver.
+    Returns the cluster of each item, and for absorbed ones the cluster that took them and the height.
     """
-    cols = list(cols)
-    rows = cut(space.double_columns(df.select(key, *cols), cols))
-    points = cut(space.distinct_points(rows, key, cols))
-    if points.count() <= m:
-        micro = points.select(F.col("pid").alias("micro"), *cols)
-        table = micro.withColumn("radius", F.lit(0.0)).orderBy("micro").toPandas()
-        placed = points.select(F.col("pid").alias("micro"), *cols)
-    else:
-        fitted = fit_rows(points, "pid", cols)
-        model = fit_kmeans(fitted, m, seed)
-        placed = model.transform(fitted).select(F.col("prediction").cast("long").alias("group"), "pid", *cols)
-        centre = placed.groupBy("group").agg(F.min("pid").alias("micro"), *[F.avg(c).alias(f"c_{c}") for c in cols])
-        squares = [(F.col(c) - F.col(f"c_{c}")) * (F.col(c) - F.col(f"c_{c}")) for c in cols]
-        placed = placed.join(centre, "group")
-        table = (
-            placed.groupBy("micro")
-            .agg(F.max(F.sqrt(sum(squares[1:], squares[0]))).alias("radius"), *[F.first(f"c_{c}").alias(c) for c in cols])
-            .orderBy("micro")
-            .toPandas()
+    n = len(gap)
+    np.fill_diagonal(gap, np.inf)
+    owner, into, height = np.arange(n), np.full(n, -1), np.full(n, np.nan)
+    # the first of equal distances is the one with the least key
+    near = gap.argmin(axis=1)
+    best = gap[np.arange(n), near]
+    while True:
+        live = np.flatnonzero(into < 0)
+        low = live[(near[near[live]] == live) & (live < near[live])]
+        low = low[best[low] < np.minimum(room[low], room[near[low]])]
+        if not len(low):
+            return owner, into, height
+        gone = near[low]
+        for i, j in zip(low.tolist(), gone.tolist()):
+            into[j], height[j] = i, best[i]
+            gap[i] = np.maximum(gap[i], gap[j])
+            gap[i, i] = gap[i, j] = np.inf
+            gap[:, i] = gap[i]
+            gap[j], gap[:, j] = np.inf, np.inf
+            room[i] = max(room[i], room[j])
+            owner[owner == j] = i
+        touched = np.isin(near, np.concatenate([low, gone])) & (into < 0)
+        touched[low] = True
+        near[touched] = gap[touched].argmin(axis=1)
+        best[touched] = gap[np.flatnonzero(touched), near[touched]]
+
+
+def _certain_merges(cols, leaves: space.Leaves):
+    """Farthest-pair merges of one leaf that no place outside it could forestall.
+
+    Two clusters that are each other's nearest merge if their distance is less than the way to the leaf's
+    border from some member of either: any cluster outside is farther than that.
+    """
+    names = list(cols)
+
+    def work(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("pid")
+        x, ids = block[names].to_numpy(float), block["pid"].to_numpy()
+        room = leaves.to_edge(x, int(block["leaf"].iloc[0])) if leaves.depth else np.full(len(x), np.inf)
+        owner, into, height = _merge_table(space.distances(x, x), room)
+        merged = into >= 0
+        return pd.DataFrame(
+            {"pid": ids, "comp": ids[owner], "into": pd.Series(ids[np.where(merged, into, 0)], dtype="Int64").where(merged), "height": height}
         )
-        placed = placed.select("micro", *cols)
-    group = _farthest_merge(table[cols].to_numpy(float), table["radius"].to_numpy(float), k)
-    mapping = literal_frame(
-        df.sparkSession, [(int(a), int(b)) for a, b in zip(table["micro"], group)], ["micro", "cluster"]
+
+    return work
+
+
+def _merges_of_all(pairs: pd.DataFrame) -> pd.DataFrame:
+    """All merges of clusters whose distances are all known."""
+    ids = np.unique(pairs[["a", "b"]].to_numpy())
+    a, b = np.searchsorted(ids, pairs["a"].to_numpy()), np.searchsorted(ids, pairs["b"].to_numpy())
+    gap = np.full((len(ids), len(ids)), np.inf)
+    gap[a, b] = gap[b, a] = pairs["d"].to_numpy()
+    _, into, height = _merge_table(gap, np.full(len(ids), np.inf))
+    gone = np.flatnonzero(into >= 0)
+    return pd.DataFrame({"a": ids[into[gone]], "b": ids[gone], "height": height[gone]})
+
+
+def _proved_reach(cols):
+    """Per visiting cluster, a distance that the nearest cluster of the leaf is within, by means and radii."""
+    names = list(cols)
+
+    def work(visitors: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"comp": np.zeros(0, dtype="int64"), "reach": np.zeros(0)})]
+        if len(visitors) and len(residents):
+            a, b = visitors[names].to_numpy(float), residents[names].to_numpy(float)
+            a_id, b_id = visitors["comp"].to_numpy(), residents["comp"].to_numpy()
+            for part in space.strips(len(a), len(b)):
+                most = space.distances(a[part], b) + visitors["far"].to_numpy()[part, None] + residents["far"].to_numpy()[None, :]
+                most[a_id[part, None] == b_id[None, :]] = np.inf
+                out.append(pd.DataFrame({"comp": a_id[part], "reach": most.min(axis=1)}))
+        found = pd.concat(out)
+        return found[np.isfinite(found["reach"])]
+
+    return work
+
+
+def _within_reach(cols):
+    """(comp, other): no farthest pair is nearer than the root of the mean squared distance between two clusters."""
+    names = list(cols)
+
+    def work(visitors: pd.DataFrame, residents: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"comp": np.zeros(0, dtype="int64"), "other": np.zeros(0, dtype="int64")})]
+        if len(visitors) and len(residents):
+            a, b = visitors[names].to_numpy(float), residents[names].to_numpy(float)
+            a_id, b_id = visitors["comp"].to_numpy(), residents["comp"].to_numpy()
+            a_spread, b_spread, reach = visitors["spread"].to_numpy(), residents["spread"].to_numpy(), visitors["radius"].to_numpy(float)
+            for part in space.strips(len(a), len(b)):
+                bound = np.sqrt(space.distances(a[part], b) ** 2 + a_spread[part, None] + b_spread[None, :])
+                bound[a_id[part, None] == b_id[None, :]] = np.inf
+                rows, at = np.nonzero(np.isfinite(bound) & (bound <= reach[part, None] * (1 + 1e-9)))
+                parts.append(pd.DataFrame({"comp": a_id[part][rows], "other": b_id[at]}))
+        return pd.concat(parts)
+
+    return work
+
+
+def complete_tree(placed: DataFrame, cols, leaves: space.Leaves, leaf_points: int) -> DataFrame:
+    """All farthest-pair merges ``(a, b, height)`` of placed points; a cluster is named by its least key.
+
+    Farthest-pair distances never shrink by a merge, so clusters that are each other's nearest may merge in
+    any order, many at a time. Each leaf first makes the merges that its own border proves right. The others
+    go in rounds: means and radii prove a distance within which a cluster's nearest one lies, the clusters
+    whose mean is inside it are measured exactly, and what is nearest both ways merges. The clusters that
+    are left when they fit a leaf are merged by the table of their distances.
+    """
+    cols = list(cols)
+    inside = cut(placed.groupBy("leaf").applyInPandas(_certain_merges(cols, leaves), "pid bigint, comp bigint, into bigint, height double"))
+    tree = inside.filter(F.col("into").isNotNull()).select(F.least("into", "pid").alias("a"), F.greatest("into", "pid").alias("b"), "height")
+    if leaves.depth == 0:
+        return tree
+    state = cut(placed.select("pid", "leaf", *cols).join(inside.select("pid", "comp"), "pid"))
+    every = float("inf")
+    while True:
+        means = cut(_cluster_means(state, cols))
+        halls = space.plant(means, cols, leaf_points)
+        blocks = extremes.blocks_of(state, cols)
+        clusters = cut(space.place(means, cols, halls).withColumn("radius", F.lit(every)))
+        if halls.depth:
+            proved = space.meet(clusters, clusters, _proved_reach(cols), "comp bigint, reach double", "comp")
+            # a cluster that is alone in its leaf is within reach of one of the first two
+            one, two = means.orderBy("comp").limit(2).collect()
+            lone = F.when(F.col("comp") == one["comp"], _to_mean(two, cols)).otherwise(_to_mean(one, cols))
+            reach = F.coalesce("reach", lone)
+            asking = clusters.join(proved, "comp", "left").withColumn("radius", reach).select(clusters.columns)
+            asking = space.visits(asking, cols, halls, "radius", False)
+        else:
+            asking = clusters
+        found = space.meet(asking, clusters, _within_reach(cols), "comp bigint, other bigint", "comp")
+        pairs = cut(found.select(F.least("comp", "other").alias("a"), F.greatest("comp", "other").alias("b")).distinct())
+        exact = extremes.farthest(pairs, blocks, len(cols))
+        if not halls.depth:
+            last = exact.groupBy(F.lit(0).alias("g")).applyInPandas(_merges_of_all, "a bigint, b bigint, height double")
+            return tree.unionByName(last)
+        sides = F.explode(F.array("a", "b")).alias("comp")
+        nearest = cut(exact).select(sides, F.struct("d", "a", "b").alias("e")).groupBy("comp").agg(F.min("e").alias("e")).select("e.*")
+        mutual = cut(nearest.groupBy("a", "b", F.col("d").alias("height")).count().filter("count = 2").drop("count"))
+        tree = cut(tree.unionByName(mutual))
+        moved = mutual.select(F.col("b").alias("comp"), F.col("a").alias("to"))
+        state = cut(state.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to"))
+
+
+def _cluster_means(state: DataFrame, cols) -> DataFrame:
+    """Per cluster its mean, its variance summed over the axes, and a distance from the mean that no member exceeds."""
+    spread = sum((F.var_pop(c) for c in cols[1:]), F.var_pop(cols[0]))
+    sums = state.groupBy("comp").agg(
+        *[F.avg(c).alias(c) for c in cols], spread.alias("spread"), F.array(*[F.min(c) for c in cols]).alias("low"), F.array(*[F.max(c) for c in cols]).alias("high")
     )
-    per_place = placed.join(mapping, "micro").select(*cols, "cluster")
-    return rows.join(per_place, cols).select(key, "cluster")
+    sides = [F.greatest(F.col("high")[i] - F.col(c), F.col(c) - F.col("low")[i]) for i, c in enumerate(cols)]
+    return sums.withColumn("far", F.sqrt(sum((s * s for s in sides[1:]), sides[0] * sides[0]))).drop("low", "high")
 
 
-def _farthest_merge(centres: np.ndarray, radius: np.ndarray, k: int) -> np.ndarray:
-    """Merge the closest groups until ``k`` are left; groups numbered by their first member."""
-    n = len(centres)
-    gap = space.distances(centres, centres) + radius[:, None] + radius[None, :]
-    np.fill_diagonal(gap, np.inf)
-    owner = np.arange(n)
-    for _ in range(n - k):
-        i, j = divmod(int(np.argmin(gap)), n)
-        i, j = min(i, j), max(i, j)
-        gap[i] = np.maximum(gap[i], gap[j])
-        gap[:, i] = gap[i]
-        gap[i, i] = np.inf
-        gap[j], gap[:, j] = np.inf, np.inf
-        owner[owner == j] = i
-    return np.unique(owner, return_inverse=True)[1] + 1
+def _to_mean(spot, cols):
+    squares = [(F.col(c) - F.lit(spot[c])) * (F.col(c) - F.lit(spot[c])) for c in cols]
+    return F.sqrt(sum(squares[1:], squares[0])) + F.col("far") + F.lit(spot["far"])
+
 
+def complete_linkage(df: DataFrame, key: str, cols, k: int, leaf_points: int = LINKAGE_LEAF) -> DataFrame:
+    """Farthest-pair linkage cut into ``k`` clusters, numbered by least key: ``(key, cluster)``.
 
+    Exact at any size. Of equal distances the pair with the least keys merges first.
+    """
+    cols = list(cols)
+    rows = cut(space.double_columns(df.select(key, *cols), cols))
+    points = cut(space.distinct_points(rows, key, cols))
+    leaves = space.plant(points, cols, leaf_points)
+    placed = cut(space.place(points, cols, leaves))
+    tree = cut(complete_tree(placed, cols, leaves, leaf_points))
+    if k - 1 > tree.count():
+        raise ValueError("more clusters than distinct points")
+    # the k - 1 last merges are undone; k is a parameter, so these are few rows
+    last = tree.orderBy(F.desc("height"), F.desc("a"), F.desc("b")).limit(k - 1)
+    kept = tree.join(last, ["a", "b"], "left_anti").select("a", "b")
+    parts = space.leaf_components(placed, kept)
+    numbers = number_rows(parts.select("label").distinct(), ["label"], name="number")
+    per_place = (
+        points.join(parts, F.col("pid") == F.col("node"))
+        .join(numbers, "label")
+        .select(*cols, (F.col("number") + 1).cast("int").alias("cluster"))
+    )
+    return rows.join(per_place, cols).select(key, "cluster")

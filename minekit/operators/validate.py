@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from minekit.functions.expr import bands, literal_frame, ratio
 from minekit.lineage import cut, steady_layout
 from minekit.operators import cluster as clusterers
-from minekit.operators import space
+from minekit.operators import extremes, space
 from minekit.operators.clean import drop_incomplete
 from minekit.operators.corr import standardise
 from minekit.operators.joins import first_rows
@@ -280,14 +280,56 @@ def _squares(cols):
     return F.count(F.lit(1)) * reduce(lambda a, b: a + b, [F.var_pop(c) for c in cols])
 
 
-def dunn_index(df: DataFrame, key: str, cols, cluster: str = "cluster") -> DataFrame:
-    """Least separation over greatest diameter."""
+#: Places of a block whose box bounds the farthest pairs.
+BOX_PLACES = 256
+
+
+def _diameters(places: DataFrame, cols, leaf_points: int) -> DataFrame:
+    placed = space.place(places, cols, space.plant(places, cols, leaf_points))
+    blocks = extremes.blocks_of(placed, cols, "cluster")
+    own = blocks.select(F.col("comp").alias("a"), F.col("comp").alias("b")).distinct()
+    return extremes.farthest(own, blocks, len(cols)).select(F.col("a").alias("cluster"), F.col("d").alias("diameter"))
+
+
+def cluster_diameter(df: DataFrame, key: str, cols, cluster: str = "cluster", leaf_points: int = BOX_PLACES) -> DataFrame:
+    """Greatest distance inside each cluster: ``(cluster, diameter)``, 0 for a single place."""
+    cols = list(cols)
     places = cut(labelled_places(df.select(key, F.col(cluster).alias("cluster"), *cols), key, cols))
-    pairs = cluster_pairs(place_sums(places, cols))
-    same = F.col("cluster_i") == F.col("cluster_j")
-    return pairs.agg(
-        F.min(F.when(~same, F.col("near"))).alias("min_separation"), F.max(F.when(same, F.col("far"))).alias("max_diameter")
-    ).withColumn("dunn", ratio("min_separation", "max_diameter"))
+    return _diameters(places, cols, leaf_points)
+
+
+def _least_separation(places: DataFrame, cols, leaf_points: int) -> DataFrame:
+    """One row: the least distance between places of different clusters; null with fewer than two clusters.
+
+    Leaves that hold several clusters give a first bound; only places that have a foreign leaf inside it look further.
+    """
+    leaves = space.plant(places, cols, leaf_points)
+    marked = places.select("pid", *cols, F.col("cluster").alias("comp"))
+    labelled = cut(space.place(marked, cols, leaves).withColumn("radius", F.lit(0.0)))
+    work = clusterers.nearest_foreign(cols)
+    home = cut(space.meet(labelled, labelled, work, clusterers.EDGE, "pid"))
+    bound = home.agg(F.min("height")).first()[0]
+    if bound is None and not leaves.depth:
+        return home.agg(F.min("height").alias("min_separation"))
+    if bound is None:
+        # every leaf holds one cluster: the distance between some places of two of them is a bound
+        some = labelled.groupBy("comp").agg(F.min(F.struct("pid", *cols)).alias("s")).orderBy("comp").limit(2).collect()
+        if len(some) < 2:
+            return home.agg(F.min("height").alias("min_separation"))
+        bound = math.dist(*[[r["s"][c] for c in cols] for r in some])
+    asking = labelled.withColumn("radius", F.lit(float(bound)))
+    away = space.meet(space.visits(asking, cols, leaves, "radius", True), labelled, work, clusterers.EDGE, "pid")
+    return home.unionByName(away).agg(F.min("height").alias("min_separation"))
+
+
+def dunn_index(df: DataFrame, key: str, cols, cluster: str = "cluster", leaf_points: int = BOX_PLACES) -> DataFrame:
+    """Least separation over greatest diameter, without a table of all pairs."""
+    cols = list(cols)
+    places = cut(labelled_places(df.select(key, F.col(cluster).alias("cluster"), *cols), key, cols))
+    widest = _diameters(places, cols, leaf_points).agg(F.max("diameter").alias("max_diameter"))
+    least = cut(_least_separation(places, cols, space.LEAF_POINTS))
+    row = least.withColumn("g", F.lit(1)).join(widest.withColumn("g", F.lit(1)), "g").drop("g")
+    return row.withColumn("dunn", ratio("min_separation", "max_diameter"))
 
 
 def _mean_width() -> Column:

@@ -83,7 +83,25 @@ def q_cluster_projection(spark, sf):
     return cluster.cluster_projection(views.points(spark, sf), "vec_id", AXES)
 
 
-@query("hier_complete_k")
+# one merge per step: the least (distance, keys), each pair of clusters kept once under its least keys
+HIER_COMPLETE_K_SQL = with_views("points", f"""WITH merging(step, i, j, d, bi, bj) AS (
+        SELECT 0, a.vec_id, b.vec_id, {DISTANCE}, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+        FROM points a JOIN points b ON a.vec_id < b.vec_id
+        UNION ALL
+        SELECT step + 1, least(ni, nj), greatest(ni, nj), max(d), bi, bj
+        FROM (SELECT step, d, bi, bj, CASE WHEN i = bj THEN bi ELSE i END AS ni, CASE WHEN j = bj THEN bi ELSE j END AS nj
+              FROM (SELECT step, i, j, d, first_value(i) OVER w AS bi, first_value(j) OVER w AS bj
+                    FROM merging WINDOW w AS (ORDER BY d, i, j))
+              WHERE step < (SELECT count(*) FROM points) - 4)
+        WHERE ni <> nj GROUP BY step, bi, bj, least(ni, nj), greatest(ni, nj)),
+    merged AS (SELECT DISTINCT bi, bj FROM merging WHERE bi IS NOT NULL),
+    link AS (SELECT bi AS i, bj AS j FROM merged UNION ALL SELECT bj, bi FROM merged),
+    reach(i, label) AS (SELECT vec_id, vec_id FROM points UNION SELECT l.j, r.label FROM reach r JOIN link l ON r.i = l.i),
+    tops AS (SELECT i AS vec_id, min(label) AS label FROM reach GROUP BY i)
+    SELECT vec_id, CAST(dense_rank() OVER (ORDER BY label) AS INTEGER) AS cluster FROM tops""")
+
+
+@query("hier_complete_k", HIER_COMPLETE_K_SQL)
 def q_hier_complete_k(spark, sf):
     return cluster.complete_linkage(views.points(spark, sf), "vec_id", AXES, 4)
 
@@ -195,6 +213,12 @@ def q_dunn_index(spark, sf):
     return rounded(validate.dunn_index(views.points(spark, sf), "vec_id", AXES))
 
 
+@query("cluster_diameter", with_views("points", f"""WITH {PAIRS}
+    SELECT CAST(ci AS BIGINT) AS cluster, round(max(d), 6) AS diameter FROM pr WHERE ci = cj GROUP BY ci"""))
+def q_cluster_diameter(spark, sf):
+    return rounded(validate.cluster_diameter(views.points(spark, sf), "vec_id", AXES, leaf_points=64))
+
+
 def _metric_rows(source: str, names, cluster: str = "CAST(NULL AS BIGINT)") -> str:
     return " UNION ALL ".join(f"SELECT '{n}' AS metric, {cluster} AS cluster, round(CAST({n} AS DOUBLE), 6) AS value FROM {source}" for n in names)
 

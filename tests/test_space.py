@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from minekit.operators import cluster, space, validate
+from minekit.lineage import cut
+from minekit.operators import cluster, extremes, space, validate
 
 
 def brute(x):
@@ -86,16 +87,70 @@ def test_single_linkage(spark, cloud, leaf_points):
     assert (got["cluster"].to_numpy() == brute_linkage(x, 4, np.min)).all()
 
 
-def test_complete_linkage(spark, cloud):
+@pytest.mark.parametrize("leaf_points", [60, 2048])
+def test_complete_linkage(spark, cloud, leaf_points):
     x, pdf = cloud
-    got = cluster.complete_linkage(spark.createDataFrame(pdf), "id", ["x", "y"], 4).toPandas().sort_values("id")
+    got = cluster.complete_linkage(spark.createDataFrame(pdf), "id", ["x", "y"], 4, leaf_points).toPandas().sort_values("id")
     assert (got["cluster"].to_numpy() == brute_linkage(x, 4, np.max)).all()
 
 
-def test_complete_linkage_over_micro_clusters_covers_every_row(spark, cloud):
-    _, pdf = cloud
-    got = cluster.complete_linkage(spark.createDataFrame(pdf), "id", ["x", "y"], 3, m=20).toPandas()
-    assert len(got) == len(pdf) and set(got["cluster"]) == {1, 2, 3}
+def greedy_merges(x):
+    """All farthest-pair merges, the least (distance, keys) first, on one table of distances."""
+    gap = space.distances(x, x)
+    np.fill_diagonal(gap, np.inf)
+    out = []
+    for _ in range(len(x) - 1):
+        i, j = divmod(int(gap.argmin()), len(x))
+        out.append((min(i, j), max(i, j), gap[i, j]))
+        i, j = min(i, j), max(i, j)
+        gap[i] = np.maximum(gap[i], gap[j])
+        gap[:, i] = gap[i]
+        gap[i, i] = np.inf
+        gap[j], gap[:, j] = np.inf, np.inf
+    return out
+
+
+@pytest.mark.parametrize(("n", "leaf_points", "grid"), [(300, 90, False), (250, 60, True), (1500, 700, False), (1500, 2048, True)])
+def test_complete_tree_equals_greedy_merging(spark, n, leaf_points, grid):
+    """The same merges and heights over several leaves as by merging one pair after another, ties included."""
+    rng = np.random.default_rng(n + leaf_points)
+    x = rng.normal(size=(n, 3)) * [3, 1, 1]
+    if grid:
+        x = np.unique(np.rint(x * 4), axis=0)
+    pdf = pd.DataFrame({"pid": np.arange(len(x)), "weight": 1, "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
+    points = cut(spark.createDataFrame(pdf))
+    leaves = space.plant(points, ["x", "y", "z"], leaf_points)
+    assert (leaves.depth > 0) == (len(x) > leaf_points)
+    tree = cluster.complete_tree(space.place(points, ["x", "y", "z"], leaves), ["x", "y", "z"], leaves, leaf_points)
+    got = sorted((r["a"], r["b"], round(r["height"], 9)) for r in tree.collect())
+    assert got == sorted((a, b, round(float(h), 9)) for a, b, h in greedy_merges(x))
+
+
+@pytest.mark.parametrize("leaf_points", [20, 4096])
+def test_diameters_and_dunn_index(spark, leaf_points):
+    rng = np.random.default_rng(4)
+    x, group = rng.normal(size=(500, 2)), rng.integers(1, 6, size=500)
+    x[group == 5] = x[group == 5] * 0.1 + 9
+    x, group = np.concatenate([x, [[50.0, 50.0]]]), np.append(group, 7)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(x)), "cluster": group, "x": x[:, 0], "y": x[:, 1]}))
+    want = {c: space.distances(x[group == c], x[group == c]).max() for c in np.unique(group)}
+    got = {r["cluster"]: r["diameter"] for r in validate.cluster_diameter(df, "id", ["x", "y"], leaf_points=leaf_points).collect()}
+    assert got == want
+    d = space.distances(x, x)
+    row = validate.dunn_index(df, "id", ["x", "y"], leaf_points=leaf_points).first()
+    assert row["min_separation"] == d[group[:, None] != group[None, :]].min() and row["max_diameter"] == max(want.values())
+
+
+def test_separation_of_clusters_that_share_no_leaf(spark):
+    x = np.concatenate([np.random.default_rng(c).normal(20 * c, 1, size=(60, 2)) for c in range(3)])
+    group = np.repeat([1, 2, 3], 60)
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(180), "cluster": group, "x": x[:, 0], "y": x[:, 1]}))
+    places = cut(validate.labelled_places(df, "id", ["x", "y"]))
+    d = space.distances(x, x)
+    got = validate._least_separation(places, ["x", "y"], 20).first()["min_separation"]
+    assert got == d[group[:, None] != group[None, :]].min()
+    alone = cut(validate.labelled_places(df.filter("cluster = 1"), "id", ["x", "y"]))
+    assert validate._least_separation(alone, ["x", "y"], 20).first()["min_separation"] is None
 
 
 def test_connected_components_large_path(spark, monkeypatch):
