@@ -48,7 +48,14 @@ class Remembered:
         """The values of many keys, None where one is not known; the newer half is asked in one go."""
         found = list(map(self.newer.get, keys))
         if None in found and self.older:
-            found = [self.get(key) if value is None else value for key, value in zip(keys, found)]
+            older = self.older.get
+            for at in [i for i, value in enumerate(found) if value is None]:
+                value = older(keys[at])
+                if value is not None:
+                    # this may let the older half go; what is lost with it is learnt again
+                    self.put(keys[at], value)
+                    older = self.older.get
+                    found[at] = value
         return found
 
     def put(self, key, value) -> None:
@@ -107,14 +114,18 @@ class RunEncoder:
 
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
         pieces, others = {}, set()
+        # a word of ASCII letters is one part, in small letters
         for run in runs:
             text = run.decode()
-            if self.plain(text) and "<|" not in text:
+            if text.isascii() and text.isalpha():
+                pieces[run] = [text.lower()]
+            elif self.plain(text) and "<|" not in text:
                 pieces[run] = self.split(text.lower())
             else:
                 pieces[run] = [text]
                 others.add(text)
-        local: dict[str, bytes | None] = {part: self.parts.get(part) for parts in pieces.values() for part in parts}
+        parts = list({part: None for parts in pieces.values() for part in parts})
+        local: dict[str, bytes | None] = dict(zip(parts, self.parts.get_all(parts)))
         missing = [part for part, ids in local.items() if ids is None]
         words = [part for part in missing if part not in others]
         learnt = list(zip(words, self._words(words)))

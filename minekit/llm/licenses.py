@@ -10,7 +10,8 @@ confirm it, that is hold n-grams of the segment that no other family has; else i
 Scoring explodes the n-grams, joins them with the weights (as many rows as the templates have n-grams) and sums per
 segment, so only n-grams of the templates are shuffled.
 
-Defined cases: a null or empty text has no segments and no licence; repeated rows get equal rows; of families with
+Defined cases: a null or empty text has no segments and no licence; repeated rows get equal rows, the one that a single
+row would get; of families with
 equal probability the one named first wins; a null id is kept; an empty table gives no rows, and the fit then rests
 on the templates and plain sentences alone; further columns are not read.
 """
@@ -77,12 +78,13 @@ def training_windows(templates: DataFrame) -> DataFrame:
 
 
 def segments(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, quick, paragraph, segment, words) of every paragraph with a word."""
+    """(row, id, quick, paragraph, segment, words) of every paragraph with a word; equal rows have numbers of their own."""
     text = text_of(text_column)
-    paragraphs = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("quick"), F.posexplode(F.split(text, r"[\r\n]+")).alias("paragraph", "p"))
-    worded = paragraphs.select("id", "quick", "paragraph", words_of(F.col("p")).alias("words")).filter(F.size("words") > 0)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), text.alias("text"))
+    paragraphs = rows.select("row", "id", F.xxhash64("text").alias("quick"), F.posexplode(F.split("text", r"[\r\n]+")).alias("paragraph", "p"))
+    worded = paragraphs.select("row", "id", "quick", "paragraph", words_of(F.col("p")).alias("words")).filter(F.size("words") > 0)
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int")), lambda i: F.slice(F.col("words"), i * SEGMENT + 1, F.lit(SEGMENT + 2)))
-    return worded.select("id", "quick", "paragraph", F.posexplode(parts).alias("segment", "words"))
+    return worded.select("row", "id", "quick", "paragraph", F.posexplode(parts).alias("segment", "words"))
 
 
 def corpus_windows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -125,17 +127,20 @@ def fitted(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame
 
 
 def licence_segments(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, quick, paragraph, segment, family, probability) of the segments that hold a licence, known or not."""
+    """(row, id, quick, paragraph, segment, family, probability) of the segments that hold a licence, known or not.
+
+    ``row`` only tells equal rows apart, so that their n-grams are not added up.
+    """
     weights, intercepts, classes, level = fitted(docs, id_column, text_column)
     parts = segments(docs, id_column, text_column)
     # the last segment words reach two words into the next one, so that no n-gram is cut
-    grams = parts.select("id", "quick", "paragraph", "segment", F.explode(F.array_distinct(grams_of(F.col("words")))).alias("gram"))
+    grams = parts.select("row", "id", "quick", "paragraph", "segment", F.explode(F.array_distinct(grams_of(F.col("words")))).alias("gram"))
     # the weights are as many as the templates' n-grams, whatever the corpus
     met = grams.join(F.broadcast(weights), "gram")
     sums = [F.sum(F.col("weights")[k]).alias(f"w{k}") for k in range(len(classes))]
     wording = F.sum((~F.array_contains("families", NONE)).cast("int")).alias("wording")
     counts = [F.sum((F.col("families") == F.array(F.lit(c))).cast("int")).alias(f"c{k}") for k, c in enumerate(classes)]
-    summed = met.groupBy("id", "quick", "paragraph", "segment").agg(*sums, *counts, wording)
+    summed = met.groupBy("row", "id", "quick", "paragraph", "segment").agg(*sums, *counts, wording)
     raw = F.array(*[F.col(f"w{k}") + F.lit(b) for k, b in enumerate(intercepts)])
     scored = summed.withColumn("raw", raw).withColumn("top", F.array_max("raw"))
     scored = scored.withColumn("e", F.transform("raw", lambda x: F.exp(x - F.col("top"))))
@@ -147,7 +152,7 @@ def licence_segments(docs: DataFrame, id_column: str = "doc_id", text_column: st
     known = (F.col("best") >= level) & (F.col("best") >= F.col("p")[1]) & (held >= OWN_GRAMS)
     found = found.filter(known | (F.col("wording") >= LICENCE_GRAMS))
     return found.select(
-        "id", "quick", "paragraph", "segment", F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"),
+        "row", "id", "quick", "paragraph", "segment", F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"),
         F.when(known, F.col("best")).otherwise(1 - F.col("p")[0]).alias("probability"),
     )
 
@@ -157,8 +162,9 @@ def licence_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     found = licence_segments(docs, id_column, text_column)
     best = F.max(F.struct((F.col("family") != UNKNOWN).alias("known"), "probability", F.col("family").alias("family")))
     told = found.groupBy("id", "quick").agg(
-        best.alias("best"), F.sort_array(F.collect_set("family")).alias("licenses"), F.count(F.lit(1)).alias("n_segments")
-    )
+        best.alias("best"), F.sort_array(F.collect_set("family")).alias("licenses"),
+        F.count_distinct("paragraph", "segment").alias("n_segments"),
+    )
     rows = docs.select(F.col(id_column).alias("id"), F.xxhash64(text_of(text_column)).alias("quick"))
     same = F.col("d.id").eqNullSafe(F.col("t.id")) & (F.col("d.quick") == F.col("t.quick"))
     return rows.alias("d").join(told.alias("t"), same, "left").select(

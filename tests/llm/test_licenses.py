@@ -43,6 +43,17 @@ def test_a_licence_of_no_known_family_is_unknown(scanned):
     assert next(r.license for r in scanned if r.doc_id == 11) == "unknown"
 
 
+def test_copies_keep_the_probability_of_a_single_row(frame):
+    texts = ["licensed under the Apache terms", "GNU General Public License applies", "Released under the MIT License.\nAll of it."]
+    single = [(i, t) for i, t in enumerate(texts)]
+    copies = single + [(i + 10, t) for i, t in enumerate(texts) for _ in range(3)] + [(None, texts[2])] * 2
+    got = licenses.licence_scan(frame(copies)).collect()
+    assert len(got) == len(copies)
+    for i, text in single:
+        rows = [r for r in got if r.doc_id in (i, i + 10) or (r.doc_id is None and i == 2)]
+        assert len({(r.license, round(r.probability, 12), tuple(r.licenses), r.n_segments) for r in rows}) == 1
+
+
 def test_empty_table(frame):
     assert licenses.licence_scan(frame([])).count() == 0
 
