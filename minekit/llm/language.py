@@ -14,6 +14,7 @@ every text is ``und``; an empty table gives no rows; further columns are not rea
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,9 +127,11 @@ def profiles(docs: DataFrame, id_column: str, text_column: str, language_column:
     labelled = docs.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(language_column).alias("lang")
     ).filter((remainder("id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # one number per language, so that the draw is made where the texts are read
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = F.element_at(F.from_json(F.lit(json.dumps(sizes)), "map<string,bigint>"), F.col("lang"))
     # a hash decides, so that about ``per_language`` rows of each language are read whatever the table's size
-    drawn = labelled.join(sizes, "lang").filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) * F.col("n") < F.lit(per_language * 1_000_000))
+    drawn = labelled.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) * n < F.lit(per_language * 1_000_000))
     parts = drawn.select("lang", "text").mapInPandas(partial_profiles, "lang string, vector array<double>")
     summed = parts.select("lang", F.posexplode("vector").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     gathered = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).select("lang", "v.x")
