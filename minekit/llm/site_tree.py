@@ -6,7 +6,10 @@ child sequences seen at the node. Content: one less the mean entropy of the text
 pages that hold the node; a text on all of them counts 0, a text on one page counts 1. Nodes of low weight, found on
 ``MIN_PAGES`` or more different pages, are template and their branches go. What a page itself says about a
 branch is presentation too: elements for navigation, headers, footers, sidebars, notices, adverts, forms, scripts
-and reader comments, by tag, role, class or id, go on any page. Where a page has an article or main element, that
+and reader comments, by tag, role, class or id, go on any page. A class or id is only evidence: a name that tells a
+state (``no-sidebar``, ``comments-closed``) or a subject (``copyright-law``) says nothing, an element whose name holds
+further words stays if it has more than half of the text, a form too unless it is mostly controls, and no element
+goes by its name if the page's only article is inside. Where a page has an article or main element, that
 is read, and beside it the blocks whose node the tree of the site weighs ``HIGH`` or more. Inside it branches of low
 weight go, with or without a class or id, but headings stay, and so does a frequent paragraph whose node also holds
 the paragraphs of the text. Equal pages of a host count once.
@@ -50,12 +53,25 @@ NOISE_TAGS = set(
     "embed dialog menu search".split()
 )
 NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Names of noise elements; the second set says so only beside words of the first and of FILLER_WORDS.
 NOISE_WORDS = set(
     "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promos promotion "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers masthead cookie cookies consent gdpr notice "
-    "notices newsletter subscribe subscription signup login popup modal overlay comment comments disqus reply replies respond share "
-    "sharing social related recommended recommendations widget widgets toolbar pagination pager copyright".split()
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer footers masthead cookie cookies gdpr "
+    "newsletter subscribe signup login popup modal comment comments disqus toolbar pagination pager".split()
 )
+VAGUE_WORDS = set(
+    "consent notice notices subscription overlay reply replies respond share sharing social related recommended recommendations widget "
+    "widgets copyright".split()
+)
+FILLER_WORDS = set(
+    "area articles bar block body bottom box button buttons center col column container content fixed float form group holder icons inner "
+    "item items left line links list main more outer page panel post posts primary right row section site small sticky stories text thread "
+    "title top unit wrap wrapper you".split()
+)
+STATE_WORDS = set("allowed closed collapsed disabled enabled has hide is no not off on open show with without".split())
+#: Characters of text that a control of a form outweighs.
+CONTROL = 40
+CONTROLS = set("button input select textarea".split())
 ARTICLE_WORDS = set("article post entry content story main".split())
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)(>|\Z)""", re.S
@@ -72,24 +88,49 @@ def attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)} if raw and not raw.isspace() else {}
 
 
-def says_noise(tag: str, given: dict[str, str], in_article: bool) -> bool:
+def says_noise(tag: str, given: dict[str, str], in_article: bool) -> str:
+    """Why an element is noise: ``sure`` by what it is, ``name`` by a plain name, ``hint`` by a name with further words, ``form``, or not."""
+    if tag == "form":
+        return "form"
     if tag in NOISE_TAGS or (tag == "header" and not in_article):
-        return True
+        return "sure"
     if not given or tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     if given.get("role", "").lower() in NOISE_ROLES or "hidden" in given or given.get("aria-hidden") == "true":
-        return True
+        return "sure"
     if "display:none" in given.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for w in WORD.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-    return bool(words & NOISE_WORDS) or ("header" in words and not words & ARTICLE_WORDS)
+        return "sure"
+    said = ""
+    for name in f"{given.get('class', '')} {given.get('id', '')}".split():
+        words = {w.lower() for w in WORD.findall(name)}
+        if words & STATE_WORDS:
+            continue
+        further = {w for w in words - NOISE_WORDS - VAGUE_WORDS - FILLER_WORDS if len(w) > 1}
+        if words & (NOISE_WORDS | VAGUE_WORDS) and not further:
+            return "name"
+        if words & NOISE_WORDS or ("header" in words and not words & ARTICLE_WORDS):
+            said = "hint"
+    return said
+
+
+def letters(text: str) -> int:
+    return len(text) - sum(map(text.count, " \n\t\r"))
+
+
+class Region:
+    """An element that a name or a form makes doubtful, judged when the page is read."""
+
+    __slots__ = ("why", "above", "core", "text", "controls")
+
+    def __init__(self, why: str, above: Region | None) -> None:
+        self.why, self.above, self.core, self.text, self.controls = why, above, False, 0, 0
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "core", "marked", "children", "block")
+    __slots__ = ("tag", "path", "noise", "core", "marked", "children", "block", "region")
 
-    def __init__(self, tag: str, path: str, noise: bool, core: bool, marked: bool, block: bool) -> None:
-        self.tag, self.path, self.noise, self.core, self.marked, self.block = tag, path, noise, core, marked, block
+    def __init__(self, tag: str, path: str, noise: bool, core: bool, marked: bool, block: bool, region: Region | None = None) -> None:
+        self.tag, self.path, self.noise, self.core, self.marked, self.block, self.region = tag, path, noise, core, marked, block, region
         self.children: list[str] = []
 
 
@@ -97,11 +138,13 @@ class Page:
     """One pass over a page: text blocks (path, in the article, marked, text) and the child sequences of its nodes."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, bool, bool, str]] = []
-        self.styles: set[tuple[str, str]] = set()
+        #: Blocks as (path, in the article, marked, text per region).
+        self.found: list[tuple[str, bool, bool, list[tuple[Region | None, str]]]] = []
+        self.shapes: list[tuple[Region | None, tuple[str, str]]] = []
+        self.regions: list[Region] = []
+        self.free_core = False
         self.stack = [Element("", "", False, False, False, True)]
-        self.run: list[str] = []
-        self.owner = self.stack[0]
+        self.run: list[tuple[Region | None, str]] = []
         at, end = 0, len(source)
         while at < end:
             m = TOKEN.search(source, at)
@@ -125,27 +168,50 @@ class Page:
         self._flush()
         while len(self.stack) > 1:
             self._pop()
+        gone = self._judged()
+        whole = ((path, core, marked, " ".join("".join(t for r, t in parts if r not in gone).split())) for path, core, marked, parts in self.found)
+        self.blocks = [b for b in whole if b[3]]
+        self.styles = {s for region, s in self.shapes if region not in gone}
+
+    def _judged(self) -> set[Region]:
+        """The regions that go; one inside a region that goes, goes with it."""
+        gone: set[Region] = set()
+        # a plain name is believed whatever the text, so the share counts what is outside of such regions
+        for r in self.regions:
+            if r.above in gone or (r.why == "name" and not (r.core and not self.free_core)):
+                gone.add(r)
+        whole = sum(letters(t) for *_, parts in self.found for r, t in parts if r not in gone)
+        for r in self.regions:
+            if r.above in gone:
+                gone.add(r)
+            elif r not in gone and r.why != "name":
+                stays = (r.core and not self.free_core) or 2 * r.text > whole
+                if not stays or (r.why == "form" and r.controls * CONTROL >= r.text):
+                    gone.add(r)
+        return gone
 
     def _text(self, text: str) -> None:
         if text and not self.stack[-1].noise:
-            self.run.append(text)
+            self.run.append((self.stack[-1].region, html.unescape(text) if "&" in text else text))
 
     def _block(self) -> Element:
         return next(e for e in reversed(self.stack) if e.block)
 
     def _flush(self) -> None:
         if self.run:
-            text = " ".join("".join(html.unescape(t) if "&" in t else t for t in self.run).split())
-            if text:
-                owner = self._block()
-                self.blocks.append((owner.path, owner.core, owner.marked, text))
+            owner = self._block()
+            self.found.append((owner.path, owner.core, owner.marked, self.run))
+            for region, text in self.run:
+                while region:
+                    region.text += letters(text)
+                    region = region.above
             self.run = []
 
     def _pop(self) -> None:
         e = self.stack.pop()
         if e.block and not e.noise:
             shape = [c for i, c in enumerate(e.children) if not i or c != e.children[i - 1]]
-            self.styles.add((e.path, " ".join(shape)))
+            self.shapes.append((e.region, (e.path, " ".join(shape))))
 
     def _close(self, tags: set[str], scope: set[str]) -> None:
         """Close the nearest open element of ``tags``, if no element of ``scope`` stands before it."""
@@ -172,8 +238,12 @@ class Page:
             self._flush()
         if tag in VOID:
             if tag in ("br", "hr", "img", "input", "wbr"):
-                self.run.append(" " if tag != "wbr" else "")
+                self.run.append((self.stack[-1].region, " " if tag != "wbr" else ""))
+            if tag == "input" and "hidden" not in raw.lower():
+                self._control()
             return
+        if tag in CONTROLS:
+            self._control()
         above, given = self.stack[-1], attributes(raw)
         name = given.get("class", "") or given.get("id", "")
         step = tag
@@ -181,14 +251,28 @@ class Page:
             named = f"{tag}.{'.'.join(sorted(given.get('class', '').split()))}#{given.get('id', '')}"
             step = DIGITS.sub("0", named.replace("/", "_"))
         core = above.core or tag in ("article", "main") or given.get("role", "").lower() == "main" or given.get("itemprop") == "articleBody"
-        noise = above.noise or says_noise(tag, given, above.core)
+        why = "" if above.noise else says_noise(tag, given, above.core)
+        noise, region = above.noise or why == "sure", above.region
+        if why and not noise:
+            region = Region(why, region)
+            self.regions.append(region)
+        if core and not above.core and not noise:
+            self.free_core |= region is None
+            holder = region
+            while holder:
+                holder.core, holder = True, holder.above
         if block:
             above_block = self._block()
             above_block.children.append(step)
             path = f"{above_block.path}/{step}"
         else:
             path = above.path
-        self.stack.append(Element(tag, path, noise, core, (above.marked or bool(name)) and above.core, block))
+        self.stack.append(Element(tag, path, noise, core, (above.marked or bool(name)) and above.core, block, region))
+
+    def _control(self) -> None:
+        holder = self.stack[-1].region
+        while holder:
+            holder.controls, holder = holder.controls + 1, holder.above
 
     def _end(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):

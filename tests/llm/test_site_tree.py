@@ -119,3 +119,45 @@ def test_given_pages_give_their_articles(spark):
         article = re.search("<article>(.*)</article>", r.html, re.S)[1]
         parts = (" ".join(html.unescape(re.sub("<[^>]+>", " ", x)).split()) for x in re.split("<p>|</p>|<h1>|</h1>", article))
         assert got[r.page_id] == "\n".join(x for x in parts if x)
+
+
+LONG = "This is the story that the page tells, and it goes on for some time."
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f'<div id="page" class="site no-sidebar"><p>{LONG}</p></div>',
+        f'<div class="content comments-closed"><p>{LONG}</p></div>',
+        f'<div class="l-main has-sidebar"><p>{LONG}</p></div>',
+        f'<article><div class="entry-content share-enabled"><p>{LONG}</p></div></article>',
+        f'<article><div class="copyright-law"><p>{LONG}</p></div></article>',
+        f"<article><form><p>{LONG}</p></form></article>",
+        '<article><p>This is the story that the page tells,</p><section id="related-work"><p>and it goes on for some time.</p></section></article>',
+        f'<div class="newsletter-edition"><p>{LONG}</p></div><p>short</p>',
+        f'<div class="widget-area"><article><p>{LONG}</p></article></div>',
+        f'<form action=x><input type=hidden name=state><input name=q><article><p>{LONG}</p></article></form>',
+    ],
+)
+def test_names_of_states_and_of_subjects_do_not_empty_a_page(source):
+    assert core(source).replace("\nshort", "").replace("\n", " ") == LONG
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f'<article><p>{LONG}</p></article><div class="newsletter-edition"><p>short</p></div>',
+        f'<article><p>{LONG}</p></article><section class="comments"><article class="comment"><p>{LONG * 9}</p></article></section>',
+        f'<p>{LONG}</p><div class="comment-list"><p>{LONG * 9}</p></div>',
+        f"<p>{LONG}</p><form><label>Your name</label><input name=n><textarea></textarea><button>Send</button></form>",
+        f'<p>{LONG}</p><div class="related-posts">{LONG * 2}</div><div class="share-buttons">{LONG * 2}</div>',
+        f'<p>{LONG}</p><p class="cookieNotice">{LONG * 2}</p><form><p>{LONG[:20]}</p></form>',
+        f'<p>{LONG}<span class="ad-slot">buy</span></p>',
+    ],
+)
+def test_plain_noise_goes_whatever_its_length(source):
+    assert core(source) == LONG
+
+
+def test_a_form_of_controls_alone_has_no_text():
+    assert core("<form><p>Log in</p><input name=user><input name=word><button>Go</button></form>") == ""
