@@ -125,6 +125,20 @@ def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_cols"))
 
 
+def table_structure(df: DataFrame, key: list[str], k: int = 5) -> DataFrame:
+    """Position, name, type and the values of the ``k`` rows with the lowest keys, one row per column, as ``str`` prints it."""
+    shown = {c: F.coalesce(F.col(quoted(c)).cast("string"), F.lit("NA")) for c in df.columns}
+    first = df.orderBy(*[F.col(quoted(c)).asc_nulls_last() for c in key]).limit(k)
+    numbered = first.select(F.struct(*[F.col(quoted(c)) for c in key]).alias("_at"), *[v.alias(c) for c, v in shown.items()])
+    long = numbered.unpivot(["_at"], list(df.columns), "column", "value")
+    values = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "value"))), lambda x: x["value"]), " ")
+    kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
+    places = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns, 1) for x in (c, i)])
+    return long.groupBy("column").agg(values.alias("first_values")).select(
+        places[F.col("column")].cast("long").alias("position"), "column", kinds[F.col("column")].alias("type"), "first_values"
+    )
+
+
 def filter_not_in(df: DataFrame, column: str, values) -> DataFrame:
     """Negated membership that keeps NULL rows."""
     return df.filter(~F.coalesce(F.col(column).isin(*values), F.lit(False)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from minekit.functions.expr import is_missing, literal_frame, numeric_columns, quoted, ratio
 from minekit.functions.special import t_quantile_975
@@ -12,6 +12,8 @@ from minekit.lineage import cut
 
 # quantile sketch: rank error at most 1 / accuracy
 SKETCH_ACCURACY = 10_000
+# distinct values of one bracket that a task may hold, and parts that a wider bracket is cut into
+BRACKET, PARTS = 10_000, 100
 
 
 def long_values(df: DataFrame, cols, by=()) -> DataFrame:
@@ -39,7 +41,9 @@ def quantile_table(df: DataFrame, cols, probs, by=(), rank=linear_rank) -> DataF
 
     ``percentile`` would gather every distinct value of a column in one task. Instead a bounded
     sketch brackets each quantile; a second pass counts what lies below the bracket and keeps only
-    the distinct values inside it (about 4 rows in 10,000), whose running count gives the answer.
+    the distinct values inside it (about 4 rows in 10,000). A bracket that may hold more than
+    ``BRACKET`` distinct values is narrowed by further counting passes, so what a task holds of a
+    group is bounded whatever its size; the running count inside gives the answer.
     """
     by = list(by)
     group = [*by, "column"]
@@ -62,7 +66,8 @@ def quantile_table(df: DataFrame, cols, probs, by=(), rank=linear_rank) -> DataF
             for i, p in enumerate(probs)
         ]
     )
-    matched = _attach_per_column(values, sketch.select(*group, "n", targets.alias("targets")), by)
+    brackets = cut(sketch.select(*group, "n", targets.alias("targets")))
+    matched = _attach_per_column(values, brackets, by)
     each = matched.select(*group, "n", "value", F.explode("targets").alias("t")).select(
         *group, "n", "value", "t.*"
     )
@@ -74,23 +79,17 @@ def quantile_table(df: DataFrame, cols, probs, by=(), rank=linear_rank) -> DataF
         F.max(F.when(F.col("value") < F.col("low"), F.col("value"))).alias("before"),
         F.min(F.when(F.col("value") > F.col("high"), F.col("value"))).alias("after"),
     )
-    whole = Window.partitionBy(*group, "prob")
-    running = whole.orderBy("inside").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("below_all", F.sum("below").over(whole)).withColumn(
-        "upto",
-        F.col("below_all") + F.sum(F.when(F.col("inside").isNotNull(), F.col("here")).otherwise(0)).over(running),
-    )
-    picked = ranked.groupBy(*group, "prob", "n", "i", "h").agg(
-        F.max("below_all").alias("below"),
+    # a bracket is two margins wide and the sketch may err by half a margin at either end
+    if (brackets.agg(F.max("n")).first()[0] or 0) * 3 * margin > BRACKET:
+        counted = _narrowed(counted, group)
+    held = counted.groupBy(*group, "prob", "n", "i", "h").agg(
+        F.sum("below").alias("below"),
         F.max("before").alias("before"),
         F.min("after").alias("after"),
-        F.min(F.when(F.col("inside").isNotNull() & (F.col("upto") > F.col("i")), F.col("inside"))).alias("at_i"),
-        F.min(
-            F.when(
-                F.col("inside").isNotNull() & (F.col("upto") > F.least(F.col("i") + 1, F.col("n") - 1)),
-                F.col("inside"),
-            )
-        ).alias("at_next"),
+        F.sort_array(F.collect_list(F.when(F.col("inside").isNotNull(), F.struct("inside", "here")))).alias("kinds"),
+    )
+    picked = held.withColumn("at_i", _at_rank("kinds", F.col("i"))).withColumn(
+        "at_next", _at_rank("kinds", F.least(F.col("i") + 1, F.col("n") - 1))
     )
     low = F.when(F.col("i") < F.col("below"), F.col("before")).otherwise(F.coalesce("at_i", "after"))
     high = F.coalesce("at_next", "after")
@@ -99,24 +98,79 @@ def quantile_table(df: DataFrame, cols, probs, by=(), rank=linear_rank) -> DataF
     )
 
 
+def _at_rank(kinds: str, rank):
+    """``inside`` of the (inside, here) pair that holds the 0-based rank, ``below`` rows lying before the first pair."""
+    first = F.struct(F.col("below").alias("seen"), F.get(kinds, F.lit(-1))["inside"].alias("found"))
+    return F.aggregate(
+        kinds,
+        first,
+        lambda a, x: F.struct(
+            (a["seen"] + x["here"]).alias("seen"),
+            F.coalesce(a["found"], F.when(a["seen"] + x["here"] > rank, x["inside"])).alias("found"),
+        ),
+    )["found"]
+
+
+def _narrowed(counted: DataFrame, group: list[str]) -> DataFrame:
+    """Cut every bracket into ``PARTS`` by its distinct values and keep the part with the rank, until all are small."""
+    key = [*group, "prob", "n", "i", "h"]
+    while True:
+        counted = cut(counted)
+        brackets = cut(
+            counted.groupBy(*key).agg(
+                F.count("inside").alias("size"),
+                F.sum("below").alias("below"),
+                F.percentile_approx("inside", F.array(*[F.lit(k / PARTS) for k in range(1, PARTS)]), 10 * PARTS).alias("edges"),
+            )
+        )
+        if (brackets.agg(F.max("size")).first()[0] or 0) <= BRACKET:
+            return counted
+        placed = _attach(counted, brackets.select(*key, "edges"), key).withColumn(
+            "part", F.when(F.col("inside").isNotNull(), F.size(F.filter("edges", lambda e: e < F.col("inside"))))
+        )
+        parts = placed.filter(F.col("part").isNotNull()).groupBy(*key, "part").agg(F.sum("here").alias("here"))
+        filled = parts.groupBy(*key).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("part").alias("inside"), "here"))).alias("parts")
+        )
+        beyond = F.when(F.col("i") < F.col("below"), F.lit(0)).otherwise(F.lit(PARTS - 1))
+        chosen = _attach(filled, brackets.select(*key, "below"), key).select(
+            *key, F.coalesce(_at_rank("parts", F.col("i")), beyond).alias("chosen")
+        )
+        lower, higher = F.col("part") < F.col("chosen"), F.col("part") > F.col("chosen")
+        inside = F.when(F.col("part") == F.col("chosen"), F.col("inside"))
+        counted = (
+            _attach(placed.drop("edges"), cut(chosen), key)
+            .groupBy(*key, inside.alias("narrow"))
+            .agg(
+                F.sum("here").alias("here"),
+                F.sum(F.col("below") + F.when(lower, F.col("here")).otherwise(0)).alias("below"),
+                F.max(F.greatest("before", F.when(lower, F.col("inside")))).alias("before"),
+                F.min(F.least("after", F.when(higher, F.col("inside")))).alias("after"),
+            )
+            .withColumnRenamed("narrow", "inside")
+        )
+
+
+def _attach(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join on keys that may be NULL, one copy of the keys."""
+    a, b = left.alias("a"), right.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{quoted(c)}").eqNullSafe(F.col(f"b.{quoted(c)}")) for c in key])
+    return a.join(b, same).select("a.*", *[F.col(f"b.{quoted(c)}") for c in right.columns if c not in key])
+
+
 def _attach_per_column(values: DataFrame, table: DataFrame, by: list[str]) -> DataFrame:
-    """Add the columns of a table that has one row per (by..., column).
+    """Add the columns of a written table that has one row per (by..., column).
 
-    Without groups the table is one scalar map, so the values are not shuffled. With groups it is
-    written first, so that the planner knows its size and broadcasts it when it is small.
+    Without groups the table is one scalar map, so the values are not shuffled. With groups the
+    planner knows the size of the written table and broadcasts it when it is small.
     """
-    extra = [c for c in table.columns if c not in by and c != "column"]
-    if not by:
-        entry = F.struct("column", F.struct(*extra).alias("row"))
-        lookup = table.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
-        found = values.withColumn("_row", lookup[F.col("column")])
-        return found.select(*values.columns, *[F.col(f"_row.{c}").alias(c) for c in extra])
-    a, b = values.alias("a"), cut(table).alias("b")
-    condition = reduce(
-        lambda x, y: x & y,
-        [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by] + [F.col("a.column") == F.col("b.column")],
-    )
-    return a.join(b, condition).select(*[F.col(f"a.{c}") for c in values.columns], *[F.col(f"b.{c}") for c in extra])
+    if by:
+        return _attach(values, table, [*by, "column"])
+    extra = [c for c in table.columns if c != "column"]
+    entry = F.struct("column", F.struct(*extra).alias("row"))
+    lookup = table.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+    found = values.withColumn("_row", lookup[F.col("column")])
+    return found.select(*values.columns, *[F.col(f"_row.{c}").alias(c) for c in extra])
 
 
 def quantiles_wide(df: DataFrame, cols, probs: dict[str, float], by=(), rank=linear_rank) -> DataFrame:
@@ -154,6 +208,17 @@ def summary_numeric(df: DataFrame, cols=None, by=()) -> DataFrame:
     )
 
 
+def summary_dates(df: DataFrame, cols, by=()) -> DataFrame:
+    """Least, quartiles, mean and greatest day of date or timestamp columns, the missing count and the range in days.
+
+    A timestamp counts as its day; a quantile or mean between two days is the earlier one.
+    """
+    days = df.select(*by, *[F.unix_date(F.col(quoted(c)).cast("date")).alias(c) for c in cols])
+    numbers = summary_numeric(days, cols, by)
+    day = {c: F.date_from_unix_date(F.floor(c).cast("int")).alias(c) for c in ("min", "q1", "median", "mean", "q3", "max")}
+    return numbers.select(*by, "column", "n", "n_missing", *day.values(), (F.col("max") - F.col("min")).cast("long").alias("range_days"))
+
+
 def summary_categorical(df: DataFrame, cols) -> DataFrame:
     """Level counts and shares of string columns, long form."""
     long = df.select(*[F.col(quoted(c)).cast("string").alias(c) for c in cols]).unpivot([], list(cols), "column", "level")
@@ -277,7 +342,7 @@ def box_fences(df: DataFrame, cols, by=(), hinges: bool = False) -> DataFrame:
 def box_stats(df: DataFrame, cols, by=(), hinges: bool = False) -> DataFrame:
     """Box-plot statistics: quartiles, whiskers to the outermost points within the fences, outlier count."""
     by = list(by)
-    values = _attach_per_column(long_values(df, cols, by), box_fences(df, cols, by, hinges), by)
+    values = _attach_per_column(long_values(df, cols, by), cut(box_fences(df, cols, by, hinges)), by)
     kept = F.when(F.col("value").between(F.col("low_fence"), F.col("high_fence")), F.col("value"))
     return values.groupBy(*by, "column").agg(
         F.min(kept).alias("whisker_low"),

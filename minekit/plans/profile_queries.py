@@ -88,6 +88,31 @@ def q_summary_numeric(spark, sf):
     return rounded(profile.summary_numeric(views.sparse(spark, sf), SPARSE_NUMBERS), 4)
 
 
+@query("summary_dates", _union("(SELECT CAST(o_orderdate AS DATE) AS ordered, CAST(l_shipdate AS DATE) AS shipped FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey)",
+    ["ordered", "shipped"], """SELECT '{c}' AS "column", CAST(count({c}) AS BIGINT) AS n, CAST(count(*) - count({c}) AS BIGINT) AS n_missing,
+    min({c}) AS min, DATE '1970-01-01' + CAST(floor(quantile_cont(CAST({c} - DATE '1970-01-01' AS DOUBLE), 0.25)) AS INTEGER) AS q1,
+    DATE '1970-01-01' + CAST(floor(quantile_cont(CAST({c} - DATE '1970-01-01' AS DOUBLE), 0.5)) AS INTEGER) AS median,
+    DATE '1970-01-01' + CAST(floor(avg({c} - DATE '1970-01-01')) AS INTEGER) AS mean,
+    DATE '1970-01-01' + CAST(floor(quantile_cont(CAST({c} - DATE '1970-01-01' AS DOUBLE), 0.75)) AS INTEGER) AS q3,
+    max({c}) AS max, CAST(max({c}) - min({c}) AS BIGINT) AS range_days FROM {view}"""))
+def q_summary_dates(spark, sf):
+    lines = scan_table(spark, sf, "lineitem").select("l_orderkey", F.col("l_shipdate").alias("shipped"))
+    orders = scan_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").alias("ordered"))
+    both = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    return profile.summary_dates(both, ["ordered", "shipped"])
+
+
+@query("summary_dates_by_group", """
+    SELECT o_orderpriority, 'o_orderdate' AS "column", CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_missing, CAST(min(o_orderdate) AS DATE) AS min,
+           CAST(quantile_cont(CAST(o_orderdate AS DATE), 0.25) AS DATE) AS q1, CAST(quantile_cont(CAST(o_orderdate AS DATE), 0.5) AS DATE) AS median,
+           DATE '1970-01-01' + CAST(floor(avg(CAST(o_orderdate AS DATE) - DATE '1970-01-01')) AS INTEGER) AS mean,
+           CAST(quantile_cont(CAST(o_orderdate AS DATE), 0.75) AS DATE) AS q3, CAST(max(o_orderdate) AS DATE) AS max,
+           CAST(CAST(max(o_orderdate) AS DATE) - CAST(min(o_orderdate) AS DATE) AS BIGINT) AS range_days
+    FROM orders GROUP BY o_orderpriority""")
+def q_summary_dates_by_group(spark, sf):
+    return profile.summary_dates(scan_table(spark, sf, "orders"), ["o_orderdate"], ["o_orderpriority"])
+
+
 @query("summary_categorical", _union("lineitem", ["l_returnflag", "l_linestatus"], """
     SELECT '{c}' AS "column", {c} AS level, CAST(count(*) AS BIGINT) AS n,
            round(count(*) / (SELECT count(*) FROM {view}), 6) AS share FROM {view} GROUP BY {c}"""))

@@ -212,6 +212,15 @@ def q_table_shape(spark, sf):
     return clean.table_shape(scan_table(spark, sf, "lineitem"))
 
 
+@query("table_structure", """
+    WITH f AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 5) """ + " UNION ALL ".join(
+    f"""SELECT CAST({i} AS BIGINT) AS position, '{c}' AS "column", (SELECT CASE typeof({c}) WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(typeof({c})) END FROM customer LIMIT 1) AS type,
+        string_agg(CAST({c} AS VARCHAR), ' ' ORDER BY c_custkey) AS first_values FROM f"""
+    for i, c in enumerate(("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), 1)))
+def q_table_structure(spark, sf):
+    return clean.table_structure(scan_table(spark, sf, "customer"), ["c_custkey"])
+
+
 @query("scatter_layer", with_views("entity", """
     SELECT cases AS x, deaths AS y, population AS size, segment AS "group",
            CASE WHEN deaths >= 20 THEN name END AS label FROM entity"""))

@@ -89,6 +89,45 @@ def test_quantiles_interpolate_linearly(spark, n):
         assert got[p] == pytest.approx(np.quantile(v, p)), p
 
 
+def test_quantiles_by_narrowing_hold_few_values_at_a_time(spark, monkeypatch):
+    """Coarse sketches and small brackets: several passes, the same values, no array above the bound."""
+    monkeypatch.setattr(profile, "SKETCH_ACCURACY", 20)
+    monkeypatch.setattr(profile, "BRACKET", 40)
+    monkeypatch.setattr(profile, "PARTS", 8)
+    sizes = []
+    plain = profile._narrowed
+
+    def watched(counted, group):
+        small = plain(counted, group)
+        sizes.extend((before["n"], after["n"]) for before, after in (
+            (x.filter("inside is not null").groupBy(*group, "prob").count().agg({"count": "max"}).withColumnRenamed("max(count)", "n").first() for x in (counted, small)),
+        ))
+        return small
+
+    monkeypatch.setattr(profile, "_narrowed", watched)
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"v": np.concatenate([rng.normal(0, 9, 30_000), np.full(6_000, 1.5), rng.integers(0, 50, 4_000)])})
+    pdf["g"] = np.where(rng.random(len(pdf)) < 0.3, None, np.where(rng.random(len(pdf)) < 0.99, "hot", "cold"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.55, 0.75, 0.999, 1.0]
+    df = spark.createDataFrame(pdf, "v double, g string").repartition(7)
+    whole = {r["prob"]: r["value"] for r in profile.quantile_table(df, ["v"], probs).collect()}
+    assert whole == {p: pytest.approx(np.quantile(pdf.v, p), abs=1e-12) for p in probs}
+    parts = {(r["g"], r["prob"]): (r["n"], r["value"]) for r in profile.quantile_table(df, ["v"], probs, ["g"]).collect()}
+    for g in ("hot", "cold", None):
+        v = pdf.v[pdf.g.isna() if g is None else pdf.g == g]
+        for p in probs:
+            assert parts[(g, p)] == (len(v), pytest.approx(np.quantile(v, p), abs=1e-12)), (g, p)
+    assert len(sizes) == 2 and all(before > 1_000 and after <= 40 for before, after in sizes)
+
+
+def test_date_summary_of_an_empty_and_a_gappy_column(spark):
+    df = spark.createDataFrame([("2020-01-01", None), ("2020-01-04", None), (None, None)], "a string, b string")
+    got = {r["column"]: r for r in profile.summary_dates(df, ["a", "b"]).collect()}
+    assert [str(got["a"][c]) for c in ("min", "q1", "median", "mean", "q3", "max")] == ["2020-01-01", "2020-01-01", "2020-01-02", "2020-01-02", "2020-01-03", "2020-01-04"]
+    assert (got["a"]["n"], got["a"]["n_missing"], got["a"]["range_days"]) == (2, 1, 3)
+    assert (got["b"]["n"], got["b"]["n_missing"], got["b"]["median"], got["b"]["range_days"]) == (0, 3, None, None)
+
+
 def test_quantiles_with_a_value_holding_a_third_of_the_rows(spark):
     rng = np.random.default_rng(3)
     v = np.concatenate([np.full(10_000, 2.0), rng.normal(2, 1, 20_000)])
