@@ -12,6 +12,10 @@ TEMPLATES: dict[str, list[str]] = {
         "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
         "Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+        "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+        "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "Apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -22,6 +26,12 @@ TEMPLATES: dict[str, list[str]] = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific '
         "language governing permissions and limitations under the License.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, "
+        "worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly "
+        "display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "You must cause any modified files to carry prominent notices stating that You changed the files.",
+        "Trademarks. This License does not grant permission to use the trade names, trademarks, service marks, or product names of the "
+        "Licensor, except as required for reasonable and customary use in describing the origin of the Work.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -30,18 +40,29 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
         "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "You may convey verbatim copies of the Program's source code as you receive it, in any medium, provided that you conspicuously and "
+        "appropriately publish on each copy an appropriate copyright notice.",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "SPDX-License-Identifier: LGPL-2.1-only",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
         "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ],
     "AGPL": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+        "If you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer "
+        "network an opportunity to receive the Corresponding Source of your version.",
     ],
     "BSD": [
         "Licensed under the BSD 3-Clause License.",
@@ -51,42 +72,63 @@ TEMPLATES: dict[str, list[str]] = {
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
         "from this software without specific prior written permission.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+        "the documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT '
+        "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY.",
     ],
     "MPL": [
         "Licensed under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
         "with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        'Covered Software is provided under this License on an "as is" basis, without warranty of any kind, either expressed, implied, or '
+        "statutory, including, without limitation, warranties that the Covered Software is free of defects.",
+        "All distribution of Covered Software in Source Code Form, including any Modifications that You create or to which You contribute, "
+        "must be under the terms of this License.",
     ],
     "ISC": [
         "Released under the ISC License.",
         "SPDX-License-Identifier: ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.",
     ],
     "public domain": [
         "This work is dedicated to the public domain under CC0 1.0 Universal.",
         "SPDX-License-Identifier: CC0-1.0",
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "Attribution: You must give appropriate credit, provide a link to the license, and indicate if changes were made.",
     ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Text is available under the Creative Commons Attribution-ShareAlike License; additional terms may apply.",
+        "ShareAlike: If you remix, transform, or build upon the material, you must distribute your contributions under the same license as "
+        "the original.",
     ],
     "CC-BY-NC": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "NonCommercial: You may not use the material for commercial purposes.",
     ],
     "CC-BY-ND": [
         "Licensed under CC BY-ND 4.0.",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "NoDerivatives: If you remix, transform, or build upon the material, you may not distribute the modified material.",
     ],
     "proprietary": [
         "All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",

@@ -5,7 +5,9 @@ the word pairs and triples that occur in the templates. A multinomial logistic r
 templates against notices of made-up licences, paragraphs of the corpus and plain sentences, gives the probability of
 every family, of an unknown licence and of none. A segment for which no licence is less likely than some licence gets
 the likeliest family, if its probability reaches a level calibrated on windows kept out of the fit and if the templates
-confirm it, that is hold n-grams of the segment that no other family has; else it is ``unknown``.
+confirm it, that is hold n-grams of the segment that no other family has; else it is ``unknown``. A segment most of
+which stands in the templates of one family and of no other (its containment) is of that family whatever the classifier
+says, with its containment for a probability if that is higher.
 
 Scoring explodes the n-grams, joins them with the weights (as many rows as the templates have n-grams) and sums per
 segment, so only n-grams of the templates are shuffled.
@@ -24,19 +26,23 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from minekit.llm.common import text_of
+from minekit.llm.common import cut, text_of
 from minekit.llm.license_templates import NOTICES, PLAIN, TEMPLATES
 
 NONE, UNKNOWN = "none", "unknown"
 SEGMENT, WINDOW, STEP = 64, 12, 4
-#: Documents of the corpus that give counterexamples, about, and the strength of the ridge.
-CORPUS_SAMPLE, RIDGE = 3_000, 1e-3
+#: Documents of the corpus that give counterexamples, and segments of them, about; the strength of the ridge.
+CORPUS_SAMPLE, SEGMENT_SAMPLE, RIDGE = 3_000, 6_000, 1e-3
+#: Tasks of the fit, whose rows are a few thousand at any size of the corpus.
+FIT_TASKS = 4
 #: Prior shares of no licence, an unknown one and the known families, and the total weight of the fit.
 PRIORS, WEIGHT = (0.25, 0.25, 0.5), 1_000.0
 #: Share of kept-out windows of a licence whose probability may lie under the level.
 CALIBRATION = 0.05
 #: N-grams of a segment that the templates of the family, and of no other, must hold.
 OWN_GRAMS = 2
+#: Share of the n-grams of a segment, and their least number, by which the templates of one family alone settle it.
+CONTAINED, CONTAINED_GRAMS = 0.4, 5
 #: N-grams of licence wording, and of no plain sentence, that an unknown licence must show.
 LICENCE_GRAMS = 4
 
@@ -87,17 +93,18 @@ def segments(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return worded.select("row", "id", "quick", "paragraph", F.posexplode(parts).alias("segment", "words"))
 
 
-def corpus_windows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """A fifth of the segments of about ``CORPUS_SAMPLE`` documents, those without the vocabulary of licences, as counterexamples."""
-    # a hash decides, so that no task gathers texts from all others
+def corpus_windows(docs: DataFrame, id_column: str, text_column: str, sample: int) -> DataFrame:
+    """About ``SEGMENT_SAMPLE`` segments of about ``sample`` documents, those without the vocabulary of licences, as counterexamples."""
+    # hashes decide, so that no task gathers texts from all others; few segments are kept of very long documents
     draw = F.pmod(F.xxhash64(F.col(id_column).cast("string"), text_of(text_column)), F.lit(1_000_000))
-    chosen = docs.select(id_column, text_column).filter(draw * docs.count() < CORPUS_SAMPLE * 1_000_000)
-    parts = segments(chosen, id_column, text_column).filter(F.pmod(F.xxhash64("id", "paragraph", "segment"), F.lit(5)) == 0)
+    chosen = docs.select(id_column, text_column).filter(draw * docs.count() < sample * 1_000_000)
+    parts = cut(segments(chosen, id_column, text_column))
+    parts = parts.filter(F.pmod(F.xxhash64("id", "quick", "paragraph", "segment"), F.lit(1_000_000)) * parts.count() < SEGMENT_SAMPLE * 1_000_000)
     legal = F.exists("words", lambda w: w.rlike("licen[cs]|copyright|warrant|redistrib|permi[st]|reserved|spdx|creative|commons"))
     return parts.filter(~legal).select(F.lit(NONE).alias("family"), grams_of(F.col("words")).alias("grams"), F.lit(False).alias("kept_out"))
 
 
-def fitted(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, list[float], list[str], float]:
+def fitted(docs: DataFrame, id_column: str, text_column: str, sample: int) -> tuple[DataFrame, list[float], list[str], float]:
     """Weights per n-gram with the families whose templates hold it, intercepts, classes, calibrated level."""
     spark = docs.sparkSession
     templates = template_rows(spark)
@@ -108,8 +115,8 @@ def fitted(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame
     vocabulary = sorted(grams)
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", binary=True)
     number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("family")).cast("double") - 1
-    rows = training_windows(templates).unionByName(corpus_windows(docs, id_column, text_column))
-    rows = counter.transform(rows.withColumn("label", number)).select("family", "label", "features", "kept_out").repartition(1).cache()
+    rows = training_windows(templates).unionByName(corpus_windows(docs, id_column, text_column, sample))
+    rows = counter.transform(rows.withColumn("label", number)).select("family", "label", "features", "kept_out").repartition(FIT_TASKS).cache()
     # every class weighs by its prior, however many windows it has
     share = F.when(F.col("family") == NONE, F.lit(PRIORS[0])).when(F.col("family") == UNKNOWN, F.lit(PRIORS[1])).otherwise(F.lit(PRIORS[2] / len(TEMPLATES)))
     fit_on = rows.filter("not kept_out")
@@ -126,40 +133,46 @@ def fitted(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame
     return table, [float(b) for b in model.interceptVector.toArray()], classes, level
 
 
-def licence_segments(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(row, id, quick, paragraph, segment, family, probability) of the segments that hold a licence, known or not.
+def licence_segments(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = CORPUS_SAMPLE) -> DataFrame:
+    """(row, id, quick, paragraph, segment, family, probability, containment) of the segments that hold a licence, known or not.
 
     ``row`` only tells equal rows apart, so that their n-grams are not added up.
     """
-    weights, intercepts, classes, level = fitted(docs, id_column, text_column)
+    weights, intercepts, classes, level = fitted(docs, id_column, text_column, sample)
     parts = segments(docs, id_column, text_column)
     # the last segment words reach two words into the next one, so that no n-gram is cut
-    grams = parts.select("row", "id", "quick", "paragraph", "segment", F.explode(F.array_distinct(grams_of(F.col("words")))).alias("gram"))
+    grams = parts.select("row", "id", "quick", "paragraph", "segment", F.array_distinct(grams_of(F.col("words"))).alias("all"))
+    grams = grams.select("row", "id", "quick", "paragraph", "segment", F.size("all").alias("n_grams"), F.explode("all").alias("gram"))
     # the weights are as many as the templates' n-grams, whatever the corpus
     met = grams.join(F.broadcast(weights), "gram")
     sums = [F.sum(F.col("weights")[k]).alias(f"w{k}") for k in range(len(classes))]
     wording = F.sum((~F.array_contains("families", NONE)).cast("int")).alias("wording")
     counts = [F.sum((F.col("families") == F.array(F.lit(c))).cast("int")).alias(f"c{k}") for k, c in enumerate(classes)]
-    summed = met.groupBy("row", "id", "quick", "paragraph", "segment").agg(*sums, *counts, wording)
+    summed = met.groupBy("row", "id", "quick", "paragraph", "segment", "n_grams").agg(*sums, *counts, wording)
     raw = F.array(*[F.col(f"w{k}") + F.lit(b) for k, b in enumerate(intercepts)])
     scored = summed.withColumn("raw", raw).withColumn("top", F.array_max("raw"))
     scored = scored.withColumn("e", F.transform("raw", lambda x: F.exp(x - F.col("top"))))
     scored = scored.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x))
     scored = scored.withColumn("p", F.transform("e", lambda x: x / F.col("total"))).withColumn("best", F.array_max(F.slice("p", 3, len(classes) - 2)))
-    found = scored.filter(F.col("p")[0] < 0.5).withColumn("k", F.array_position(F.slice("p", 3, len(classes) - 2), F.col("best")).cast("int"))
-    held = F.element_at(F.array(*[F.col(f"c{k}") for k in range(2, len(classes))]), F.col("k"))
+    scored = scored.withColumn("own", F.array(*[F.col(f"c{k}") for k in range(2, len(classes))])).withColumn("most", F.array_max("own"))
+    scored = scored.withColumn("containment", F.col("most") / F.col("n_grams"))
+    scored = scored.withColumn("contained", (F.col("containment") >= CONTAINED) & (F.col("most") >= CONTAINED_GRAMS))
+    likeliest = F.array_position(F.slice("p", 3, len(classes) - 2), F.col("best"))
+    found = scored.filter((F.col("p")[0] < 0.5) | F.col("contained"))
+    found = found.withColumn("k", F.when(F.col("contained"), F.array_position("own", F.col("most"))).otherwise(likeliest).cast("int"))
     family = F.element_at(F.array(*[F.lit(c) for c in classes[2:]]), F.col("k"))
-    known = (F.col("best") >= level) & (F.col("best") >= F.col("p")[1]) & (held >= OWN_GRAMS)
+    known = F.col("contained") | ((F.col("best") >= level) & (F.col("best") >= F.col("p")[1]) & (F.element_at("own", F.col("k")) >= OWN_GRAMS))
     found = found.filter(known | (F.col("wording") >= LICENCE_GRAMS))
+    probability = F.when(F.col("contained"), F.greatest(F.element_at("p", F.col("k") + 2), "containment")).otherwise(F.col("best"))
     return found.select(
         "row", "id", "quick", "paragraph", "segment", F.when(known, family).otherwise(F.lit(UNKNOWN)).alias("family"),
-        F.when(known, F.col("best")).otherwise(1 - F.col("p")[0]).alias("probability"),
+        F.when(known, probability).otherwise(1 - F.col("p")[0]).alias("probability"), "containment",
     )
 
 
-def licence_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def licence_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = CORPUS_SAMPLE) -> DataFrame:
     """One row per document: id, license (the likeliest, a known one before unknown, or none), probability, licenses, n_segments."""
-    found = licence_segments(docs, id_column, text_column)
+    found = licence_segments(docs, id_column, text_column, sample)
     best = F.max(F.struct((F.col("family") != UNKNOWN).alias("known"), "probability", F.col("family").alias("family")))
     told = found.groupBy("id", "quick").agg(
         best.alias("best"), F.sort_array(F.collect_set("family")).alias("licenses"),

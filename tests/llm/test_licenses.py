@@ -70,3 +70,12 @@ def test_license_lines_of_the_documents(documents):
     got = {r.doc_id: r.license for r in licenses.licence_scan(documents).collect()}
     for r in documents.collect():
         assert got[r.doc_id] == next((f for x, f in lines.items() if x in r.text.lower()), "none")
+
+
+def test_every_paragraph_of_a_licence_gets_its_family(frame):
+    """Body paragraphs, the warranties among them, as they stand in a file: wrapped in other text and in capitals as given."""
+    paragraphs = [(family, text) for family, texts in licenses.TEMPLATES.items() for text in texts]
+    rows = [(i, f"Some words of a page.\n{text}\nMore words of a page.") for i, (_, text) in enumerate(paragraphs)]
+    got = {r.doc_id: r.license for r in licenses.licence_scan(frame(rows)).collect()}
+    wrong = [(family, got[i], text) for i, (family, text) in enumerate(paragraphs) if got[i] != family]
+    assert not wrong, wrong
