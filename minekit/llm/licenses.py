@@ -9,8 +9,8 @@ confirm it, that is hold n-grams of the segment that no other family has; else i
 which stands in the templates of one family and of no other (its containment) is of that family whatever the classifier
 says, with its containment for a probability if that is higher.
 
-Scoring explodes the n-grams, joins them with the weights (as many rows as the templates have n-grams) and sums per
-segment, so only n-grams of the templates are shuffled.
+Scoring explodes the n-grams that the templates have, joins them with the weights (as many rows as the templates have
+n-grams) and sums per segment, so only n-grams of the templates are shuffled.
 
 Defined cases: a null or empty text has no segments and no licence; repeated rows get equal rows, the one that a single
 row would get; of families with
@@ -60,6 +60,23 @@ def grams_of(words: Column) -> Column:
     return F.concat(F.slice(pair, 1, F.greatest(n - 1, F.lit(0))), F.slice(triple, 1, F.greatest(n - 2, F.lit(0))))
 
 
+def known_grams_of(words: Column, vocabulary: list[str]) -> Column:
+    """The different pairs and triples of ``words`` that the vocabulary holds; strings are built only where its words meet."""
+    pairs = [g for g in vocabulary if g.count(" ") == 1]
+    triples = [g for g in vocabulary if g.count(" ") == 2]
+    starts, nexts = (sorted({p.split(" ")[k] for p in pairs}) for k in (0, 1))
+
+    def pair(i: Column) -> Column:
+        return F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
+
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    near = F.filter(at, lambda i: F.get(words, i).isin(starts) & F.get(words, i + 1).isin(nexts))
+    # every pair of a triple of the templates is a pair of theirs
+    met = F.filter(near, lambda i: pair(i).isin(pairs))
+    longer = F.filter(F.transform(met, lambda i: F.concat_ws(" ", pair(i), F.get(words, i + 2))), lambda t: t.isin(triples))
+    return F.array_distinct(F.concat(F.transform(met, pair), longer))
+
+
 def constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of fixed rows, as one literal."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -85,12 +102,15 @@ def training_windows(templates: DataFrame) -> DataFrame:
 
 def segments(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(row, id, quick, paragraph, segment, words) of every paragraph with a word; equal rows have numbers of their own."""
+    # outer explodes, and no filter on computed words: Spark would compute the split once more below the filter
     text = text_of(text_column)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), text.alias("text"))
-    paragraphs = rows.select("row", "id", F.xxhash64("text").alias("quick"), F.posexplode(F.split("text", r"[\r\n]+")).alias("paragraph", "p"))
-    worded = paragraphs.select("row", "id", "quick", "paragraph", words_of(F.col("p")).alias("words")).filter(F.size("words") > 0)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT).cast("int")), lambda i: F.slice(F.col("words"), i * SEGMENT + 1, F.lit(SEGMENT + 2)))
-    return worded.select("row", "id", "quick", "paragraph", F.posexplode(parts).alias("segment", "words"))
+    paragraphs = rows.select("row", "id", F.xxhash64("text").alias("quick"), F.posexplode_outer(F.split("text", r"[\r\n]+")).alias("paragraph", "p"))
+    worded = paragraphs.select("row", "id", "quick", "paragraph", words_of(F.col("p")).alias("words"))
+    n = F.size("words")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SEGMENT).cast("int")), lambda i: F.slice(F.col("words"), i * SEGMENT + 1, F.lit(SEGMENT + 2)))
+    told = worded.select("row", "id", "quick", "paragraph", F.posexplode_outer(F.when(n > 0, parts)).alias("segment", "words"))
+    return told.filter(F.col("words").isNotNull())
 
 
 def corpus_windows(docs: DataFrame, id_column: str, text_column: str, sample: int) -> DataFrame:
@@ -104,8 +124,8 @@ def corpus_windows(docs: DataFrame, id_column: str, text_column: str, sample: in
     return parts.filter(~legal).select(F.lit(NONE).alias("family"), grams_of(F.col("words")).alias("grams"), F.lit(False).alias("kept_out"))
 
 
-def fitted(docs: DataFrame, id_column: str, text_column: str, sample: int) -> tuple[DataFrame, list[float], list[str], float]:
-    """Weights per n-gram with the families whose templates hold it, intercepts, classes, calibrated level."""
+def fitted(docs: DataFrame, id_column: str, text_column: str, sample: int) -> tuple[DataFrame, list[str], list[float], list[str], float]:
+    """Weights per n-gram with the families whose templates hold it, n-grams, intercepts, classes, calibrated level."""
     spark = docs.sparkSession
     templates = template_rows(spark)
     classes = [NONE, UNKNOWN, *TEMPLATES]
@@ -130,7 +150,7 @@ def fitted(docs: DataFrame, id_column: str, text_column: str, sample: int) -> tu
     matrix = model.coefficientMatrix.toArray()
     weights = [(gram, [float(w) for w in matrix[:, k]], grams[gram]) for k, gram in enumerate(vocabulary)]
     table = constant(spark, weights, "gram string, weights array<double>, families array<string>")
-    return table, [float(b) for b in model.interceptVector.toArray()], classes, level
+    return table, vocabulary, [float(b) for b in model.interceptVector.toArray()], classes, level
 
 
 def licence_segments(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample: int = CORPUS_SAMPLE) -> DataFrame:
@@ -138,11 +158,11 @@ def licence_segments(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
     ``row`` only tells equal rows apart, so that their n-grams are not added up.
     """
-    weights, intercepts, classes, level = fitted(docs, id_column, text_column, sample)
+    weights, vocabulary, intercepts, classes, level = fitted(docs, id_column, text_column, sample)
     parts = segments(docs, id_column, text_column)
     # the last segment words reach two words into the next one, so that no n-gram is cut
-    grams = parts.select("row", "id", "quick", "paragraph", "segment", F.array_distinct(grams_of(F.col("words"))).alias("all"))
-    grams = grams.select("row", "id", "quick", "paragraph", "segment", F.size("all").alias("n_grams"), F.explode("all").alias("gram"))
+    n_grams = F.greatest(2 * F.size("words") - 3, F.lit(1)).alias("n_grams")
+    grams = parts.select("row", "id", "quick", "paragraph", "segment", n_grams, F.explode_outer(known_grams_of(F.col("words"), vocabulary)).alias("gram"))
     # the weights are as many as the templates' n-grams, whatever the corpus
     met = grams.join(F.broadcast(weights), "gram")
     sums = [F.sum(F.col("weights")[k]).alias(f"w{k}") for k in range(len(classes))]
