@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from minekit.functions import special
 from minekit.functions.expr import literal_frame, ratio
 from minekit.lineage import cut, number_rows, steady_layout
-from minekit.operators import space
+from minekit.operators import network, space
 from minekit.operators.clean import drop_incomplete, filter_not_in
 from minekit.operators.profile import contingency_table, quantiles_wide
 
@@ -445,6 +445,21 @@ def tuned_predict(folded: DataFrame, test: DataFrame, key: str, cols, label: str
     return predict(model, classes, test, key, cols).withColumn("model", F.lit(chosen)).select(key, "model", "predicted")
 
 
+def network_metrics(folded: DataFrame, cols, label: str, fold: str, grid: dict, **settings) -> DataFrame:
+    """Accuracy and kappa of every size and decay per fold, all fits in shared passes: ``(model, fold, metric, value)``."""
+    classes = class_codes(folded, label)
+    return metrics_from_cells(cut(network.network_cv(folded, cols, label, classes, fold, grid, **settings)))
+
+
+def tuned_network(folded: DataFrame, test: DataFrame, key: str, cols, label: str, fold: str, grid: dict, **settings) -> DataFrame:
+    """Choose size and decay on the folds, refit on all training rows: ``(key, model, predicted)``."""
+    chosen = best_candidate(network_metrics(folded, cols, label, fold, grid, **settings), list(grid)).first()["model"]
+    classes = class_codes(folded, label)
+    fitted = network.fit_networks(folded, cols, label, classes, [network.Network(chosen, *grid[chosen])], **settings)
+    out = network.network_predict(fitted[0], classes, test, key, cols)
+    return out.withColumn("model", F.lit(chosen)).select(key, "model", "predicted")
+
+
 def compare_models(metrics: DataFrame) -> DataFrame:
     """Six-number summary of every metric per model over the folds."""
     by = ["model", "metric"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from minekit.functions.expr import ratio, rounded
 from minekit.functions.names import BOUNDARY_NAME_RULES, ENTITY_NAME_RULES, apply_rules, strip_suffix
-from minekit.operators import classify, joins
+from minekit.operators import classify, joins, network
 from minekit.plans import views
 from minekit.plans.registry import query
 from minekit.plans.views import with_views
@@ -192,6 +192,24 @@ def q_tune_network(spark, sf):
     return classify.tune_grid(folded, "entity_key", FEATURES, "risk", "fold", MLP_GRID)
 
 
+# five hidden sizes by five weight decays
+DECAY_GRID = network.network_grid((1, 3, 5, 7, 9), (0.0, 0.0001, 0.001, 0.01, 0.1))
+
+
+@query("tune_network_decay")
+def q_tune_network_decay(spark, sf):
+    train, _ = split(spark, sf)
+    folded = classify.stratified_folds(train, "entity_key", "risk", 10, seed=1000)
+    return classify.network_metrics(folded, FEATURES, "risk", "fold", DECAY_GRID)
+
+
+@query("predict_tuned_network")
+def q_predict_tuned_network(spark, sf):
+    train, test = split(spark, sf)
+    folded = classify.stratified_folds(train, "entity_key", "risk", 10, seed=1000)
+    return classify.tuned_network(folded, test, "entity_key", FEATURES, "risk", "fold", DECAY_GRID)
+
+
 @query("predict_all")
 def q_predict_all(spark, sf):
     train, test = split(spark, sf)
