@@ -67,7 +67,7 @@ def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_language_model")
 def language_model(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.language_model_scores(table(spark, folder, "documents"))
+    return scoring.language_model_scores(table(spark, folder, "documents"), order=3)
 
 
 @query("op8_decontamination")

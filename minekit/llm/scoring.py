@@ -1,19 +1,26 @@
-"""Language-model scores from a weighted backoff automaton over n-grams.
+"""Language-model scores from a weighted backoff automaton over n-grams of a given order.
 
-A state is the last word (at the start, the end mark). A word pair seen in training is an arc with the smoothed
-probability ``(c(v w) + mass * p(w)) / (c(v) + mass)``; any other word is read over the state's failure arc, which
-weighs ``mass / (c(v) + mass)`` and leads to the root, where ``p(w) = (c(w) + 1) / (N + V + 1)``. Over all words, a
-spare one for the unknown included, the probabilities of a state add up to one. One pass from left to right carries
-the state and adds log10 of what it crosses.
+A state is a history of up to ``order - 1`` tokens that training has seen; the root is the empty one, and a text
+starts in the state of the end mark. An n-gram ``h w`` seen in training is an arc from the state ``h`` with the
+smoothed probability ``(c(h w) + mass * p(w | h')) / (c(h) + mass)``, where ``h'`` is ``h`` without its first token; it
+leads to the longest state that ends the n-gram. Any other word is read over the state's failure arc, which weighs
+``mass / (c(h) + mass)`` and leads to the state ``h'``, and so on down to the root, where ``p(w) = (c(w) + 1) / (N + V
++ 1)``. Over all words, a spare one for the unknown included, the probabilities of a state add up to one.
+
+A text is read once from left to right. The state carried into a place is the longest one that the arc before it
+ends with, so the states of all places of a block are laid out along its texts as one array; places whose state
+lacks the arc then follow failure arcs, together, one step at a time.
 
 The counts are those of the whole training part and so grow with it; no task holds them all. Documents are dealt to
-blocks of bounded text. A block lists its distinct words and pairs with its own training counts, in parts by hash;
-each part adds up the counts of all blocks and sends back to a block only the totals that differ from the block's
-own count. With these, the block builds the part of the automaton that its texts can reach, and scores them.
+blocks of bounded text. A block lists its distinct n-grams with its own training counts, in parts by hash; each
+part adds up the counts of all blocks and sends back what the other blocks add to each n-gram, in the order of the
+block's list and so without the keys. With these, the block builds the part of the automaton that its texts can
+reach, and scores them.
 
 Defined cases: a null or empty text is the end mark alone; a null id is in the training part; repeated rows are
 counted and scored each; without training rows N and V are 0 and every probability is that of an unknown word; an
-empty table gives no rows; further columns are not read. Words and pairs are told apart by 64-bit hashes.
+empty table gives no rows; further columns are not read; a text longer than a block makes a block of its own size.
+N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,8 +36,8 @@ from minekit.llm.words import ODD_A, hashed_words, mixed
 
 #: Strength of the unigram prior, in tokens.
 MASS = 400.0
-#: Characters of a block, and hashed words or pairs of a part, both on average.
-BLOCK_CHARS, PART_KEYS = 12_000_000, 2_000_000
+#: Characters of a block, and hashed n-grams of a part at two for each token, both on average.
+BLOCK_CHARS, PART_KEYS = 8_000_000, 2_000_000
 END = np.uint64(0xE0D0F7E870000001)
 WORD_SALT, PAIR_SALT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -39,25 +46,100 @@ def token_hashes(text: str) -> np.ndarray:
     return np.append(hashed_words(text), END)
 
 
-def keys_of(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words, and of the pairs that end with them; a document starts after an end mark."""
-    before = np.concatenate([[END], tokens[:-1]])
+def keys_of(tokens: np.ndarray, places: np.ndarray, order: int) -> list[np.ndarray]:
+    """Keys of the n-grams of each length that end at every token; a document starts after one end mark.
+
+    ``places`` are the tokens' places in their documents. The n-gram of length k is there from place ``k - 2`` on.
+    """
+    keys = [mixed(tokens ^ WORD_SALT)]
     with np.errstate(over="ignore"):
-        return mixed(tokens ^ WORD_SALT), mixed((before * ODD_A) ^ tokens ^ PAIR_SALT)
+        for _ in range(1, order):
+            # the token before a document is the end mark of the one before
+            first = mixed(np.array([END ^ WORD_SALT])) if len(keys) == 1 else np.zeros(1, dtype=np.uint64)
+            before = np.concatenate([first, keys[-1][:-1]])
+            keys.append(mixed((before * ODD_A) ^ tokens ^ PAIR_SALT))
+    return [key[places >= k - 1] for k, key in enumerate(keys)]
 
 
 class Block:
-    """The distinct keys of a block of documents and how often its training documents have each."""
+    """The distinct keys of a block of documents and how often its training documents have each.
+
+    ``grams[k]`` holds, for every token, the number of the key of the n-gram of ``k + 1`` tokens that ends there, or -1.
+    """
 
-    def __init__(self, docs: pd.DataFrame) -> None:
+    def __init__(self, docs: pd.DataFrame, order: int) -> None:
         tokens = [token_hashes(text) for text in docs["text"]]
         self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         flat = np.concatenate(tokens)
+        self.places = np.arange(len(flat)) - np.repeat(self.starts, self.lengths)
         trained = np.repeat(docs["train"].to_numpy(dtype=bool), self.lengths)
-        words, pairs = keys_of(flat)
-        self.keys, where = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-        self.own = np.bincount(where[np.concatenate([trained, trained])], minlength=len(self.keys)).astype(np.int64)
-        self.words, self.pairs = where[: len(flat)], where[len(flat) :]
+        listed = keys_of(flat, self.places, order)
+        self.keys, where = np.unique(np.concatenate(listed), return_inverse=True)
+        there = [self.places >= k - 1 for k in range(order)]
+        self.own = np.bincount(where[np.concatenate([trained[t] for t in there])], minlength=len(self.keys)).astype(np.int64)
+        self.grams = []
+        for key, t in zip(np.split(where, np.cumsum([len(x) for x in listed])[:-1]), there):
+            gram = np.full(len(flat), -1, dtype=np.int64)
+            gram[t] = key
+            self.grams.append(gram)
+
+    def by_part(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each part that has keys of the block, with the numbers of these keys in order."""
+        part = (self.keys % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts + 1))
+        for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            if b > a:
+                yield p, order[a:b]
+
+
+class Automaton:
+    """The states, arcs and failure arcs that the texts of a block can reach; all are numbered like its keys.
+
+    ``arc`` is the log10 probability of the last token of an n-gram after the others, ``failure`` the log10 weight
+    of the failure arc of the state that the n-gram is as a history.
+    """
+
+    def __init__(self, block: Block, count: np.ndarray, size: int, mass: float) -> None:
+        self.block, self.count = block, count
+        self.failure = np.log10(mass / (count + mass))
+        weight = np.empty(len(count))
+        words = block.grams[0]
+        weight[words] = (count[words] + 1) / size
+        for k in range(1, len(block.grams)):
+            at = np.flatnonzero(block.grams[k] >= 0)
+            gram, shorter, history = block.grams[k][at], block.grams[k - 1][at], self.history(k)[at]
+            weight[gram] = (count[gram] + mass * weight[shorter]) / (count[history] + mass)
+        self.arc = np.log10(weight)
+
+    def history(self, length: int) -> np.ndarray:
+        """The key of the ``length`` tokens before every token, or -1; a document starts after one end mark."""
+        gram, block = self.block.grams[length - 1], self.block
+        # every document ends with the end mark, so the last token is one
+        before = np.concatenate([gram[-1:], gram[:-1]])
+        return before if length == 1 else np.where(block.places > 0, before, -1)
+
+    def scores(self) -> np.ndarray:
+        """Of every token, the log10 weight of the arcs that read it."""
+        grams, block = self.block.grams, self.block
+        order = len(grams)
+        # tokens of the longest n-gram in training that ends at each place, and of the state carried into the place
+        matched = np.zeros(len(block.places), dtype=np.int64)
+        for k, gram in enumerate(grams):
+            matched[(gram >= 0) & (self.count[gram] > 0)] = k + 1
+        state = np.minimum(np.concatenate([[0], matched[:-1]]), order - 1)
+        state[block.starts] = min(order - 1, int(self.count[grams[0][-1]] > 0))
+        out = np.zeros(len(matched))
+        for length in range(order - 1, 0, -1):
+            # the state lacks the arc: over its failure arc to the next shorter one
+            fails = np.flatnonzero((state == length) & (matched <= length))
+            out[fails] += self.failure[self.history(length)[fails]]
+            state[fails] = length - 1
+        for length in range(order):
+            reads = np.flatnonzero(state == length)
+            out[reads] += self.arc[grams[length][reads]]
+        return out
 
 
 def shortened(values: np.ndarray, planes: bool) -> bytes:
@@ -92,24 +174,17 @@ def unpacked_counts(data: bytes) -> np.ndarray:
     return lengthened(data, planes=True).astype(np.int64)
 
 
-def listed(parts: int):
+def listed(parts: int, order: int):
     def run(docs: pd.DataFrame) -> pd.DataFrame:
-        block = Block(docs)
-        part = (block.keys % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(parts + 1))
-        number = int(docs["block"].iloc[0])
-        rows = []
-        for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-            if b > a:
-                rows.append((p, number, packed_keys(block.keys[order[a:b]], parts), packed_counts(block.own[order[a:b]])))
+        block, number = Block(docs, order), int(docs["block"].iloc[0])
+        rows = [(p, number, packed_keys(block.keys[own], parts), packed_counts(block.own[own])) for p, own in block.by_part(parts)]
         return pd.DataFrame(rows, columns=["part", "block", "keys", "counts"])
 
     return run
 
 
 def added_up(parts: int):
-    """Totals over all blocks, sent back where they differ from the block's own count."""
+    """What the other blocks add to each key of a block, in the order of its list."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         part = int(group["part"].iloc[0])
@@ -118,40 +193,29 @@ def added_up(parts: int):
         ends = np.cumsum([len(k) for k in keys])
         _, where = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(where, np.concatenate(counts)).astype(np.int64)[where]
-        rows = []
-        for block, own_keys, own, end in zip(group["block"], keys, counts, ends):
-            total = totals[end - len(own) : end]
-            more = total != own
-            rows.append((int(block), part, packed_keys(own_keys[more], parts), packed_counts(total[more])))
-        return pd.DataFrame(rows, columns=["of", "part", "keys", "totals"])
+        rows = [(int(block), part, packed_counts(totals[end - len(own) : end] - own)) for block, own, end in zip(group["block"], counts, ends)]
+        return pd.DataFrame(rows, columns=["of", "part", "more"])
 
     return run
 
 
-def scored(train_tokens: int, train_words: int, mass: float, parts: int):
+def scored(train_tokens: int, train_words: int, mass: float, parts: int, order: int):
     size = train_tokens + train_words + 1
 
-    def run(docs: pd.DataFrame, totals: pd.DataFrame) -> pd.DataFrame:
+    def run(docs: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         columns = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if docs.empty:
             return pd.DataFrame(columns=columns)
-        block = Block(docs)
+        block, more = Block(docs, order), dict(zip(others["part"], others["more"]))
         count = block.own.copy()
-        for part, keys, total in zip(totals["part"], totals["keys"], totals["totals"]):
-            count[np.searchsorted(block.keys, unpacked_keys(keys, int(part), parts))] = unpacked_counts(total)
-        starts = np.concatenate([[0], np.cumsum(block.lengths)[:-1]])
-        words, pairs = count[block.words], count[block.pairs]
-        root = (words + 1) / size
-        # the state before a token: the token before it, or the end mark that every document has last
-        last = block.words[starts[0] + block.lengths[0] - 1]
-        state = np.concatenate([[last], block.words[:-1]])
-        context = count[state]
-        failure = mass / (context + mass)
-        arc = np.where(pairs > 0, (pairs + mass * root) / (context + mass), failure * root)
+        for part, own in block.by_part(parts):
+            count[own] += unpacked_counts(more[part])
+        words = count[block.grams[0]]
         return pd.DataFrame({
             "id": docs["id"], "held_out": docs["held_out"], "n_tokens": block.lengths,
-            "n_known": np.add.reduceat((words > 0).astype(np.int64), starts),
-            "base_score": np.add.reduceat(np.log10(root), starts), "score": np.add.reduceat(np.log10(arc), starts),
+            "n_known": np.add.reduceat((words > 0).astype(np.int64), block.starts),
+            "base_score": np.add.reduceat(np.log10((words + 1) / size), block.starts),
+            "score": np.add.reduceat(Automaton(block, count, size, mass).scores(), block.starts),
         })
 
     return run
@@ -188,15 +252,18 @@ def union_size(parts: int):
 
 
 def language_model_scores(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", mass: float = MASS, block_chars: int = BLOCK_CHARS, part_keys: int = PART_KEYS
-) -> DataFrame:
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", mass: float = MASS, block_chars: int = BLOCK_CHARS,
+    part_keys: int = PART_KEYS, order: int = 2,
+) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    if order < 1:
+        raise ValueError("order must be 1 or more")
     spark = docs.sparkSession
     bounded_batches(spark)
     id_type, text = docs.schema[id_column].dataType, text_of(text_column)
     chars = docs.agg(F.sum(F.length(text).cast("long") + 1)).first()[0] or 0
-    # words have some six characters, and hardly more than one word and one pair of them is new to its block
-    blocks, parts = max(1, -(-chars // block_chars)), max(1, -(-chars // (6 * part_keys)))
+    # words have some six characters, and hardly more than one n-gram of each length is new to its block at a token
+    blocks, parts = max(1, -(-chars // block_chars)), max(1, -(-chars * order // (12 * part_keys)))
     held_out = remainder(id_column, 7) == 2
     rows = docs.select(
         F.col(id_column).cast("string").alias("id"), held_out.alias("held_out"), (~held_out).alias("train"), text.alias("text"),
@@ -205,10 +272,10 @@ def language_model_scores(
     words = rows.filter("train").select("text").mapInPandas(distinct_words(parts), "part int, keys binary, tokens long")
     size = words.groupBy("part").applyInPandas(union_size(parts), "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
     train_words, train_tokens = (size[0] or 0), (size[1] or 0)
-    lists = rows.groupBy("block").applyInPandas(listed(parts), "part int, block int, keys binary, counts binary")
-    totals = lists.groupBy("part").applyInPandas(added_up(parts), "of int, part int, keys binary, totals binary")
+    lists = rows.groupBy("block").applyInPandas(listed(parts, order), "part int, block int, keys binary, counts binary")
+    others = lists.groupBy("part").applyInPandas(added_up(parts), "of int, part int, more binary")
     schema = "id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = rows.groupBy("block").cogroup(totals.groupBy("of")).applyInPandas(scored(train_tokens, train_words, mass, parts), schema)
+    out = rows.groupBy("block").cogroup(others.groupBy("of")).applyInPandas(scored(train_tokens, train_words, mass, parts, order), schema)
     return out.select(
         F.col("id").cast(id_type).alias(id_column), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"),
         "base_score", "score",
