@@ -29,7 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.functions import pandas_udf
 
 from minekit.llm.common import bounded_batches, remainder, text_of
 from minekit.llm.words import ODD_A, hashed_words, mixed
@@ -37,7 +39,7 @@ from minekit.llm.words import ODD_A, hashed_words, mixed
 #: Strength of the unigram prior, in tokens.
 MASS = 400.0
 #: Characters of a block, and hashed n-grams of a part at two for each token, both on average.
-BLOCK_CHARS, PART_KEYS = 8_000_000, 2_000_000
+BLOCK_CHARS, PART_KEYS = 12_000_000, 2_000_000
 END = np.uint64(0xE0D0F7E870000001)
 WORD_SALT, PAIR_SALT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -142,41 +144,58 @@ class Automaton:
         return out
 
 
-def shortened(values: np.ndarray, planes: bool) -> bytes:
-    """The bytes of numbers without the leading zero bytes that all have; by planes, equal bytes stand together."""
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def squeezed_texts(texts: pd.Series) -> pd.Series:
+    """Texts as they go to their blocks, in fewer bytes than the exchange itself would take."""
+    return texts.map(lambda text: squeezed(text.encode()))
+
+
+def with_texts(docs: pd.DataFrame) -> pd.DataFrame:
+    return docs.assign(text=docs["text"].map(lambda data: opened(data).decode()))
+
+
+def shortened(values: np.ndarray) -> bytes:
+    """The bytes of numbers without the leading zero bytes that all have; bytes of one rank stand together."""
     width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
     table = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + (table.T if planes else table).tobytes()
+    return squeezed(bytes([width]) + table.T.tobytes())
 
 
-def lengthened(data: bytes, planes: bool) -> np.ndarray:
-    width = data[0]
-    table = np.frombuffer(data, dtype=np.uint8, offset=1)
+def lengthened(data: bytes) -> np.ndarray:
+    data = opened(data)
+    width, table = data[0], np.frombuffer(data, dtype=np.uint8, offset=1)
     out = np.zeros((len(table) // width, 8), dtype=np.uint8)
-    out[:, :width] = table.reshape(width, -1).T if planes else table.reshape(-1, width)
+    out[:, :width] = table.reshape(width, -1).T
     return out.view("<u8").ravel()
 
 
 def packed_keys(keys: np.ndarray, parts: int) -> bytes:
     """Sorted keys of one part as the steps between them; their remainder is the part's number."""
-    return shortened(np.diff(keys // np.uint64(parts), prepend=np.uint64(0)), planes=False)
+    return shortened(np.diff(keys // np.uint64(parts), prepend=np.uint64(0)))
 
 
 def unpacked_keys(data: bytes, part: int, parts: int) -> np.ndarray:
-    return np.cumsum(lengthened(data, planes=False), dtype=np.uint64) * np.uint64(parts) + np.uint64(part)
+    return np.cumsum(lengthened(data), dtype=np.uint64) * np.uint64(parts) + np.uint64(part)
 
 
 def packed_counts(counts: np.ndarray) -> bytes:
-    return shortened(counts, planes=True)
+    return shortened(counts)
 
 
 def unpacked_counts(data: bytes) -> np.ndarray:
-    return lengthened(data, planes=True).astype(np.int64)
+    return lengthened(data).astype(np.int64)
 
 
 def listed(parts: int, order: int):
     def run(docs: pd.DataFrame) -> pd.DataFrame:
-        block, number = Block(docs, order), int(docs["block"].iloc[0])
+        block, number = Block(with_texts(docs), order), int(docs["block"].iloc[0])
         rows = [(p, number, packed_keys(block.keys[own], parts), packed_counts(block.own[own])) for p, own in block.by_part(parts)]
         return pd.DataFrame(rows, columns=["part", "block", "keys", "counts"])
 
@@ -206,7 +225,7 @@ def scored(train_tokens: int, train_words: int, mass: float, parts: int, order:
         columns = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if docs.empty:
             return pd.DataFrame(columns=columns)
-        block, more = Block(docs, order), dict(zip(others["part"], others["more"]))
+        block, more = Block(with_texts(docs), order), dict(zip(others["part"], others["more"]))
         count = block.own.copy()
         for part, own in block.by_part(parts):
             count[own] += unpacked_counts(more[part])
@@ -265,11 +284,12 @@ def language_model_scores(
     # words have some six characters, and hardly more than one n-gram of each length is new to its block at a token
     blocks, parts = max(1, -(-chars // block_chars)), max(1, -(-chars * order // (12 * part_keys)))
     held_out = remainder(id_column, 7) == 2
+    train = docs.filter(~held_out).select(text.alias("text"))
+    words = train.mapInPandas(distinct_words(parts), "part int, keys binary, tokens long")
     rows = docs.select(
-        F.col(id_column).cast("string").alias("id"), held_out.alias("held_out"), (~held_out).alias("train"), text.alias("text"),
+        F.col(id_column).cast("string").alias("id"), held_out.alias("held_out"), (~held_out).alias("train"), pandas_udf(squeezed_texts, "binary")(text).alias("text"),
         F.pmod(F.xxhash64(id_column, text_column), F.lit(blocks)).cast("int").alias("block"),
     )
-    words = rows.filter("train").select("text").mapInPandas(distinct_words(parts), "part int, keys binary, tokens long")
     size = words.groupBy("part").applyInPandas(union_size(parts), "words long, tokens long").agg(F.sum("words"), F.sum("tokens")).first()
     train_words, train_tokens = (size[0] or 0), (size[1] or 0)
     lists = rows.groupBy("block").applyInPandas(listed(parts, order), "part int, block int, keys binary, counts binary")
