@@ -39,7 +39,7 @@ from minekit.llm.words import ODD_A, hashed_words, mixed
 #: Strength of the unigram prior, in tokens.
 MASS = 400.0
 #: Characters of a block, and hashed n-grams of a part at two for each token, both on average.
-BLOCK_CHARS, PART_KEYS = 12_000_000, 2_000_000
+BLOCK_CHARS, PART_KEYS = 10_000_000, 2_000_000
 END = np.uint64(0xE0D0F7E870000001)
 WORD_SALT, PAIR_SALT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -63,38 +63,64 @@ def keys_of(tokens: np.ndarray, places: np.ndarray, order: int) -> list[np.ndarr
     return [key[places >= k - 1] for k, key in enumerate(keys)]
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    # counts make numpy sort, which is many times faster here than its hash table
+    return np.unique(keys, return_counts=True)[0]
+
+
+def split_tokens(docs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of all texts in a row, their places in the texts, and whether their text is for training."""
+    tokens = [token_hashes(text) for text in docs["text"]]
+    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+    flat = np.concatenate(tokens)
+    places = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return flat, places, np.repeat(docs["train"].to_numpy(dtype=bool), lengths)
+
+
+def distinct_keys(docs: pd.DataFrame, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a block, in order, and how often its training documents have each."""
+    flat, places, trained = split_tokens(docs)
+    listed = keys_of(flat, places, order)
+    learnt, counts = np.unique(np.concatenate([key[trained[places >= k - 1]] for k, key in enumerate(listed)]), return_counts=True)
+    keys = distinct(np.concatenate(listed))
+    own = np.zeros(len(keys), dtype=np.int64)
+    own[np.searchsorted(keys, learnt)] = counts
+    return keys, own
+
+
+def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that has some of the keys, with the numbers of these keys in order."""
+    part = (keys % np.uint64(parts)).astype(np.min_scalar_type(parts))
+    order = np.argsort(part, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+    for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+        if b > a:
+            yield p, order[a:b]
+
+
 class Block:
-    """The distinct keys of a block of documents and how often its training documents have each.
+    """The n-grams of a block of documents: its distinct keys and how often its training documents have each.
 
     ``grams[k]`` holds, for every token, the number of the key of the n-gram of ``k + 1`` tokens that ends there, or -1.
     """
 
     def __init__(self, docs: pd.DataFrame, order: int) -> None:
-        tokens = [token_hashes(text) for text in docs["text"]]
-        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        flat = np.concatenate(tokens)
-        self.places = np.arange(len(flat)) - np.repeat(self.starts, self.lengths)
-        trained = np.repeat(docs["train"].to_numpy(dtype=bool), self.lengths)
+        flat, self.places, trained = split_tokens(docs)
+        self.starts = np.flatnonzero(self.places == 0)
+        self.lengths = np.diff(self.starts, append=len(flat))
         listed = keys_of(flat, self.places, order)
-        self.keys, where = np.unique(np.concatenate(listed), return_inverse=True)
-        there = [self.places >= k - 1 for k in range(order)]
-        self.own = np.bincount(where[np.concatenate([trained[t] for t in there])], minlength=len(self.keys)).astype(np.int64)
-        self.grams = []
-        for key, t in zip(np.split(where, np.cumsum([len(x) for x in listed])[:-1]), there):
-            gram = np.full(len(flat), -1, dtype=np.int64)
-            gram[t] = key
+        sizes = np.cumsum([len(key) for key in listed])[:-1]
+        listed = np.concatenate(listed)
+        self.keys, where = np.unique(listed, return_inverse=True)
+        del listed
+        self.own, self.grams = np.zeros(len(self.keys), dtype=np.int64), []
+        for k, key in enumerate(np.split(where, sizes)):
+            there = self.places >= k - 1
+            self.own += np.bincount(key[trained[there]], minlength=len(self.keys))
+            gram = np.full(len(flat), -1, dtype=np.int32)
+            gram[there] = key
             self.grams.append(gram)
 
-    def by_part(self, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-        """Each part that has keys of the block, with the numbers of these keys in order."""
-        part = (self.keys % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(parts + 1))
-        for p, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-            if b > a:
-                yield p, order[a:b]
-
 
 class Automaton:
     """The states, arcs and failure arcs that the texts of a block can reach; all are numbered like its keys.
@@ -105,7 +131,8 @@ class Automaton:
 
     def __init__(self, block: Block, count: np.ndarray, size: int, mass: float) -> None:
         self.block, self.count = block, count
-        self.failure = np.log10(mass / (count + mass))
+        self.failure = mass / (count + mass)
+        np.log10(self.failure, out=self.failure)
         weight = np.empty(len(count))
         words = block.grams[0]
         weight[words] = (count[words] + 1) / size
@@ -113,7 +140,7 @@ class Automaton:
             at = np.flatnonzero(block.grams[k] >= 0)
             gram, shorter, history = block.grams[k][at], block.grams[k - 1][at], self.history(k)[at]
             weight[gram] = (count[gram] + mass * weight[shorter]) / (count[history] + mass)
-        self.arc = np.log10(weight)
+        self.arc = np.log10(weight, out=weight)
 
     def history(self, length: int) -> np.ndarray:
         """The key of the ``length`` tokens before every token, or -1; a document starts after one end mark."""
@@ -195,8 +222,8 @@ def unpacked_counts(data: bytes) -> np.ndarray:
 
 def listed(parts: int, order: int):
     def run(docs: pd.DataFrame) -> pd.DataFrame:
-        block, number = Block(with_texts(docs), order), int(docs["block"].iloc[0])
-        rows = [(p, number, packed_keys(block.keys[own], parts), packed_counts(block.own[own])) for p, own in block.by_part(parts)]
+        number, (keys, counts) = int(docs["block"].iloc[0]), distinct_keys(with_texts(docs), order)
+        rows = [(p, number, packed_keys(keys[own], parts), packed_counts(counts[own])) for p, own in by_part(keys, parts)]
         return pd.DataFrame(rows, columns=["part", "block", "keys", "counts"])
 
     return run
@@ -226,8 +253,8 @@ def scored(train_tokens: int, train_words: int, mass: float, parts: int, order:
         if docs.empty:
             return pd.DataFrame(columns=columns)
         block, more = Block(with_texts(docs), order), dict(zip(others["part"], others["more"]))
-        count = block.own.copy()
-        for part, own in block.by_part(parts):
+        count = block.own
+        for part, own in by_part(block.keys, parts):
             count[own] += unpacked_counts(more[part])
         words = count[block.grams[0]]
         return pd.DataFrame({
@@ -252,8 +279,8 @@ def distinct_words(parts: int):
                 waiting.append(words)
                 size += len(words)
             if size > PART_KEYS:
-                seen, waiting, size = np.unique(np.concatenate([seen, *waiting])), [], 0
-        seen = np.unique(np.concatenate([seen, *waiting]))
+                seen, waiting, size = distinct(np.concatenate([seen, *waiting])), [], 0
+        seen = distinct(np.concatenate([seen, *waiting]))
         part = (seen % np.uint64(parts)).astype(np.int64)
         rows = [(p, packed_keys(seen[part == p], parts), 0) for p in np.unique(part).tolist()]
         rows.append((0, packed_keys(seen[:0], parts), tokens))
@@ -265,7 +292,7 @@ def distinct_words(parts: int):
 def union_size(parts: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         keys = [unpacked_keys(k, int(p), parts) for p, k in zip(group["part"], group["keys"])]
-        return pd.DataFrame({"words": [len(np.unique(np.concatenate(keys)))], "tokens": [int(group["tokens"].sum())]})
+        return pd.DataFrame({"words": [len(distinct(np.concatenate(keys)))], "tokens": [int(group["tokens"].sum())]})
 
     return run
 
