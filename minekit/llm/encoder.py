@@ -12,16 +12,17 @@ lower-casing and composing are plain go this way, all others are encoded as they
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 
 import numpy as np
 
+from minekit.llm.words import held
+
 #: Runs and parts a worker remembers; the older half goes when they are too many.
-RUNS, PARTS = 400_000, 1_000_000
+RUNS, PARTS = 600_000, 600_000
 #: Runs that are looked up and learnt together; texts of more characters go by themselves.
-TOGETHER = 50_000
+TOGETHER = 200_000
 #: Fixed value: the mark of a token that ends a word.
 WORD_END = "</w>"
 #: Fixed value: the splitting pattern in the tokenizer's file.
@@ -58,11 +59,28 @@ class Remembered:
                     found[at] = value
         return found
 
+    def among(self, keys: list) -> dict:
+        """The values of distinct keys, None where one is not known; what only the older half has moves in one go."""
+        found = dict(zip(keys, map(self.newer.get, keys)))
+        if self.older:
+            older = self.older.get
+            again = {key: older(key) for key, value in found.items() if value is None}
+            again = {key: value for key, value in again.items() if value is not None}
+            found.update(again)
+            self.put_all(again)
+        return found
+
     def put(self, key, value) -> None:
         if len(self.newer) >= self.half:
             self.older, self.newer = self.newer, {}
         self.newer[key] = value
 
+    def put_all(self, values: dict) -> None:
+        """Many at once; the newer half may exceed its size by what comes in one go."""
+        if len(self.newer) >= self.half:
+            self.older, self.newer = self.newer, {}
+        self.newer.update(values)
+
 
 class RunEncoder:
     """Ids of texts as little-endian 32-bit bytes."""
@@ -105,39 +123,37 @@ class RunEncoder:
         return map(b"".join, self._known(texts))
 
     def _known(self, texts: list[list[bytes]]) -> list[list[bytes]]:
-        out = [self.runs.get_all(runs) for runs in texts]
-        missing = dict.fromkeys(run for runs, ids in zip(texts, out) if None in ids for run, known in zip(runs, ids) if known is None)
+        distinct = list(set().union(*texts))
+        known = self.runs.among(distinct)
+        missing = [run for run, ids in known.items() if ids is None]
         if missing:
-            new = self._learn(list(missing))
-            out = [[new[run] if known is None else known for run, known in zip(runs, ids)] if None in ids else ids for runs, ids in zip(texts, out)]
-        return out
+            known.update(self._learn(missing))
+        return [list(map(known.__getitem__, runs)) for runs in texts]
 
     def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        pieces, others = {}, set()
-        # a word of ASCII letters is one part, in small letters
-        for run in runs:
-            text = run.decode()
-            if text.isascii() and text.isalpha():
-                pieces[run] = [text.lower()]
+        single, pieces, others = {}, {}, set()
+        # a word of plain letters is one part, in small letters; a sign or digit behind it is another
+        for run, text in zip(runs, map(bytes.decode, runs)):
+            if text.isalpha() and (text.isascii() or self.plain(text)):
+                single[run] = text.lower()
+            elif text.isascii() and text[:-1].isalpha() and "!" <= text[-1] <= "~":
+                pieces[run] = [text[:-1].lower(), text[-1]]
             elif self.plain(text) and "<|" not in text:
                 pieces[run] = self.split(text.lower())
             else:
-                pieces[run] = [text]
+                single[run] = text
                 others.add(text)
-        parts = list({part: None for parts in pieces.values() for part in parts})
-        local: dict[str, bytes | None] = dict(zip(parts, self.parts.get_all(parts)))
-        missing = [part for part, ids in local.items() if ids is None]
-        words = [part for part in missing if part not in others]
-        learnt = list(zip(words, self._words(words)))
-        rest = [part for part in missing if part in others]
-        learnt += zip(rest, self._batch(rest))
-        for part, ids in learnt:
-            local[part] = ids
-            self.parts.put(part, ids)
-        out = {}
+        known = self.parts.among(list(set(single.values()).union(*pieces.values())))
+        missing = [part for part, ids in known.items() if ids is None]
+        words, rest = [part for part in missing if part not in others], [part for part in missing if part in others]
+        learnt = dict(zip(words, self._words(words)))
+        learnt.update(zip(rest, self._batch(rest)))
+        self.parts.put_all(learnt)
+        known.update(learnt)
+        out = {run: known[part] for run, part in single.items()}
         for run, parts in pieces.items():
-            out[run] = local[parts[0]] if len(parts) == 1 else b"".join([local[part] for part in parts])
-            self.runs.put(run, out[run])
+            out[run] = known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts])
+        self.runs.put_all(out)
         return out
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -155,10 +171,9 @@ class RunEncoder:
         return [np.array(encoding.ids, dtype="<u4").tobytes() for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-@functools.cache
 def encoder(path: str) -> RunEncoder:
-    """One per worker and file."""
-    return RunEncoder(path)
+    """One per worker and file, until the worker goes on to another operator."""
+    return held(f"encoder of {path}", lambda: RunEncoder(path))
 
 
 def default_path() -> str:

@@ -14,7 +14,6 @@ repeated ids train once; without any usable label, or with one class only, every
 
 from __future__ import annotations
 
-import functools
 import re
 from dataclasses import dataclass
 
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from minekit.llm.common import bounded_batches, fresh, remainder, text_of
+from minekit.llm.words import held
 
 #: Slots of hashed words, rank of the factors, labelled rows at most in the fit, and the score from which a text is good.
 SLOTS, RANK, SAMPLE, GOOD = 1 << 14, 8, 6_000, 0.3
@@ -38,9 +38,8 @@ STATISTICS = (
 )
 
 
-@functools.cache
 def known_words() -> dict[str, int]:
-    return {}
+    return held("numbers of words", dict)
 
 
 def word_numbers(text: str) -> np.ndarray:

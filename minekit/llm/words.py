@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Callable
 
 import numpy as np
 
@@ -20,9 +20,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@functools.cache
+_HELD: dict = {}
+
+
+def held(name: str, make: Callable):
+    """What a worker keeps for one operator; a worker outlives a stage, so what was kept for another one goes first."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def word_hashes() -> dict[bytes, int]:
-    return {}
+    return held("word hashes", dict)
 
 
 def hashed_words(text: str) -> np.ndarray:

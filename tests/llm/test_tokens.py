@@ -113,3 +113,19 @@ def test_bound_never_exceeds_the_best_packing():
 def test_empty_tables(frame):
     assert token_counts.token_counts(frame([])).count() == 0
     assert packing.pack_documents(frame([])).count() == 0
+
+
+def test_words_with_a_sign_behind_them_give_the_library_ids_also_when_the_caches_turn_over():
+    known, text = RunEncoder(default_path(), 8, 8), "Word, word. it's word' Über Übung; a1 b\x01 x~ <| Ωmega Ω, don't word9 "
+    for part in (text, text * 40, text[::-1]):
+        assert np.frombuffer(b"".join(known.ids_of_all([part, part])), dtype="<u4").tolist() == ids(part) * 2
+
+
+def test_a_worker_lets_go_what_another_operator_kept():
+    from minekit.llm import encoder, quality, words
+
+    quality.known_words()["word"] = 1
+    words.word_hashes()[b"word"] = 1
+    assert quality.known_words() == {}
+    assert encoder.encoder(default_path()) is encoder.encoder(default_path())
+    assert words.word_hashes() == {}
