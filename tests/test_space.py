@@ -232,3 +232,52 @@ def test_cuts_leave_rows_on_both_sides():
 def test_equal_places_are_one_leaf():
     leaves = space.Leaves.build(np.ones((50, 2)), 2, 2)
     assert len(set(leaves.leaf_of(np.ones((7, 2))).tolist())) == 1
+
+
+def test_strip_sums_of_several_labelings_with_copies_and_an_endless_place(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(150, 2)), [[np.inf, 0.0]]])
+    frame = pd.DataFrame({"x": x[:, 0], "y": x[:, 1], "pid": np.arange(151), "weight": rng.integers(1, 4, 151)})
+    frame["k3"], frame["k9"] = np.append(rng.integers(1, 4, 150), 7), np.append(rng.integers(1, 10, 150), 7)
+    monkeypatch.setattr(validate, "TILE_ROWS", 7)
+    monkeypatch.setattr(validate, "TILE_PLACES", 16)
+    with np.errstate(invalid="ignore"):
+        got = validate._strip_sums(["x", "y"], ["k3", "k9"], True)(frame.iloc[:40], frame)
+        d = space.distances(x[:40], x)
+    assert len(got) == 40 * (frame["k3"].nunique() + frame["k9"].nunique())
+    for r in got.sample(200, random_state=1).itertuples():
+        here = (frame[r.labeling] == r.other).to_numpy()
+        assert r.total == pytest.approx((d[r.pid, here] * frame["weight"][here]).sum())
+        assert (r.near, r.far) == (d[r.pid, here].min(), d[r.pid, here].max())
+
+
+def test_strips_give_back_few_sums(spark):
+    """One row per place and cluster and block of places, not one per small block that it meets."""
+    df = spark.range(6000).selectExpr("id", "rand(1) AS x", "rand(2) AS y", "id % 2 AS cluster")
+    places = cut(validate.labelled_places(df, "id", ["x", "y"]))
+    found = validate._strip_meeting(places, validate.BLOCK_PLACES, 2).applyInPandas(
+        validate._strip_sums(["x", "y"], ["cluster"], False),
+        "labeling string, pid bigint, own bigint, weight bigint, other bigint, total double, near double, far double",
+    )
+    assert found.count() == 2 * 6000
+
+
+def test_sweep_takes_the_dunn_index_without_all_pairs(spark, cloud, monkeypatch):
+    x, pdf = cloud
+
+    def refused(*args, **kwargs):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(validate, "place_sums", refused)
+    df = spark.createDataFrame(pdf)
+    rows = validate.sweep(df, "id", ["x", "y"], range(2, 5), starts=2, measures=["dunn"]).collect()
+    labelled, _ = cluster.kmeans_sweep(df, "id", ["x", "y"], range(2, 5), 2, 1234)
+    labels = labelled.toPandas().sort_values("id")
+    d = brute(x)
+    for r in rows:
+        k = labels[f"k{r['k']}"].to_numpy()
+        same = k[:, None] == k[None, :]
+        assert r["value"] == pytest.approx(d[~same].min() / d[same].max())
+    small = cut(validate.labelled_places(labelled, "id", ["x", "y"], ["k2", "k3"]))
+    many = {r["labeling"]: r["min_separation"] for r in validate._least_separations(small, ["x", "y"], ["k2", "k3"], 16).collect()}
+    assert many == pytest.approx({n: d[labels[n].to_numpy()[:, None] != labels[n].to_numpy()[None, :]].min() for n in ("k2", "k3")})
