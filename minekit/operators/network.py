@@ -57,21 +57,34 @@ class Network:
 
 def forward(x: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Outputs of the hidden layer and log probabilities of the classes."""
-    inner = 1 / (1 + np.exp(-np.clip(x @ first[1:] + first[0], -500, 500)))
-    out = inner @ second[1:] + second[0]
-    out -= out.max(axis=1, keepdims=True)
-    return inner, out - np.log(np.exp(out).sum(axis=1, keepdims=True))
+    inner = x @ first[1:]
+    inner += first[0]
+    np.clip(inner, -500, 500, out=inner)
+    np.negative(inner, out=inner)
+    np.exp(inner, out=inner)
+    inner += 1
+    np.divide(1, inner, out=inner)
+    out = inner @ second[1:]
+    out += second[0]
+    # classes are few: a row each, so that the loops run along the many
+    by_class = np.ascontiguousarray(out.T)
+    by_class -= by_class.max(axis=0)
+    by_class -= np.log(np.exp(by_class).sum(axis=0))
+    return inner, np.ascontiguousarray(by_class.T)
 
 
 def loss_and_gradient(network: Network, weights: np.ndarray, x: np.ndarray, y: np.ndarray, n_classes: int) -> np.ndarray:
     """Summed cross-entropy of scaled rows, then its gradient, as one vector; the decay is not in it."""
     first, second = network.layers(weights, n_classes)
     inner, logs = forward(x, first, second)
+    at = np.arange(len(y))
     error = np.exp(logs)
-    error[np.arange(len(y)), y] -= 1
-    back = (error @ second[1:].T) * inner * (1 - inner)
+    error[at, y] -= 1
+    back = error @ second[1:].T
+    back *= inner
+    back *= 1 - inner
     parts = [back.sum(axis=0)[None], x.T @ back, error.sum(axis=0)[None], inner.T @ error]
-    return np.concatenate([[-logs[np.arange(len(y)), y].sum()], *[p.ravel() for p in parts]])
+    return np.concatenate([[-logs[at, y].sum()], *[p.ravel() for p in parts]])
 
 
 def partial_sums(networks: list[Network], trials: dict[int, np.ndarray], cols: list[str], n_classes: int):
@@ -79,11 +92,16 @@ def partial_sums(networks: list[Network], trials: dict[int, np.ndarray], cols: l
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             x, y, fold = batch[cols].to_numpy(dtype=float), batch["_code"].to_numpy(), batch["_fold"].to_numpy()
+            # the networks of a fold have the same rows and scales
+            training: dict[int | None, tuple[np.ndarray, np.ndarray]] = {}
             for m, weights in trials.items():
                 network = networks[m]
-                mine = np.ones(len(y), dtype=bool) if network.fold is None else fold != network.fold
-                if mine.any():
-                    part = loss_and_gradient(network, weights, network.scaled(x[mine]), y[mine], n_classes)
+                if network.fold not in training:
+                    mine = np.ones(len(y), dtype=bool) if network.fold is None else fold != network.fold
+                    training[network.fold] = network.scaled(x[mine]), y[mine]
+                scaled, codes = training[network.fold]
+                if len(codes):
+                    part = loss_and_gradient(network, weights, scaled, codes, n_classes)
                     sums[m] = sums[m] + part if m in sums else part
         if sums:
             yield pd.DataFrame({"network": list(sums), "part": [s.tolist() for s in sums.values()]})
