@@ -25,6 +25,8 @@ from minekit.operators.clean import drop_incomplete, filter_not_in
 from minekit.operators.profile import contingency_table, quantiles_wide
 
 FITS_AT_ONCE = 8
+#: Folds of a grid whose training rows are kept at a time.
+FOLDS_AT_ONCE = 2
 
 
 # ---------------------------------------------------------------- labels and splits
@@ -326,11 +328,21 @@ def classifier_stages(kind: str, cols, classes, **settings):
 
 def fit_classifier(train: DataFrame, cols, label: str, kind: str, classes=None, **settings):
     """Fit on complete rows; returns the fitted stages and the class list."""
-    rows = steady_layout(drop_incomplete(train.select(label, *cols)))
+    rows = fitting_rows(train, cols, label)
     if classes is None:
         classes = class_codes(rows, label)
-    rows = _with_code(rows, label, classes)
-    return Pipeline(stages=classifier_stages(kind, cols, classes, **settings)).fit(rows), classes
+    model = fit_laid_out(rows, cols, label, kind, classes, **settings)
+    rows.unpersist()
+    return model, classes
+
+
+def fitting_rows(train: DataFrame, cols, label: str) -> DataFrame:
+    """The complete rows, laid out once and kept for all the passes and fits that read them."""
+    return steady_layout(drop_incomplete(train.select(label, *cols))).persist()
+
+
+def fit_laid_out(rows: DataFrame, cols, label: str, kind: str, classes, **settings):
+    return Pipeline(stages=classifier_stages(kind, cols, classes, **settings)).fit(_with_code(rows, label, classes))
 
 
 def predict(model, classes, test: DataFrame, key: str, cols, name: str = "predicted") -> DataFrame:
@@ -366,14 +378,14 @@ def tune_grid(df: DataFrame, key: str, cols, label: str, fold: str, grid: dict[s
     """Cross-validate every candidate on the shared folds: ``(model, fold, metric, value)``.
 
     ``grid`` maps a candidate name to (kind, settings). Fits overlap, and each gives back only its
-    confusion counts.
+    confusion counts. The training rows of a fold are laid out once for all candidates.
     """
     rows = steady_layout(drop_incomplete(df.select(key, label, fold, *cols)), key).persist()
     classes = class_codes(rows, label)
 
     def run(task):
-        name, (kind, settings), f = task
-        model, _ = fit_classifier(rows.filter(F.col(fold) != f), cols, label, kind, classes, **settings)
+        name, (kind, settings), f, training = task
+        model = fit_laid_out(training, cols, label, kind, classes, **settings)
         held = rows.filter(F.col(fold) == f)
         scored = model.transform(held).select(
             F.lit(name).alias("model"), F.lit(f).alias("fold"), F.col(label).alias("actual"),
@@ -381,10 +393,14 @@ def tune_grid(df: DataFrame, key: str, cols, label: str, fold: str, grid: dict[s
         )
         return confusion_cells(scored).collect()
 
-    tasks = [(name, spec, f) for name, spec in grid.items() for f in _levels(rows, fold)]
-    cells = _cell_frame(df, _at_once(df, run, tasks))
+    levels, found = _levels(rows, fold), []
+    for some in (levels[i : i + FOLDS_AT_ONCE] for i in range(0, len(levels), FOLDS_AT_ONCE)):
+        laid_out = _at_once(df, lambda f: [(f, fitting_rows(rows.filter(F.col(fold) != f), cols, label))], some)
+        found += _at_once(df, run, [(name, spec, f, training) for f, training in laid_out for name, spec in grid.items()])
+        for _, training in laid_out:
+            training.unpersist()
     rows.unpersist()
-    return metrics_from_cells(cells)
+    return metrics_from_cells(_cell_frame(df, found))
 
 
 # ---------------------------------------------------------------- evaluation

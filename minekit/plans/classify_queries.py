@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from minekit.functions.expr import ratio, rounded
 from minekit.functions.names import BOUNDARY_NAME_RULES, ENTITY_NAME_RULES, apply_rules, strip_suffix
+from minekit.lineage import cut
 from minekit.operators import classify, joins, network
 from minekit.plans import views
 from minekit.plans.registry import query
@@ -20,7 +21,8 @@ HELD_SQL = ", ".join(f"'{n}'" for n in HELD_OUT)
 
 
 def split(spark, sf):
-    return classify.group_holdout(views.classes(spark, sf), "state", HELD_OUT)
+    # written once: the models read either part many times
+    return classify.group_holdout(cut(views.classes(spark, sf)), "state", HELD_OUT)
 
 
 @query("class_label", with_views("classes", "SELECT entity_key, risk FROM classes"))
