@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark import TaskContext
 
-from minekit.operators import classify, cluster, network, space, validate
+from minekit.operators import classify, cluster, extremes, network, space, validate
 from minekit.plans import classify_queries
 
 
@@ -81,3 +81,54 @@ def test_rows_are_scaled_once_a_fold(monkeypatch):
     trials = {m: net.weights for m, net in enumerate(nets)}
     (sums,) = network.partial_sums(nets, trials, ["a", "b"], 2)(iter([batch]))
     assert sorted(seen) == [0, 1] and len(sums) == len(nets)
+
+
+def test_greatest_distances_between_groups(monkeypatch):
+    g = np.random.default_rng(8)
+    x, y = g.normal(size=(1500, 3)), g.normal(size=(700, 3)) + 1
+    first, last = np.array([0, 1, 40, 41, 900, 1300]), np.array([0, 350, 351])
+    d = space.distances(x, y)
+    want = np.maximum.reduceat(np.maximum.reduceat(d, first, axis=0), last, axis=1)
+    inside = np.maximum.reduceat(np.maximum.reduceat(space.distances(x, x), first, axis=0), first, axis=1)
+    for many in (1, 10**9):
+        monkeypatch.setattr(extremes, "MANY_PAIRS", many)
+        assert np.array_equal(extremes.greatest_between(x, first, y, last), want)
+        assert np.array_equal(extremes.greatest_between(x, first), inside)
+
+
+def merges_and_want(spark, x, leaf_points):
+    names = ["x", "y", "z"][: x.shape[1]]
+    points = spark.createDataFrame(pd.DataFrame({"pid": np.arange(len(x)), "weight": 1, **dict(zip(names, x.T))}))
+    leaves = space.plant(points, names, leaf_points)
+    tree = cluster.complete_tree(space.place(points, names, leaves), names, leaves, leaf_points)
+    _, into, height = cluster._merge_table(space.distances(x, x), np.full(len(x), np.inf))
+    want = [(int(into[j]), int(j), round(float(height[j]), 9)) for j in np.flatnonzero(into >= 0)]
+    return sorted((r["a"], r["b"], round(r["height"], 9)) for r in tree.collect()), sorted(want)
+
+
+def test_complete_linkage_in_halls_without_measured_pairs(spark, monkeypatch):
+    monkeypatch.setattr(extremes, "farthest", None)
+    got, want = merges_and_want(spark, np.random.default_rng(5).normal(size=(1600, 2)), 200)
+    assert got == want
+
+
+def test_complete_linkage_by_blocks_of_clusters(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "PLACES_PER_CLUSTER", 4)
+    monkeypatch.setattr(extremes, "farthest", None)
+    got, want = merges_and_want(spark, np.random.default_rng(6).normal(size=(1200, 2)), 150)
+    assert got == want
+
+
+def test_complete_linkage_with_a_cluster_too_large_for_a_hall(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "PLACES_PER_CLUSTER", 2)
+    g = np.random.default_rng(7)
+    got, want = merges_and_want(spark, np.concatenate([g.normal(size=(110, 2)) * 1e-4, g.normal(size=(110, 2))]), 40)
+    assert got == want
+
+
+def test_nearest_pairs_in_one_leaf_up_to_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(space, "visits", None)
+    x = np.random.default_rng(9).normal(size=(5000, 2))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(5000), "x": x[:, 0], "y": x[:, 1]}))
+    got = [r["height"] for r in cluster.merge_heights(df, "id", ["x", "y"]).orderBy("step").collect()]
+    assert got == sorted(e[2] for e in cluster.dense_tree(x))
