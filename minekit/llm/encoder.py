@@ -13,16 +13,18 @@ lower-casing and composing are plain go this way, all others are encoded as they
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from minekit.llm.words import held
 
 #: Runs and parts a worker remembers; the older half goes when they are too many.
-RUNS, PARTS = 600_000, 600_000
-#: Runs that are looked up and learnt together; texts of more characters go by themselves.
-TOGETHER = 200_000
+RUNS, PARTS = 1_200_000, 600_000
+#: Bytes of texts whose runs are looked up and learnt together; a longer text goes by itself.
+TOGETHER = 8_000_000
 #: Fixed value: the mark of a token that ends a word.
 WORD_END = "</w>"
 #: Fixed value: the splitting pattern in the tokenizer's file.
@@ -59,14 +61,15 @@ class Remembered:
                     found[at] = value
         return found
 
-    def among(self, keys: list) -> dict:
+    def among(self, keys: list) -> list:
         """The values of distinct keys, None where one is not known; what only the older half has moves in one go."""
-        found = dict(zip(keys, map(self.newer.get, keys)))
+        found = list(map(self.newer.get, keys))
         if self.older:
-            older = self.older.get
-            again = {key: older(key) for key, value in found.items() if value is None}
-            again = {key: value for key, value in again.items() if value is not None}
-            found.update(again)
+            older, again = self.older.get, {}
+            for at in [i for i, value in enumerate(found) if value is None]:
+                value = older(keys[at])
+                if value is not None:
+                    found[at] = again[keys[at]] = value
             self.put_all(again)
         return found
 
@@ -82,6 +85,22 @@ class Remembered:
         self.newer.update(values)
 
 
+def blocks(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``TOGETHER`` bytes of text; a longer text goes by itself."""
+    waiting, size = [], 0
+    for batch in batches:
+        start = 0
+        for at, length in enumerate(pc.binary_length(batch[column]).to_pylist()):
+            if size and size + length > TOGETHER:
+                waiting.append(batch.slice(start, at - start))
+                yield pa.concat_batches(waiting)
+                waiting, size, start = [], 0, at
+            size += length
+        waiting.append(batch.slice(start))
+    if sum(batch.num_rows for batch in waiting):
+        yield pa.concat_batches(waiting)
+
+
 class RunEncoder:
     """Ids of texts as little-endian 32-bit bytes."""
 
@@ -100,50 +119,53 @@ class RunEncoder:
         self.split, self.plain = regex.compile(SPLIT).findall, regex.compile(PLAIN).fullmatch
 
     def ids(self, text: str) -> bytes:
-        runs = text.encode().split()
-        return b"".join(b"".join(self._known([runs[at : at + TOGETHER]])[0]) for at in range(0, len(runs), TOGETHER))
+        return next(self.ids_of_all([text]))
 
     def ids_of_all(self, texts) -> Iterator[bytes]:
         """The ids of each text; what is not known yet is learnt for many texts at once."""
-        waiting, size = [], 0
-        for text in texts:
-            if len(text) > TOGETHER:
-                yield from self._joined(waiting)
-                yield self.ids(text)
-                waiting, size = [], 0
-                continue
-            waiting.append(text.encode().split())
-            size += len(waiting[-1])
-            if size >= TOGETHER:
-                yield from self._joined(waiting)
-                waiting, size = [], 0
-        yield from self._joined(waiting)
-
-    def _joined(self, texts: list[list[bytes]]) -> Iterator[bytes]:
-        return map(b"".join, self._known(texts))
-
-    def _known(self, texts: list[list[bytes]]) -> list[list[bytes]]:
-        distinct = list(set().union(*texts))
-        known = self.runs.among(distinct)
-        missing = [run for run, ids in known.items() if ids is None]
+        texts = pa.record_batch({"text": pa.array(texts, pa.large_string())})
+        for block in blocks([texts], "text"):
+            ids, ends = self.ids_of_block(block["text"])
+            for start, end in zip([0, *ends], ends):
+                yield ids[start:end].tobytes()
+
+    def ids_of_block(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """The ids of all texts one after another, and where those of each text end; each distinct run is looked up once."""
+        lists = pc.ascii_split_whitespace(texts)
+        runs = lists.flatten().dictionary_encode()
+        known = self._known(runs.dictionary.to_pylist())
+        ids, lengths = np.frombuffer(b"".join(known), dtype="<u4"), np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        which = runs.indices.to_numpy()
+        many = lengths[which]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        places = np.repeat((np.cumsum(lengths) - lengths)[which] - ends[:-1], many)
+        places += np.arange(len(places))
+        offsets = lists.offsets.to_numpy()
+        return ids[places], ends[offsets[1:] - offsets[0]].tolist()
+
+    def _known(self, runs: list[str]) -> list[bytes]:
+        known = self.runs.among(runs)
+        missing = [at for at, ids in enumerate(known) if ids is None]
         if missing:
-            known.update(self._learn(missing))
-        return [list(map(known.__getitem__, runs)) for runs in texts]
+            for at, ids in zip(missing, self._learn([runs[at] for at in missing])):
+                known[at] = ids
+        return known
 
-    def _learn(self, runs: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, runs: list[str]) -> list[bytes]:
         single, pieces, others = {}, {}, set()
         # a word of plain letters is one part, in small letters; a sign or digit behind it is another
-        for run, text in zip(runs, map(bytes.decode, runs)):
-            if text.isalpha() and (text.isascii() or self.plain(text)):
-                single[run] = text.lower()
-            elif text.isascii() and text[:-1].isalpha() and "!" <= text[-1] <= "~":
-                pieces[run] = [text[:-1].lower(), text[-1]]
-            elif self.plain(text) and "<|" not in text:
-                pieces[run] = self.split(text.lower())
+        for run in runs:
+            if run.isalpha() and (run.isascii() or self.plain(run)):
+                single[run] = run.lower()
+            elif run.isascii() and run[:-1].isalpha() and "!" <= run[-1] <= "~":
+                pieces[run] = [run[:-1].lower(), run[-1]]
+            elif self.plain(run) and "<|" not in run:
+                pieces[run] = self.split(run.lower())
             else:
-                single[run] = text
-                others.add(text)
-        known = self.parts.among(list(set(single.values()).union(*pieces.values())))
+                single[run] = run
+                others.add(run)
+        parts = list(set(single.values()).union(*pieces.values()))
+        known = dict(zip(parts, self.parts.among(parts)))
         missing = [part for part, ids in known.items() if ids is None]
         words, rest = [part for part in missing if part not in others], [part for part in missing if part in others]
         learnt = dict(zip(words, self._words(words)))
@@ -152,9 +174,9 @@ class RunEncoder:
         known.update(learnt)
         out = {run: known[part] for run, part in single.items()}
         for run, parts in pieces.items():
-            out[run] = known[parts[0]] if len(parts) == 1 else b"".join([known[part] for part in parts])
+            out[run] = b"".join([known[part] for part in parts])
         self.runs.put_all(out)
-        return out
+        return [out[run] for run in runs]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of parts that the splitting pattern leaves whole: encoded as one text, parted at the tokens that end words."""

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from minekit.llm.common import bounded_batches, cut, text_of
-from minekit.llm.encoder import default_path, encoder
+from minekit.llm.encoder import blocks, default_path, encoder
 
 CAPACITY, CLOSING_ID = 4096, 1
 #: Pieces of a group on average: a few MB in a task.
@@ -30,22 +31,24 @@ GROUP_ROWS = 40_000
 #: Bins filled less than this share take part in an exchange also where their group meets its bound.
 RESTS = 0.9
 PIECE_SCHEMA = "id string, piece int, start long, length long, ids_crc32 long"
+PIECE_TYPES = {"id": pa.string(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
 PACKED_SCHEMA = PIECE_SCHEMA + ", bin_group long, bin long, offset long, fill long, certified boolean"
 
 
 def cut_pieces(path: str, capacity: int, closing_id: int):
     closing = int(closing_id).to_bytes(4, "little")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for batch in batches:
+        for block in blocks(batches, "text"):
+            ids, ends = known.ids_of_block(block["text"])
             rows = []
-            for key, ids in zip(batch["id"], known.ids_of_all(batch["text"])):
-                data = ids + closing
+            for key, first, end in zip(block["id"].to_pylist(), [0, *ends], ends):
+                data = ids[first:end].tobytes() + closing
                 for piece, at in enumerate(range(0, len(data), capacity * 4)):
                     part = data[at : at + capacity * 4]
                     rows.append((key, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
+            yield pa.record_batch([pa.array(values, kind) for values, kind in zip(zip(*rows), PIECE_TYPES.values())], names=list(PIECE_TYPES))
 
     return run
 
@@ -167,7 +170,7 @@ def pack_documents(
     bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).cast("string").alias("id"), text_of(text_column).alias("text"))
-    pieces = cut(rows.mapInPandas(cut_pieces(path, capacity, closing_id), PIECE_SCHEMA))
+    pieces = cut(rows.mapInArrow(cut_pieces(path, capacity, closing_id), PIECE_SCHEMA))
     packed = packed_rounds(pieces, capacity, group_rows)
     if packed is None:
         packed = docs.sparkSession.createDataFrame([], PACKED_SCHEMA)

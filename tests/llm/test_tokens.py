@@ -129,3 +129,53 @@ def test_a_worker_lets_go_what_another_operator_kept():
     assert quality.known_words() == {}
     assert encoder.encoder(default_path()) is encoder.encoder(default_path())
     assert words.word_hashes() == {}
+
+
+def test_a_run_of_a_block_is_looked_up_once_however_often_it_occurs(monkeypatch):
+    from minekit.llm import encoder
+
+    asked, among = [], encoder.Remembered.among
+    monkeypatch.setattr(encoder.Remembered, "among", lambda self, keys: asked.append(len(keys)) or among(self, keys))
+    known = RunEncoder(default_path())
+    got = b"".join(known.ids_of_all(["one two six\n" * 60_000 + "one", "six one " * 60_000 + "six"]))
+    assert got == np.array(ids("one two six") * 60_000 + ids("one") + ids("six one") * 60_000 + ids("six"), dtype="<u4").tobytes()
+    # three runs, of which three parts are learnt
+    assert sum(asked) == 6
+
+
+def test_blocks_keep_the_rows_and_a_long_text_goes_by_itself(monkeypatch):
+    import pyarrow as pa
+
+    from minekit.llm import encoder
+
+    monkeypatch.setattr(encoder, "TOGETHER", 10)
+    lists = [["", "abcd", "é"], [], ["abcdefghijklm", "", "x", "  "], ["abcdefgh", "z"]]
+    schema = pa.schema([("text", pa.string())])
+    batches = [pa.record_batch({"text": pa.array(texts, pa.string())}, schema) for texts in lists]
+    got = [block["text"].to_pylist() for block in encoder.blocks(batches, "text")]
+    assert got == [["", "abcd", "é"], ["abcdefghijklm"], ["", "x", "  "], ["abcdefgh", "z"]]
+    assert list(encoder.blocks(batches[1:2], "text")) == []
+    texts = [text for part in lists for text in part]
+    assert [np.frombuffer(part, dtype="<u4").tolist() for part in RunEncoder(default_path()).ids_of_all(texts)] == [ids(t) for t in texts]
+    assert list(RunEncoder(default_path()).ids_of_all([])) == []
+
+
+def test_pieces_of_rows_in_many_small_blocks(monkeypatch):
+    import pyarrow as pa
+
+    from minekit.llm import encoder
+
+    monkeypatch.setattr(encoder, "TOGETHER", 64)
+    types = {"id": pa.string(), "text": pa.string()}
+    batches = [
+        pa.record_batch([pa.array([i and str(i) for i, _ in part], types["id"]), pa.array([t or "" for _, t in part], types["text"])], names=list(types))
+        for part in (EDGE[:5], [], EDGE[5:])
+    ]
+    got = [tuple(r.values()) for batch in packing.cut_pieces(default_path(), 128, 1)(iter(batches)) for r in batch.to_pylist()]
+    want = []
+    for key, text in EDGE:
+        whole = [*ids(text), 1]
+        for piece, at in enumerate(range(0, len(whole), 128)):
+            part = whole[at : at + 128]
+            want.append((key and str(key), piece, at, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes())))
+    assert got == want
