@@ -6,6 +6,7 @@ import pytest
 
 from minekit.lineage import cut
 from minekit.operators import cluster, extremes, space, validate
+from minekit.plans import cluster_queries
 
 
 def brute(x):
@@ -33,6 +34,26 @@ def test_knn(spark, cloud, leaf_points):
     assert np.allclose(got["d"].to_numpy().reshape(-1, 4), np.take_along_axis(d, order, 1))
 
 
+def test_all_pairs_are_listed(spark, cloud):
+    """Every pair of rows with different keys once, over several blocks, also for keys that come twice."""
+    x, pdf = cloud
+    pdf = pdf.assign(id=np.where(pdf["id"] == 7, 6, pdf["id"]))
+    got = validate.pair_distances(spark.createDataFrame(pdf).repartition(5), "id", ["x", "y"], 30).collect()
+    ids, d = pdf["id"].to_numpy(), brute(x)
+    want = sorted((min(ids[i], ids[j]), max(ids[i], ids[j]), d[i, j]) for i in range(len(x)) for j in range(i) if ids[i] != ids[j])
+    got = sorted(tuple(r) for r in got)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want])
+
+
+def test_pairwise_distance_lists_each_pair(spark, sf):
+    rows = cluster_queries.q_pairwise_distance(spark, sf)
+    n = rows.select("vec_id").distinct().count()
+    pairs = rows.filter("other is not null")
+    assert pairs.filter("vec_id < other and distance is not null").select("vec_id", "other").distinct().count() == n * (n - 1) // 2
+    assert pairs.count() + rows.filter("total_distance is not null").count() == n * (n - 1) // 2 + n
+
+
 def brute_dbscan(x, eps, min_pts):
     near = brute(x) <= eps
     core = near.sum(axis=1) >= min_pts
