@@ -84,6 +84,45 @@ def test_dbscan(spark, cloud, leaf_points):
     assert set(got["role"]) == {"core", "border", "noise"}
 
 
+def test_dbscan_of_wide_balls_visits_few_leaves(spark, monkeypatch):
+    """Balls that reach most of the leaves: what is settled by a leaf or a narrow box does not travel."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (500, 2)), rng.normal(9, 0.4, (80, 2)), rng.uniform(-30, 40, (20, 2))])
+    pdf = pd.DataFrame({"id": np.arange(len(x)), "x": x[:, 0], "y": x[:, 1]})
+    visitors, meet = [], space.meet
+    monkeypatch.setattr(space, "meet", lambda a, b, *rest: visitors.append(a.count()) or meet(a, b, *rest))
+    got = cluster.dbscan(spark.createDataFrame(pdf).repartition(3), "id", ["x", "y"], 1.2, 5, 16).toPandas().sort_values("id")
+    assert (got["cluster"].to_numpy() == brute_dbscan(x, 1.2, 5)).all()
+    assert sum(visitors) < 2 * len(x)
+
+
+def test_visits_leave_a_task_in_small_frames(monkeypatch):
+    class Points:
+        schema = None
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(space, "VISITS_AT_ONCE", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 2))
+    leaves = space.Leaves.build(x, 5, 2)
+    batch = pd.DataFrame({"id": np.arange(500), "x": x[:, 0], "y": x[:, 1], "leaf": leaves.leaf_of(x), "radius": 0.9})
+    frames = list(space.visits(Points(), ["x", "y"], leaves, "radius", True)(iter([batch])))
+    row, leaf = leaves.reached(x, np.full(500, 0.9))
+    away = leaf != leaves.leaf_of(x)[row]
+    found = pd.concat(frames)
+    assert max(map(len, frames)) <= 100
+    assert set(zip(found["id"], found["leaf"])) == set(zip(row[away], leaf[away])) and len(found) == away.sum()
+
+
+def test_components_of_rows_within_a_distance():
+    rng = np.random.default_rng(8)
+    x = rng.uniform(0, 10, (300, 2))
+    i, j = np.nonzero(space.distances(x, x) <= 0.6)
+    assert (cluster.joined_within(x, 0.6) == space.union_labels(len(x), i, j)).all()
+
+
 def brute_linkage(x, k, join):
     """Agglomerate distinct places; clusters numbered by first member."""
     _, first, back = np.unique(x, axis=0, return_index=True, return_inverse=True)
