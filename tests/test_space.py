@@ -1,12 +1,15 @@
 """Neighbour operators against brute force, with leaves so small that many are needed."""
 
+import threading
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from minekit.lineage import cut
 from minekit.operators import cluster, extremes, space, validate
-from minekit.plans import cluster_queries
+from minekit.plans import cluster_queries, studies, views
 
 
 def brute(x):
@@ -123,6 +126,40 @@ def test_components_of_rows_within_a_distance():
     assert (cluster.joined_within(x, 0.6) == space.union_labels(len(x), i, j)).all()
 
 
+@pytest.mark.parametrize("grid", [False, True])
+def test_shortest_ways_of_a_large_leaf_by_boxes(monkeypatch, grid):
+    """The same ways, ties included, as from all pairs, with far fewer distances."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 3))
+    x = np.unique(np.rint(x * 6), axis=0) if grid else x
+    pdf = pd.DataFrame({"pid": rng.permutation(len(x)), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2]})
+    # many small components in a large one
+    pdf["comp"] = np.where(rng.random(len(x)) < 0.3, pdf["pid"], np.where(x[:, 0] < 0.5, -1, -2))
+    visitors, taken, distances = pdf[pdf["comp"] != -1], [], space.distances
+    monkeypatch.setattr(space, "distances", lambda a, b: taken.append(len(a) * len(b)) or distances(a, b))
+    got = cluster.nearest_foreign(["x", "y", "z"])(visitors, pdf).reset_index(drop=True)
+    assert sum(taken) < len(visitors) * len(pdf) / 2
+    monkeypatch.setattr(cluster, "MET_AT_ONCE", len(pdf))
+    pd.testing.assert_frame_equal(got, cluster.nearest_foreign(["x", "y", "z"])(visitors, pdf).reset_index(drop=True))
+
+
+def test_work_that_is_done_at_the_same_time(spark):
+    """Two frames that wait for each other are only built if they are built together."""
+    both = threading.Barrier(2, timeout=60)
+
+    def fit(n):
+        both.wait()
+        return spark.range(n)
+
+    assert [f.count() for f in studies._together(spark, lambda: fit(3), lambda: fit(5))] == [3, 5]
+
+
+def test_whole_hundredths_are_rounded_as_by_round(spark):
+    values = [0.125, 0.135, 1.005, -0.125, -0.005, 2.675, 0.0049999999999999994, 901.0, 104949.5, 33333.335, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(r[0] == r[1] for r in df.select(views.hundredths("v"), F.round(F.col("v") * 100).cast("long")).collect())
+
+
 def brute_linkage(x, k, join):
     """Agglomerate distinct places; clusters numbered by first member."""
     _, first, back = np.unique(x, axis=0, return_index=True, return_inverse=True)
